@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from quern.llm import bpe, mixing
-from quern.session import durable, table
+from quern.llm import bpe, mixing, spans
+from quern.session import table
 
 
 def p8_ids(spark, d):
@@ -20,6 +18,14 @@ def p9_shares(spark, d):
     return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "source_weights")).shares()
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
+def p10_found(spark, d):
+    return spans.shared_spans(table(spark, d, "documents"))
+
+
+def p10_part(spark, d):
+    return spans.shared_part(table(spark, d, "documents"))
+
+
+QUERIES = {"p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_part": p10_part}
 
 SQL: dict[str, str] = {}
