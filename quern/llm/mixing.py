@@ -208,12 +208,12 @@ class Mixture:
 
     def rows(self) -> DataFrame:
         """shard, slot, source, epoch, block, n_tokens, ids: the mixture itself."""
-        return self.slots().join(self.blocks(), ["source", "block"]).select("shard", "slot", "source", "epoch", "block", "n_tokens", "ids")
+        return self.slots().hint("merge").join(self.blocks(), ["source", "block"]).select("shard", "slot", "source", "epoch", "block", "n_tokens", "ids")
 
     def shares(self, mixed: DataFrame | None = None) -> DataFrame:
         """Of every listed source: target_share, max_repeats, tokens it has and gives, actual_share, most_used (how often a block is used at most)."""
         if mixed is None:
-            mixed = self.slots().join(self.blocks().drop("ids"), ["source", "block"])
+            mixed = self.slots().hint("merge").join(self.blocks().drop("ids"), ["source", "block"])
         used = mixed.groupBy("source").agg(F.sum("n_tokens").alias("used_tokens"), (F.max("epoch") + 1).alias("most_used"))
         listed = self.spark.createDataFrame([(s, w, m, int(self.tokens.get(s, 0))) for s, (w, m) in self.weights.items()], "source string, target_share double, max_repeats int, source_tokens bigint")
         joined = listed.join(used, "source", "left").na.fill(0, ["used_tokens", "most_used"])
