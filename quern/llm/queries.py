@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, mixing, spans
+from quern.llm import bpe, mixing, neardup, spans
 from quern.session import table
 
 
+def p7_found(spark, d):
+    return neardup.near_pairs(neardup.contents(table(spark, d, "files"))).select("hash_a", "hash_b")
+
+
 def p8_ids(spark, d):
     return bpe.encode(table(spark, d, "documents"))
 
@@ -26,6 +30,6 @@ def p10_part(spark, d):
     return spans.shared_part(table(spark, d, "documents"))
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_part": p10_part}
+QUERIES = {"p7_found": p7_found, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_part": p10_part}
 
 SQL: dict[str, str] = {}
