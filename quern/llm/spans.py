@@ -235,13 +235,17 @@ def shared_spans(documents: DataFrame, length: int = 200, hot: int = 5_000) -> D
     Every character of a span lies in some stretch of at least ``length``
     (100 or more) characters that occurs, exactly equal, in a document with
     another doc_id. Spans don't touch. Documents with a null id or text, or a
-    text shorter than ``length``, have none. Repeated rows count once; two
-    different texts under one doc_id count as two documents.
+    text shorter than ``length``, have none. Repeated rows count once; of
+    several texts under one doc_id only that with the greatest hash counts.
     """
     if length < GRAM + CHOOSE + 12:
         raise ValueError("length is too small for the grams")
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") >= length))
     texts = rows.select("doc_id", F.xxhash64("text").alias("t"), F.length("text").alias("n"))
+    clash = texts.groupBy("doc_id").agg(F.max("t").alias("t"), F.min("t").alias("u")).where("t <> u").select("doc_id", "t")
+    if not clash.isEmpty():
+        rows = rows.join(clash, "doc_id", "left").where(F.col("t").isNull() | (F.xxhash64("text") == F.col("t"))).drop("t")
+        texts = rows.select("doc_id", F.xxhash64("text").alias("t"), F.length("text").alias("n"))
     classes = durable(texts.groupBy("t", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")))
     copied = classes.where("rep <> other")
     whole = texts.join(copied.select("t", "n"), ["t", "n"]).select("doc_id", F.lit(0).alias("start"), F.col("n").alias("stop")).distinct()
@@ -253,8 +257,8 @@ def shared_spans(documents: DataFrame, length: int = 200, hot: int = 5_000) -> D
     span = lambda c: (F.min(c) == F.max(c)) & (F.min(c) != 0)
     graph = chosen.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), span("back").alias("into"), span("way").alias("out"), F.count("*").alias("times")).where("a <> b").drop("a", "b")
     # step 2: back to the documents, whose rows it decides
-    flags = chosen.select("doc_id", "i", "key").join(graph, "key").groupBy("doc_id").agg(F.collect_list(F.struct("i", "key", "into", "out", "times")).alias("flags"))
-    known = flags.join(found.select("doc_id", "n", "pos", "low"), "doc_id").join(rows.distinct(), "doc_id")
+    flags = chosen.select("doc_id", "i", "key").join(graph, "key").groupBy("doc_id").agg(F.collect_set(F.struct("i", "key", "into", "out", "times")).alias("flags"))
+    known = flags.join(found.select("doc_id", "n", "pos", "low"), "doc_id").join(rows, "doc_id")
     pieces = durable(known.mapInArrow(_pieces(length, hot), PIECES))
     # step 3
     compare = pieces.where("kind = 'compare'").select("key", "doc_id", "start", "text").repartition(width(documents.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_compare(length), "doc_id bigint, start int, stop int")
