@@ -106,16 +106,20 @@ def order_table(texts: DataFrame, k: int, least: int) -> np.ndarray:
     return out
 
 
-SETS = "doc string, n int, least bigint, first array<bigint>, index int"
+SETS = "id bigint, n int, least bigint, first array<bigint>, index int"
 
 
 def _sets(k: int, least: int, t: float, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = order.value
         mask = np.uint64((1 << ORDER_BITS) - 1)
+        seen = set()
         for b in batches:
             docs, n, low, first, index = [], [], [], [], []
             for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if d in seen:  # a copy
+                    continue
+                seen.add(d)
                 s = shingles(text, k, least)
                 if s is None:
                     continue
@@ -128,7 +132,7 @@ def _sets(k: int, least: int, t: float, order):
                 index.append(len(u) - needed(len(u), 2 * t / (1 + t)) + 1)
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in first])]).astype(np.int32))
             flat = pa.array(np.concatenate(first) if first else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.string()), pa.array(n, pa.int32()), pa.array(low, pa.int64()), pa.ListArray.from_arrays(offsets, flat), pa.array(index, pa.int32())], ["doc", "n", "least", "first", "index"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(n, pa.int32()), pa.array(low, pa.int64()), pa.ListArray.from_arrays(offsets, flat), pa.array(index, pa.int32())], ["id", "n", "least", "first", "index"])
 
     return run
 
@@ -189,26 +193,28 @@ def near_pairs(texts: DataFrame, threshold: float = 0.7, k: int = 5, least: int
     spark = texts.sparkSession
     texts = texts.select("doc", "text").where(F.col("text").isNotNull())
     order = spark.sparkContext.broadcast(order_table(texts.select("text"), k, least))
-    sets = texts.mapInArrow(_sets(k, least, threshold, order), SETS).dropDuplicates(["doc"])
-    sets = durable(sets.withColumn("id", F.xxhash64("doc")))
-    sizes = sets.groupBy("least").agg(F.count("*").alias("c")).where(F.col("c") > group_size)
-    grouped = sets.select("id", "doc", "n", "least").join(sizes, "least", "left").select("id", "doc", "n", F.xxhash64("least", F.coalesce(F.pmod("id", F.ceil(F.col("c") / group_size)), F.lit(0))).alias("group"))
-    grouped = durable(grouped)
+    texts = texts.withColumn("id", F.xxhash64("doc"))
+    # copies are left out within a task; those of other tasks repeat rows, which changes nothing
+    sets = durable(texts.select("id", "text").mapInArrow(_sets(k, least, threshold, order), SETS))
+    narrow = sets.select("id", "n", "least").distinct()
+    sizes = narrow.groupBy("least").agg(F.count("*").alias("c")).where(F.col("c") > group_size)
+    grouped = durable(narrow.join(sizes, "least", "left").select("id", "n", F.xxhash64("least", F.coalesce(F.pmod("id", F.ceil(F.col("c") / group_size)), F.lit(0))).alias("group")))
     # rows (token, id): a token past ``index`` is first for queries only
-    rows = sets.select("id", "n", F.col("index"), F.posexplode("first").alias("i", "token")).select("token", "id", "n", (F.col("i") < F.col("index")).alias("indexed")).repartition(width(spark), "token")
+    rows = sets.select("id", "n", F.col("index"), F.posexplode("first").alias("i", "token")).select("token", "id", "n", "i", (F.col("i") < F.col("index")).alias("indexed")).repartition(width(spark), "token")
     shared = rows.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max("indexed").alias("x")).where("a <> b AND x").select("token")
     met = durable(rows.join(shared, "token"))
-    matrix = met.where("indexed").join(grouped.select("id", "group"), "id").groupBy("token", "group").agg(F.min("n").alias("low"))
-    # the query is the larger document: a member needs at least threshold of its size
-    queries = met.select("token", "id", "n")
-    candidates = queries.join(matrix, "token").where(F.col("low") <= F.col("n")).select("id", "group", "n").distinct()
-    spans = grouped.groupBy("group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("c"), F.min("id").alias("only"))
-    candidates = candidates.join(spans, "group").where((F.col("low") <= F.col("n")) & (F.col("high") >= F.col("n") * threshold - 1e-6) & ((F.col("c") > 1) | (F.col("only") != F.col("id"))))
-    candidates = durable(candidates.select("group", "id"))
+    matrix = met.where("indexed").join(grouped.select("id", "group"), "id").groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("i").alias("j"), F.min("id").alias("only"), F.max("id").alias("last"))
+    # The query is the larger document: a member needs at least threshold of its size. At the first
+    # token two documents share, what is left of both must reach the overlap they need.
+    smaller = F.greatest(F.col("low"), F.ceil(F.col("n") * threshold - 1e-6))
+    left = F.least(F.col("n") - F.col("i"), F.least(F.col("high"), F.col("n")) - F.col("j"))
+    enough = left >= (F.col("n") + smaller) * (threshold / (1 + threshold)) - 1e-6
+    queries = met.select("token", "id", "n", "i")
+    candidates = queries.join(matrix, "token").where((F.col("low") <= F.col("n")) & (F.col("high") >= F.col("n") * threshold - 1e-6) & enough & ((F.col("only") != F.col("id")) | (F.col("last") != F.col("id")))).select("id", "group").distinct()
+    candidates = durable(candidates)
     opened = candidates.select("group").distinct()
-    members = grouped.join(opened, "group").select("group", "id", "doc", F.lit(False).alias("query"))
-    asked = candidates.join(grouped.select("id", "doc"), "id").select("group", "id", "doc", F.lit(True).alias("query"))
-    parts = durable(members.unionByName(asked).drop("id"))
-    wanted = texts.join(parts.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
-    pairs = parts.join(wanted, "doc").repartition(width(spark), "group").sortWithinPartitions("group", "query").select("group", "query", "doc", "text").mapInArrow(_open(k, least, threshold), PAIRS)
+    members = grouped.join(opened, "group").select("group", "id", F.lit(False).alias("query"))
+    parts = members.unionByName(candidates.select("group", "id", F.lit(True).alias("query")))
+    wanted = texts.join(parts.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    pairs = wanted.join(parts, "id").repartition(width(spark), "group").sortWithinPartitions("group", "query").select("group", "query", "doc", "text").mapInArrow(_open(k, least, threshold), PAIRS)
     return pairs.distinct()
