@@ -1,7 +1,7 @@
 """Long exact spans shared between records.
 
-Tokens are character 64-grams at positions chosen by their content: of every
-136 consecutive positions the one with the least hash of its 24-gram. So
+Tokens are character 48-grams at positions chosen by their content: of every
+152 consecutive positions the one with the least hash of its 24-gram. So
 every stretch of 200 characters chooses one of its own grams, and equal
 stretches choose alike. A gram is an edge of a De Bruijn graph, the grams
 chosen next to it in a document are its neighbours:
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quern.session import durable, width
 
-GRAM, CHOOSE, CHUNK = 64, 24, 500_000
+GRAM, CHOOSE, CHUNK = 48, 24, 500_000
 A = np.uint64(0x9E3779B97F4A7C15)
 B = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -86,7 +86,8 @@ def anchors(texts: list[str], length: int):
     """Of each text: the positions of its grams, the first window each owns, their keys, the hashes of the ways to the next one."""
     cs = [codes(t) for t in texts]
     c, ends = np.concatenate(cs), np.cumsum([len(x) for x in cs])
-    g = grams(c, GRAM)
+    g = grams(c, 32)
+    gram = stretch(g, GRAM)
     w = length - GRAM
     arg = least(stretch(g, CHOOSE), w)
     starts = np.concatenate([np.arange(e - len(x), e - length + 1) for x, e in zip(cs, ends)])
@@ -95,14 +96,14 @@ def anchors(texts: list[str], length: int):
     new = np.ones(len(own), bool)
     new[1:] = (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])
     at, low, doc = own[new].astype(np.int64), starts[new], doc[new]
-    keys = g[GRAM][at]
+    keys = gram[at]
     n = len(at)
     ways = np.zeros(n, np.int32)
     if n > 1:
         a, b = at[:-1], at[1:]
         h = mix(keys[:-1], keys[1:])
         for k in range(GRAM, w, GRAM):
-            h = mix(h, g[GRAM][np.minimum(a + k, b).clip(0, len(g[GRAM]) - 1)])
+            h = mix(h, gram[np.minimum(a + k, b).clip(0, len(gram) - 1)])
         h = mix(h, (b - a).astype(np.uint64))
         h = (h >> np.uint64(33)).astype(np.int32) | 1
         ways[:-1] = np.where(doc[1:] == doc[:-1], h, 0)
