@@ -326,8 +326,8 @@ class Go(Climbing):
         self.p += 1
         if self.K[self.p] == "{":
             self.fail("a condition")
-        if self.header()[0] > 1:
-            self.fail("{")
+        if self.header()[0] > 1 or self.K[self.p - 1] == ";":
+            self.fail("a condition")
         self.block()
         if self.eat(self.t["else"]):
             if self.K[self.p] == self.t["if"]:

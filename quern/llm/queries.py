@@ -2,10 +2,38 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, mixing, neardup, spans
+from quern.llm import bpe, handwritten, invalid, mixing, neardup, secrets, spans
 from quern.session import table
 
 
+def p2_found(spark, d):
+    return invalid.invalid(table(spark, d, "files")).select("repo_name", "file_path").distinct()
+
+
+def p2_errors(spark, d):
+    return invalid.invalid(table(spark, d, "files"))
+
+
+def p2_rates(spark, d):
+    return invalid.rates(table(spark, d, "files"))
+
+
+def p4_found(spark, d):
+    return handwritten.not_handwritten(table(spark, d, "files"), table(spark, d, "library_files")).select("repo_name", "file_path").distinct()
+
+
+def p4_judged(spark, d):
+    return handwritten.judged(table(spark, d, "files"), table(spark, d, "library_files"))
+
+
+def p6_found(spark, d):
+    return secrets.found(table(spark, d, "files"))
+
+
+def p6_redacted(spark, d):
+    return secrets.redacted(table(spark, d, "files"))
+
+
 def p7_found(spark, d):
     return neardup.near_pairs(neardup.contents(table(spark, d, "files"))).select("hash_a", "hash_b")
 
@@ -30,6 +58,9 @@ def p10_part(spark, d):
     return spans.shared_part(table(spark, d, "documents"))
 
 
-QUERIES = {"p7_found": p7_found, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_part": p10_part}
+QUERIES = {
+    "p2_found": p2_found, "p2_errors": p2_errors, "p2_rates": p2_rates, "p4_found": p4_found, "p4_judged": p4_judged, "p6_found": p6_found, "p6_redacted": p6_redacted,
+    "p7_found": p7_found, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_part": p10_part,
+}
 
 SQL: dict[str, str] = {}

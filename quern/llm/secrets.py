@@ -39,32 +39,37 @@ QUOTE = "[\"'`]"
 SEAM = re.compile(r"""(?<=[^\s\\"'`(\[{,=:])(["'`])[ \t]*(?:[+.][ \t]*(?:\\?\r?\n[ \t]*)?|(?:\\?\r?\n[ \t]*)[+.]?[ \t]*)(?:[urbfURBF@]{0,2})\1(?=[^\s"'`)\],;])""")
 
 #: Last words of names that hold credentials, as they are or after one of the words before (fixed values).
-ALONE = frozenset("password passwd pwd pass passphrase passcode secret token jwt cred creds credential credentials apikey apitoken authtoken accesskey secretkey privatekey clientsecret".split())
+ALONE = frozenset("password passwd pwd pw pass passphrase passcode secret token jwt cred creds credential credentials apikey apitoken authtoken accesskey secretkey privatekey clientsecret".split())
 PAIRS = frozenset("api_key access_key secret_key private_key auth_key account_key encryption_key signing_key master_key service_key access_key_id secret_access_key auth_token access_token refresh_token client_secret bearer_token db_pass".split())
 #: Names whose values identify or check something, or only speak of a credential.
 NEVER = frozenset("checksum sha sha1 sha256 sha512 md5 crc etag digest hash commit revision uuid guid request_id trace_id build_id integrity fingerprint tenant public url uri hint file path name type ttl expiry expires length size count field header_name prefix format pattern regex label id kind env var".split())
-WEAK = frozenset("auth authorization cfg config conf key k header dsn conn connection".split())
+WEAK = frozenset("auth authorization cfg config conf hdr header dsn conn connection".split())
+WEAK_ALONE = frozenset("k key conf value v".split())
 
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-ASSIGN = re.compile(
-    r"""(?P<name>[A-Za-z_$][\w$.-]{0,80}?)["'`\]]{0,2}
-    (?:[ \t]*:[ \t]*[A-Za-z_][\w.<>\[\]|& \t]{0,30}(?=[ \t]*=)|[ \t]+[A-Za-z_][\w.]{0,20}(?=[ \t]*=)|\[\])?
-    (?:[ \t]*(?:=>|:=|\?\?=|\|\|=|={1,3}|:(?!:)|,(?=[ \t]*["'`]))[ \t]*|[ \t]+(?=["'])|["'][ \t]+value[ \t]*=[ \t]*)
-    (?:\(?[ \t]*(?:\r?\n[ \t]*)?)
-    (?:(?:[urbfURBF]{1,2}|@)?(?P<quote>\"\"\"|'''|["'`])(?P<quoted>[^\n]{1,2000}?)(?<!\\)(?P=quote)|(?P<plain>[^\s"'`,;(){}<>\[\]\\|]{4,400}))""",
+#: A literal without blanks that has a digit or a sign; the name is looked for to its left.
+QUOTED = re.compile(r"""(["'`])(?=[^\s"'`]*[\d!@#$%^&*+~])((?:[^\s"'`\\]|\\.){6,2000})\1""")
+PLAIN = re.compile(r"""[=:][ \t]*((?=[^\s"'`]*\d)[^\s"'`,;(){}<>\[\]\\|]{6,400})""")
+LEFT = re.compile(
+    r"""(?P<name>[A-Za-z_$][\w$.-]{0,80}(?<!-))(?:["'`\]]{0,2}
+    (?:[ \t]*:[ \t]*[A-Za-z_][\w.<>\[\]|&]{0,30}[ \t]*=|[ \t]+(?:\*?string|\[\]byte)[ \t]*=|\[\][ \t]*=|[ \t]*(?:=>|:=|\?\?=|\|\|=|={1,3}|:)|[ \t]+value[ \t]*=|(?=[ \t]+(?:[urbfURBF]{1,2}|@)?["'`]{0,2}\Z))|(?P<call>["'][ \t]*,))
+    [ \t]*\(?[ \t]*(?:\r?\n[ \t]*)?(?:[urbfURBF]{1,2}|@)?["'`]{0,2}\Z""",
     re.X,
 )
 URL = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]{1,20}://(?P<user>[^\s:/@\"'`<>]{0,80}):(?P<value>[^\s@/\"'`<>]{3,200})@[\w.\[\]-]+")
 HEADER = re.compile(r"(?i)\b(?:authorization|proxy-authorization|x-[a-z-]{2,30}|bearer|basic)\b[\"']?\s*[:=]?\s*[\"']?\s*(?:(?:bearer|basic|token)\s+)?")
-SCHEME = re.compile(r"(?i)\b(?:bearer|basic)[ \t]+(?P<value>[A-Za-z0-9+/=_.~-]{12,500})")
+SCHEME = re.compile(r"(?i)\b(?:bearer|basic)[ \t]+(?P<value>[A-Za-z0-9+/=_.~!@#$%^&*-]{8,500})")
 KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 #: Forms issuers give their keys, wherever they stand (fixed values).
 ISSUED = re.compile(
-    r"(?<![A-Za-z0-9+/_-])(?:(?:AKIA|ASIA)[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_\w{22,}|glpat-[\w-]{20}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}|AIza[\w-]{35}|npm_[A-Za-z0-9]{36}|SG\.[\w-]{22}\.[\w-]{43}|eyJ[\w-]{10,}\.eyJ[\w-]{10,}\.[\w-]{10,})(?![A-Za-z0-9_-])"
+    r"(?:(?:AKIA|ASIA)[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_\w{22,}|glpat-[\w-]{20}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}|AIza[\w-]{35}|npm_[A-Za-z0-9]{36}|SG\.[\w-]{22}\.[\w-]{43}|eyJ[\w-]{10,}\.eyJ[\w-]{10,}\.[\w-]{10,})(?![A-Za-z0-9_-])"
 )
+QUERY = re.compile(r"[?&]([A-Za-z_-]{2,40})=([^\s&\"'`<>]{8,500})")
+CALL = re.compile(r"\w\([ \t]*[\"']\Z")
+WORDY = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
 PLACEHOLDER = re.compile(
     r"""(?ix)^(?:[x*.#?_-]+|0+|(?:your|my|insert|enter|replace|put|add)[\s_-].*|.*(?:_here|-here)|<.*>|\$\{?.*|\{\{?.*|%.*%?|@.*@|env[:.].*|vault[:.].*|secret[:.].*|file[:.].*|
-    (?:the|a|an|some|any)[_-]?\w*|none|null|nil|undefined|true|false|todo|tbd|fixme|redacted|removed|hidden|masked|empty|changeme|change[_-]?me|change[_-]?it|placeholder|dummy|fake|
+    (?:the|a|an|some|any)[_-][a-z_-]*|none|null|nil|undefined|true|false|todo|tbd|fixme|redacted|removed|hidden|masked|empty|changeme|change[_-]?me|change[_-]?it|placeholder|dummy|fake|
     (?:example|sample|test|demo|default|dummy|fake)[_-]?[a-z_-]*\d{0,3}|password\d{0,3}|passwd|secret\d{0,3}|token|pass|pwd|string|str|text|int|bool|number|required|optional)$"""
 )
 REFERENCE = re.compile(r"(?i)^(?:os\.|process\.|system\.|env\b|getenv|config[.\[]|settings[.\[]|self\.|this\.|\w+\(|\w+(?:\.\w+){2,}$)")
@@ -93,6 +98,9 @@ class Joined:
         return at + self.shift[bisect_right(self.starts, at) - 1]
 
 
+SOLID = re.compile(r"[A-Za-z0-9+/=_.~-]+\Z")
+
+
 def words(name: str) -> list[str]:
     return [w.lower() for w in WORD.findall(name)]
 
@@ -109,7 +117,7 @@ def standing(name: str) -> str:
         return "never"
     if w[-1] in ALONE:
         return "strong"
-    if any(x in ALONE or x in WEAK for x in w) or any("_".join(w[i : i + 2]) in PAIRS for i in range(len(w) - 1)):
+    if (len(w) == 1 and w[0] in WEAK_ALONE) or any(x in ALONE or x in WEAK for x in w) or any("_".join(w[i : i + 2]) in PAIRS for i in range(len(w) - 1)):
         return "weak"
     return "none"
 
@@ -139,7 +147,7 @@ def opaque(v: str) -> bool:
 def chosen(v: str) -> bool:
     """May be a password that someone chose: two kinds of characters at least, a digit or a sign among them."""
     kinds = [any(c.islower() for c in v), any(c.isupper() for c in v), any(c.isdigit() for c in v), any(not c.isalnum() for c in v)]
-    return len(v) >= 6 and sum(kinds) >= 2 and (kinds[2] or kinds[3]) and len(set(v)) >= 4
+    return len(v) >= 6 and sum(kinds) >= 2 and (kinds[2] or (kinds[1] and kinds[3])) and len(set(v)) >= 4
 
 
 def refused(v: str) -> bool:
@@ -151,48 +159,47 @@ def candidates(text: str, config: bool):
     j = Joined(text)
     t = j.text
     out = []
-    for m in KEY.finditer(t):
+    for m in KEY.finditer(t) if "PRIVATE KEY" in t else ():
         body = re.sub(r"\\[rn]|[\s\"'`+.,\\#*/]|//", "", t[m.end() : m.end() + 400])
         if re.match(r"[A-Za-z0-9+/=:-]{24}", body):
             end = t.find("-----END", m.end())
             stop = t.find("-----", end + 8) + 5 if end >= 0 else min(len(t), m.end() + 64)
             out.append((j.back(m.start()), j.back(max(stop, m.end()) - 1) + 1, t[m.start() : max(stop, m.end())], "key"))
     keys = [(a, b) for a, b, _, _ in out]
-    for m in URL.finditer(t):
+    for m in URL.finditer(t) if "://" in t else ():
         v = m["value"]
         if not refused(v):
             out.append((j.back(m.start("value")), j.back(m.end("value") - 1) + 1, v, "url"))
-    for m in SCHEME.finditer(t):
+    for m in SCHEME.finditer(t) if "earer " in t or "asic " in t or "EARER " in t or "ASIC " in t else ():
         v = m["value"]
-        if not refused(v) and (opaque(v) or len(v) >= 20 and any(c.isdigit() for c in v)):
+        if not refused(v) and (opaque(v) or (chosen(v) and any(c.isdigit() for c in v))):
             out.append((j.back(m.start("value")), j.back(m.end("value") - 1) + 1, v, "header"))
     for m in ISSUED.finditer(t):
-        if not PLACEHOLDER.match(m[0]):
+        if not PLACEHOLDER.match(m[0]) and not (m.start() and t[m.start() - 1] in WORDY):
             out.append((j.back(m.start()), j.back(m.end() - 1) + 1, m[0], "issued"))
-    at = 0
-    while (m := ASSIGN.search(t, at)) is not None:
-        at = m.end("name") + 1
-        s = standing(m["name"])
-        if s == "never":
+    values = [(m.start(2), m.end(2), m[2]) for m in QUOTED.finditer(t)]
+    if config:
+        values += [(m.start(1), m.end(1), m[1]) for m in PLAIN.finditer(t)]
+    for m in QUERY.finditer(t) if "?" in t and "=" in t else ():
+        if standing(m[1]) == "strong" and not refused(m[2]) and (opaque(m[2]) or chosen(m[2])):
+            out.append((j.back(m.start(2)), j.back(m.end(2) - 1) + 1, m[2], "strong"))
+    for a, b, v in values:
+        if refused(v) or not (opaque(v) or chosen(v)):
             continue
-        quoted = m["quoted"] is not None
-        if not quoted and not config:
+        m = LEFT.search(t, max(0, a - 160), a)
+        if m is None:
             continue
-        v, g = (m["quoted"], "quoted") if quoted else (m["plain"], "plain")
-        if s == "none" and not (12 <= len(v) <= 200):
-            continue
-        at = m.end(g) if s == "strong" else at
-        if refused(v):
+        if m["call"] and not CALL.search(t, max(0, m.start() - 40), m.start()):
+            continue  # only define("NAME", "value") and the like
+        s = standing(m["name"])
+        if s == "never":
             continue
-        if s == "strong":
-            if not (chosen(v) or opaque(v)):
-                continue
-        elif s == "weak":
-            if not (opaque(v) or (chosen(v) and sum((any(c.isupper() for c in v), any(c.isdigit() for c in v), any(not c.isalnum() and c not in "._-/:," for c in v))) >= 3)):
+        if s == "weak":
+            if not (opaque(v) or sum((any(c.isupper() for c in v), any(c.isdigit() for c in v), any(not c.isalnum() and c not in "._-/:," for c in v))) >= 3):
                 continue
-        elif not opaque(v) or not re.fullmatch(r"[A-Za-z0-9+/=_.~-]+", v):
+        elif s == "none" and not (12 <= len(v) <= 200 and opaque(v) and SOLID.match(v)):
             continue
-        out.append((j.back(m.start(g)), j.back(m.end(g) - 1) + 1, v, s))
+        out.append((j.back(a), j.back(b - 1) + 1, v, s))
     return [x for x in out if x[3] == "key" or not any(a <= x[0] < b for a, b in keys)]
 
 
