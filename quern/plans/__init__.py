@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from quern.plans import data_core
+    from quern.plans import data_core, scoring
 
-    return [data_core]
+    return [data_core, scoring]
 
 
 def all_queries() -> dict:
@@ -18,4 +18,4 @@ def all_sql() -> dict:
 
 
 def flagship(spark, sf_dir):
-    return all_queries()["p3_top"](spark, sf_dir)
+    return all_queries()["file_malicious_score"](spark, sf_dir)
