@@ -22,6 +22,15 @@ def strings(values) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
 
+def fenced(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with further columns that are evaluated exactly once.
+
+    Through a generator of one row: the optimizer would otherwise put a costly
+    expression into every use of its column, filters above all.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def code_files(files: DataFrame) -> DataFrame:
     """repo_name, file_path, ext, content of the text files with a code suffix; exact repeats once."""
     ext = text.suffix("file_path")
@@ -31,7 +40,7 @@ def code_files(files: DataFrame) -> DataFrame:
 def features(files: DataFrame) -> DataFrame:
     """Of each code file: tokens (distinct), n_tokens, functions, classes, imports, comments, patterns."""
     c = F.col("content")
-    f = code_files(files).withColumn("all_tokens", text.tokens(c))
+    f = fenced(code_files(files), all_tokens=text.tokens(c))
     return f.select(
         *KEYS, "ext", "content", F.size("all_tokens").alias("n_tokens"), F.array_distinct("all_tokens").alias("tokens"),
         text.function_names(c).alias("functions"), text.class_names(c).alias("classes"), text.import_names(c).alias("imports"), text.comment_words(c).alias("comments"), text.suspicious(c).alias("patterns"),
@@ -134,10 +143,10 @@ def file_found(f: DataFrame) -> DataFrame:
     """Every file with its found keywords (sorted), their weights added up and the CRITICAL ones."""
     critical = [k["keyword"] for k in dims.keywords() if k["severity"] == "CRITICAL"]
     hits = F.concat(exact_hits(), F.transform(partial_hits(), lambda m: F.struct(m["token"].alias("token"), m["weight"].alias("weight"))))
-    out = f.withColumn("hits", hits)
+    out = fenced(f, hits=hits)
     total = F.aggregate("hits", F.lit(0).cast("decimal(18,6)"), lambda a, m: (a + m["weight"].cast("decimal(18,6)")).cast("decimal(18,6)"))
-    out = out.withColumns({"found": F.array_sort(F.transform("hits", lambda m: m["token"])), "keyword_score": total.cast("double")}).drop("hits")
-    return out.withColumn("critical", F.array_intersect("found", strings(critical)))
+    found = F.array_sort(F.transform("hits", lambda m: m["token"]))
+    return fenced(out, found=found, keyword_score=total.cast("double"), critical=F.array_intersect(found, strings(critical))).drop("hits")
 
 
 def name_points() -> Column:
@@ -154,9 +163,9 @@ def level(score: Column) -> Column:
 
 def file_scores(f: DataFrame, scan: bool = False, rules: list[dict] | None = None) -> DataFrame:
     """The score of every code file and its parts. ``scan``: with the signatures' names and boost."""
-    d = file_found(f).withColumn("rule_names", rule_names(F.col("found")))
+    d = fenced(file_found(f), rule_names=rule_names(F.col("found")))
     if scan:
-        d = d.withColumn("signatures", signatures.matched("content", rules)).withColumn("rule_names", F.array_union("rule_names", "signatures"))
+        d = fenced(d, signatures=signatures.matched("content", rules)).withColumn("rule_names", F.array_union("rule_names", "signatures"))
     d = d.withColumns({"co_occurrence_score": pair_boost(F.col("found")), "pattern_score": F.size("rule_names") * F.lit(50.0), "context_score": name_points()})
     d = d.withColumn("total_score", F.col("keyword_score") + F.col("co_occurrence_score") + F.col("pattern_score") + F.col("context_score"))
     d = d.withColumn("normalized_score", F.least(F.lit(100.0), F.col("total_score") / 500 * 100))

