@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from quern.session import durable
 
+#: kind and text are those of a node, and of an edge's child: what a scalar holds stands on its bridge row as well, so that reading a member needs no join with the nodes.
 PARTS = "part string, record string, hash string, kind string, text string, member string, ordinal int, child string"
 
 
@@ -86,7 +87,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen[h] = v
         for h, (kind, text, edges) in seen.items():
             rows.append(("node", None, h, kind, text, None, None, None))
-            rows += [("edge", None, h, None, None, m, i, c) for m, i, c in edges]
+            rows += [("edge", None, h, seen[c][0], seen[c][1], m, i, c) for m, i, c in edges]
         for k in range(0, len(rows), 50_000):
             part = list(zip(*rows[k : k + 50_000]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, types)], names)
@@ -105,10 +106,8 @@ class Merkle:
         parts = durable(given.mapInArrow(_parts, PARTS))
         self.roots = parts.where("part = 'root'").select("record", "hash").distinct()
         self.nodes = parts.where("part = 'node'").select("hash", "kind", "text").dropDuplicates(["hash"])
-        self.edges = parts.where("part = 'edge'").select("hash", "member", "ordinal", "child").distinct()
-        self.typed = durable(
-            self.edges.join(self.nodes.select(F.col("hash").alias("child"), "kind", "text"), "child")
-        )
+        self.typed = durable(parts.where("part = 'edge'").select("hash", "member", "ordinal", "child", "kind", "text").dropDuplicates(["hash", "member", "ordinal"]))
+        self.edges = self.typed.drop("kind", "text")
 
     def children(self, parents: DataFrame, at: str, member: str) -> DataFrame:
         """``parents`` joined with the values of ``member`` of the object hashed in ``at``.
