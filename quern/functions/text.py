@@ -63,5 +63,7 @@ def comment_words(c: Column) -> Column:
 
 
 def suspicious(c: Column) -> Column:
-    """Distinct matched strings of the suspicious expressions, sorted."""
-    return F.array_sort(F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(c, F.lit("(?id)" + p), F.lit(0)) for p in dims.PATTERNS]))))
+    """Distinct matched strings of the suspicious expressions, sorted. One test tells whether any of them occurs at all."""
+    some = F.rlike(c, F.lit("(?id)" + "|".join(dims.PATTERNS)))
+    each = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(c, F.lit("(?id)" + p), F.lit(0)) for p in dims.PATTERNS]))))
+    return F.when(some, each).otherwise(F.array().cast("array<string>"))

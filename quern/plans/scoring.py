@@ -65,12 +65,16 @@ def keyword_weight_lookup(spark, d):
     return k.select("keyword", "n", F.coalesce(weights[F.col("keyword")], F.lit(1.0)).alias("weight"))
 
 
+def patterned(spark, d):
+    return kw.fenced(kw.code_files(corpus(spark, d)), patterns=kw.text.suspicious(F.col("content")))
+
+
 def suspicious_patterns(spark, d):
-    return features(spark, d).where(F.size("patterns") > 0).select(*KEYS, joined("patterns").alias("patterns"), F.size("patterns").alias("n"))
+    return patterned(spark, d).where(F.size("patterns") > 0).select(*KEYS, joined("patterns").alias("patterns"), F.size("patterns").alias("n"))
 
 
 def pattern_counts_repo(spark, d):
-    f = features(spark, d).groupBy("repo_name").agg(F.sum(F.size("patterns")).alias("pattern_count"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_set("patterns")))), 1, 50).alias("p"))
+    f = patterned(spark, d).groupBy("repo_name").agg(F.sum(F.size("patterns")).alias("pattern_count"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_set("patterns")))), 1, 50).alias("p"))
     return f.select("repo_name", "pattern_count", joined("p").alias("first_patterns"))
 
 
