@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from quern.plans import data_core, labelling, repositories, scoring
+    from quern.plans import data_core, labelling, repositories, scoring, streams
 
-    return [data_core, scoring, repositories, labelling]
+    return [data_core, scoring, repositories, labelling, streams]
 
 
 #: The tables' own texts hold hardly any of the rules' words, so the scoring queries append one of

@@ -77,5 +77,5 @@ def test_stored_once(spark):
     turned = {"author": {"email": "e", "name": "n"}, "sha": "s"}
     m = nested.Merkle(spark.createDataFrame([("a", json.dumps([same])), ("b", json.dumps([turned, same]))], "r string, j string"), "r", "j")
     assert m.nodes.where("kind = 'object'").count() == 2 and m.roots.count() == 2
-    assert m.items(m.roots.select("record", "hash"), "hash", "").count() == 0
+    assert m.children(m.roots, "hash", "").count() == 3 and m.typed.where("member = 'sha'").count() == 1
     assert m.edges.where("member = ''").count() == 3
