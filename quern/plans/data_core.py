@@ -60,5 +60,35 @@ WITH listed AS (SELECT {_full('full_name')} AS k, max(updated_at) AS v FROM sear
 done AS (SELECT {_full('repo_name')} AS k, max(source_updated_at) AS v FROM crawled WHERE crawled_at IS NOT NULL GROUP BY 1)
 SELECT listed.k AS full_name FROM listed LEFT JOIN done ON listed.k = done.k
 WHERE listed.k LIKE '%/%' AND (done.k IS NULL OR listed.v > done.v)
+""",
+    "p1_found": """
+WITH dumps AS (SELECT DISTINCT repo_name, commits_data::JSON AS j FROM commit_dumps WHERE json_valid(commits_data)),
+lists AS (SELECT repo_name, CASE json_type(j) WHEN 'OBJECT' THEN json_extract(j, '$.commits') ELSE j END AS j FROM dumps),
+items AS (SELECT repo_name, unnest(json_extract(j, '$[*]')) AS c FROM lists WHERE json_type(j) = 'ARRAY'),
+commits AS (SELECT DISTINCT repo_name, json_extract_string(c, '$.sha') AS sha, c FROM (SELECT repo_name, CASE WHEN json_exists(c, '$.sha') THEN c ELSE json_extract(c, '$.node') END AS c FROM items) WHERE json_type(c, '$.sha') = 'VARCHAR'),
+authors AS (SELECT repo_name, sha, CASE json_type(c, '$.author')
+    WHEN 'VARCHAR' THEN coalesce(nullif(trim(regexp_extract(json_extract_string(c, '$.author'), '<([^<>]*)>', 1)), ''), trim(json_extract_string(c, '$.author')))
+    WHEN 'OBJECT' THEN coalesce(nullif(json_extract_string(c, '$.author.email'), ''), json_extract_string(c, '$.author.name')) END AS name FROM commits),
+parents AS (SELECT repo_name, sha, json_extract(c, '$.parents') AS p FROM commits),
+parent AS (SELECT repo_name, sha, i - 1 AS pos, json_extract_string(p, '$[' || (i - 1) || ']') AS name FROM (SELECT *, unnest(generate_series(1, json_array_length(p)::BIGINT)) AS i FROM parents WHERE json_type(p) = 'ARRAY')
+  UNION ALL SELECT repo_name, sha, 0, json_extract_string(p, '$') FROM parents WHERE json_type(p) = 'VARCHAR'),
+given AS (SELECT repo_name, sha, CASE WHEN json_type(c, '$.files_changed') = 'VARCHAR' THEN json_extract_string(c, '$.files_changed')::JSON ELSE json_extract(c, '$.files_changed') END AS f FROM commits),
+changes AS (SELECT repo_name, sha, i - 1 AS pos, json_extract(f, '$[' || (i - 1) || ']') AS f FROM (SELECT *, unnest(generate_series(1, json_array_length(f)::BIGINT)) AS i FROM given WHERE json_type(f) = 'ARRAY')
+  UNION ALL SELECT repo_name, sha, 0, f FROM given WHERE json_type(f) = 'OBJECT'),
+hunks AS (SELECT repo_name, sha || ':' || pos AS parent_id, json_extract(f, '$.hunks') AS h FROM changes),
+hunk AS (SELECT repo_name, parent_id, i - 1 AS pos, json_extract_string(h, '$[' || (i - 1) || '].header') AS name FROM (SELECT *, unnest(generate_series(1, json_array_length(h)::BIGINT)) AS i FROM hunks WHERE json_type(h) = 'ARRAY')
+  UNION ALL SELECT repo_name, parent_id, 0, json_extract_string(h, '$.header') FROM hunks WHERE json_type(h) = 'OBJECT'),
+infos AS (SELECT DISTINCT repo_name, CASE WHEN json_type(repo_info) = 'VARCHAR' THEN json_extract_string(repo_info, '$')::JSON ELSE repo_info::JSON END AS j FROM repos WHERE json_valid(repo_info)),
+topic AS (SELECT repo_name, i - 1 AS pos, json_extract(t, '$[' || (i - 1) || ']') AS t FROM (SELECT repo_name, json_extract(j, '$.topics') AS t, unnest(generate_series(1, json_array_length(j, '$.topics')::BIGINT)) AS i FROM infos WHERE json_type(j, '$.topics') = 'ARRAY')),
+release AS (SELECT repo_name, unnest(json_extract(j, '$.releases[*]')) AS r FROM infos),
+asset AS (SELECT repo_name, tag, i - 1 AS pos, json_extract_string(a, '$[' || (i - 1) || '].name') AS name FROM (SELECT repo_name, json_extract_string(r, '$.tag_name') AS tag, json_extract(r, '$.assets') AS a, unnest(generate_series(1, json_array_length(r, '$.assets')::BIGINT)) AS i FROM release WHERE json_type(r, '$.assets') = 'ARRAY')),
+every AS (
+  SELECT 'author' AS child, repo_name, sha AS parent_id, 0 AS pos, name FROM authors
+  UNION ALL SELECT 'parent', repo_name, sha, pos, name FROM parent
+  UNION ALL SELECT 'file_change', repo_name, sha, pos, CASE json_type(f, '$.path') WHEN 'OBJECT' THEN json_extract_string(f, '$.path.new') WHEN 'VARCHAR' THEN json_extract_string(f, '$.path') END FROM changes
+  UNION ALL SELECT 'hunk', repo_name, parent_id, pos, name FROM hunk
+  UNION ALL SELECT 'topic', repo_name, repo_name, pos, CASE json_type(t) WHEN 'OBJECT' THEN json_extract_string(t, '$.name') WHEN 'VARCHAR' THEN json_extract_string(t, '$') END FROM topic
+  UNION ALL SELECT 'asset', repo_name, tag, pos, name FROM asset)
+SELECT DISTINCT child, repo_name, parent_id, pos::INT AS pos, name FROM every WHERE name IS NOT NULL AND name <> '' AND parent_id IS NOT NULL
 """,
 }

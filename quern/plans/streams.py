@@ -7,13 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from quern.plans import labelling
-from quern.session import shared_dir
+from quern.session import own_dir
 from quern.streaming import jobs
 
 
 def _run(df, mode="append"):
     spark = df.sparkSession
-    base = f"{shared_dir(spark)}/quern/stream-{uuid.uuid4().hex}"
+    base = f"{own_dir(spark)}/stream-{uuid.uuid4().hex}"
     q = df.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/out").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{base}/out")
@@ -29,7 +29,7 @@ def stream_file_scores(spark, d):
 
 
 def stream_status_table(spark, d):
-    base = f"{shared_dir(spark)}/quern/stream-{uuid.uuid4().hex}"
+    base = f"{own_dir(spark)}/stream-{uuid.uuid4().hex}"
     e = jobs.table_stream(spark, d, "events")
     m = F.create_map(*[F.lit(x) for kv in labelling.STATUS.items() for x in kv])
     log = e.select(F.concat(F.lit("repo"), F.col("user_id")).alias("repo_name"), m[F.col("event_type")].alias("status"), F.when(F.col("event_type") == "error", F.col("props")).alias("error_message"), F.col("ts").alias("last_updated"))

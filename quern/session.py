@@ -48,17 +48,19 @@ def durable(df: DataFrame) -> DataFrame:
     reading of its files by another one. Parquet rather than checkpoint():
     compressed and columnar, so that later readers prune columns.
     """
-    path = f"{shared_dir(df.sparkSession)}/quern/{uuid.uuid4().hex}"
+    path = f"{own_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_durable(df: DataFrame) -> None:
-    """Delete what ``durable`` wrote, once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+def clean(spark: SparkSession) -> None:
+    """Delete all that ``durable`` wrote in this application, once no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}"
 
 
 def width(spark: SparkSession, at_least: int = 12) -> int:
