@@ -63,4 +63,21 @@ QUERIES = {
     "p7_found": p7_found, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_part": p10_part,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p7_found": """
+WITH texts AS (SELECT DISTINCT sha256(content) AS h, regexp_extract_all(content, '[A-Za-z0-9_]+') AS w FROM files WHERE content_type = 'text' AND content IS NOT NULL),
+runs AS (SELECT DISTINCT h, unnest(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM texts WHERE len(w) >= 40),
+sizes AS (SELECT h, count(*) AS n FROM runs GROUP BY h),
+pairs AS (SELECT a.h AS hash_a, b.h AS hash_b, count(*) AS common FROM runs a JOIN runs b ON a.s = b.s AND a.h < b.h GROUP BY 1, 2)
+SELECT hash_a, hash_b FROM pairs JOIN sizes x ON x.h = hash_a JOIN sizes y ON y.h = hash_b WHERE common >= 0.7 * (x.n + y.n - common)
+""",
+    "p10_found": """
+WITH windows AS (SELECT doc_id, unnest(generate_series(1, length(text) - 199)) AS s, text FROM (SELECT DISTINCT doc_id, text FROM documents) WHERE length(text) >= 200),
+hashed AS (SELECT doc_id, s - 1 AS s, md5_number(substring(text, s, 200)) AS h FROM windows),
+shared AS (SELECT h FROM hashed GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+hits AS (SELECT doc_id, s FROM hashed WHERE h IN (SELECT h FROM shared)),
+marked AS (SELECT *, CASE WHEN s <= max(s + 200) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM hits),
+parts AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS part FROM marked)
+SELECT doc_id, min(s)::INT AS span_start, (max(s) + 200)::INT AS span_end FROM parts GROUP BY doc_id, part
+""",
+}
