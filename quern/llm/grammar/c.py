@@ -31,7 +31,7 @@ class C(Climbing):
     pattern = re.compile(
         "|".join(
             [
-                COMMENT, r"(?m:^[ \t]*#[ \t]*(?:(?:define|undef|include|include_next|import|if|ifdef|ifndef|elif|elifdef|elifndef|else|endif|error|warning|pragma|line|ident)\b|(?=\r?$))(?:\\\r?\n|/\*[\s\S]*?\*/|[^\n\\]|\\(?!\r?\n))*)", "(?:L|u8|u|U)?" + DOUBLE, "(?:L|u|U)?" + SINGLE,
+                COMMENT, r"(?m:^[ \t]*#[ \t]*(?:(?:define|undef|include|include_next|import|if|ifdef|ifndef|elif|elifdef|elifndef|else|endif|error|warning|pragma|line|ident)\b|(?=\r?$))(?:\\\r?\n|/\*[\s\S]*?\*/|(?!/\*)[^\n\\]|\\(?!\r?\n))*)", "(?:L|u8|u|U)?" + DOUBLE, "(?:L|u|U)?" + SINGLE,
                 r"(?:0[xX][\da-fA-F.]+(?:[pP][+-]?\d+)?|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)[uUlLfF]*(?![\w$])",
                 r"[A-Za-z_$][\w$]*", r"<<=|>>=|\.\.\.|->|\+\+|--|&&|\|\||==|!=|<=|>=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>",
                 BLANK, r"[^ \t\r\f\v\n]",

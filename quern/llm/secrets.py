@@ -42,14 +42,16 @@ SEAM = re.compile(r"""(?<=[^\s\\"'`(\[{,=:])(["'`])[ \t]*(?:[+.][ \t]*(?:\\?\r?\
 ALONE = frozenset("password passwd pwd pw pass passphrase passcode secret token jwt cred creds credential credentials apikey apitoken authtoken accesskey secretkey privatekey clientsecret".split())
 PAIRS = frozenset("api_key access_key secret_key private_key auth_key account_key encryption_key signing_key master_key service_key access_key_id secret_access_key auth_token access_token refresh_token client_secret bearer_token db_pass".split())
 #: Names whose values identify or check something, or only speak of a credential.
-NEVER = frozenset("checksum sha sha1 sha256 sha512 md5 crc etag digest hash commit revision uuid guid request_id trace_id build_id integrity fingerprint tenant public url uri hint file path name type ttl expiry expires length size count field header_name prefix format pattern regex label id kind env var".split())
+DIGESTS = frozenset("checksum sha sha1 sha256 sha512 md5 crc etag digest hash commit revision uuid guid integrity fingerprint tenant".split())
+IDS = frozenset("request_id trace_id build_id session_id user_id client_id key_id".split())
+NEVER = frozenset("url uri hint file path name type ttl expiry expires length size count field prefix format pattern regex label id kind env var policy prompt error".split())
 WEAK = frozenset("auth authorization cfg config conf hdr header dsn conn connection".split())
 WEAK_ALONE = frozenset("k key conf value v".split())
 
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 #: A literal without blanks that has a digit or a sign; the name is looked for to its left.
-QUOTED = re.compile(r"""(["'`])(?=[^\s"'`]*[\d!@#$%^&*+~])((?:[^\s"'`\\]|\\.){6,2000})\1""")
-PLAIN = re.compile(r"""[=:][ \t]*((?=[^\s"'`]*\d)[^\s"'`,;(){}<>\[\]\\|]{6,400})""")
+QUOTED = re.compile(r"""(["'`])(?=[^\s"'`]{0,2000}[\d!@#$%^&*+~])((?:[^\s"'`\\]|\\.){6,2000})\1""")
+PLAIN = re.compile(r"""[=:][ \t]*((?=[^\s"'`]{0,400}\d)[^\s"'`,;(){}<>\[\]\\|]{6,400})""")
 LEFT = re.compile(
     r"""(?P<name>[A-Za-z_$][\w$.-]{0,80}(?<!-))(?:["'`\]]{0,2}
     (?:[ \t]*:[ \t]*[A-Za-z_][\w.<>\[\]|&]{0,30}[ \t]*=|[ \t]+(?:\*?string|\[\]byte)[ \t]*=|\[\][ \t]*=|[ \t]*(?:=>|:=|\?\?=|\|\|=|={1,3}|:)|[ \t]+value[ \t]*=|(?=[ \t]+(?:[urbfURBF]{1,2}|@)?["'`]{0,2}\Z))|(?P<call>["'][ \t]*,))
@@ -62,7 +64,7 @@ SCHEME = re.compile(r"(?i)\b(?:bearer|basic)[ \t]+(?P<value>[A-Za-z0-9+/=_.~!@#$
 KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 #: Forms issuers give their keys, wherever they stand (fixed values).
 ISSUED = re.compile(
-    r"(?:(?:AKIA|ASIA)[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_\w{22,}|glpat-[\w-]{20}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}|AIza[\w-]{35}|npm_[A-Za-z0-9]{36}|SG\.[\w-]{22}\.[\w-]{43}|eyJ[\w-]{10,}\.eyJ[\w-]{10,}\.[\w-]{10,})(?![A-Za-z0-9_-])"
+    r"(?:(?:AKIA|ASIA)[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_\w{22,}|glpat-[\w-]{20}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}|AIza[\w-]{35}|npm_[A-Za-z0-9]{36}|SG\.[\w-]{22}\.[\w-]{43}|eyJ[\w-]{10,4000}\.eyJ[\w-]{10,8000}\.[\w-]{10,})(?![A-Za-z0-9_-])"
 )
 QUERY = re.compile(r"[?&]([A-Za-z_-]{2,40})=([^\s&\"'`<>]{8,500})")
 CALL = re.compile(r"\w\([ \t]*[\"']\Z")
@@ -113,10 +115,12 @@ def standing(name: str) -> str:
     tails = {w[-1], "_".join(w[-2:]), "_".join(w[-3:])}
     if tails & PAIRS:
         return "strong"
-    if tails & NEVER or w[0] in NEVER or (len(w) > 1 and w[-2] in NEVER and w[-1] not in ALONE):
+    if tails & IDS or tails & NEVER:
         return "never"
     if w[-1] in ALONE:
         return "strong"
+    if w[0] in DIGESTS or w[-1] in DIGESTS or "_".join(w[:2]) in IDS:
+        return "never"
     if (len(w) == 1 and w[0] in WEAK_ALONE) or any(x in ALONE or x in WEAK for x in w) or any("_".join(w[i : i + 2]) in PAIRS for i in range(len(w) - 1)):
         return "weak"
     return "none"

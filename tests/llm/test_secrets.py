@@ -20,6 +20,19 @@ def test_not_found(text):
     assert lines(text, True) == [], text
 
 
+def test_names():
+    for name in ("password", "dbPassword", "FILE_PASSWORD", "smtpPass", "api_key", "accessKeyId", "SECRET_ACCESS_KEY", "authToken", "hash_secret", "nalaClientSecret", "admin_pw"):
+        assert s.standing(name) == "strong", name
+    for name in ("password_hint", "token_url", "checksum_lara", "sha256", "request_id", "buildId", "commit", "etag", "tenant_x", "tokenType", "secret_name"):
+        assert s.standing(name) == "never", name
+    assert s.standing("auth_hape") == s.standing("cfg_x") == s.standing("k") == "weak" and s.standing("folder") == "none"
+
+
+def test_long_texts_take_linear_time():
+    for text in ("=" * 300_000, "eyJ" * 100_000, "'" + "a" * 300_000, "a:" * 150_000, "\"+\"" * 80_000, "x = '" * 60_000, "://" * 100_000):
+        s.candidates(text, True)
+
+
 def test_config_and_pieces():
     assert lines("pwd: Tonelo!sotomor9366\n", True) == [1] and lines("pwd: Tonelo!sotomor9366\n") == []
     assert lines('x = 1\ntoken = ("ghp_tLeoUNJoByx4hWwC" +\n    "UEKn6ia4MfdssRB2q1Ys")\n') == [2]
