@@ -96,7 +96,8 @@ class Mixture:
 
     length: tokens of a block (the last block of a bucket of a source may be
     shorter); total: tokens wanted, by default as many as the usable sources
-    hold; shard: slots of an output shard. Sources are matched without outer
+    hold, "exact" for the most at which no source with documents falls short of
+    its share of them; shard: slots of an output shard. Sources are matched without outer
     blanks and case. Documents whose source is null or not listed, and sources
     with share or repeats of 0, are not used; null and empty texts have no
     tokens. A block is used at most max_repeats times. If no source can be
@@ -105,7 +106,7 @@ class Mixture:
     by one task.
     """
 
-    def __init__(self, documents: DataFrame, weights: DataFrame, length: int = 256, total: int | None = None, shard: int = 4096, bucket: int = 1_000_000, seed: int = 7, path: str = bpe.VOCABULARY):
+    def __init__(self, documents: DataFrame, weights: DataFrame, length: int = 256, total: int | str | None = None, shard: int = 4096, bucket: int = 1_000_000, seed: int = 7, path: str = bpe.VOCABULARY):
         self.spark, self.length, self.shard, self.seed = documents.sparkSession, length, shard, seed
         self.weights = weights_of(weights)
         usable = [s for s, (w, m) in self.weights.items() if w > 0 and m > 0]
@@ -119,7 +120,11 @@ class Mixture:
 
         self.first = sums.withColumn("first", F.sum("blocks").over(Window.partitionBy("source").orderBy("bucket")) - F.col("blocks")).select("source", "bucket", "first")
         self.n_blocks = {r.source: r.b for r in sums.groupBy("source").agg(F.sum("blocks").alias("b")).collect()}
-        wanted = sum(self.tokens.values()) if total is None else total
+        usable_share = sum(self.weights[s][0] for s in self.n_blocks)
+        if total == "exact":
+            wanted = min((self.tokens[s] * self.weights[s][1] / self.weights[s][0] * usable_share for s in self.n_blocks), default=0)
+        else:
+            wanted = sum(self.tokens.values()) if total is None else total
         mean = {s: self.tokens[s] / self.n_blocks[s] for s in self.n_blocks}
         share = {s: self.weights[s][0] for s in self.n_blocks}
         parts = fill(share, {s: self.tokens[s] * self.weights[s][1] for s in self.n_blocks}, wanted)

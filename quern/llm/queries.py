@@ -50,6 +50,11 @@ def p9_shares(spark, d):
     return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "source_weights")).shares()
 
 
+def p9_exact_shares(spark, d):
+    """The shares of the largest mixture in which no source with documents falls short."""
+    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "source_weights"), total="exact").shares()
+
+
 def p10_found(spark, d):
     return spans.shared_spans(table(spark, d, "documents"))
 
@@ -60,7 +65,7 @@ def p10_part(spark, d):
 
 QUERIES = {
     "p2_found": p2_found, "p2_errors": p2_errors, "p2_rates": p2_rates, "p4_found": p4_found, "p4_judged": p4_judged, "p6_found": p6_found, "p6_redacted": p6_redacted,
-    "p7_found": p7_found, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_part": p10_part,
+    "p7_found": p7_found, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_exact_shares": p9_exact_shares, "p10_found": p10_found, "p10_part": p10_part,
 }
 
 SQL: dict[str, str] = {

@@ -52,6 +52,12 @@ def test_shares_and_caps(spark):
     assert shares["big"].used_tokens == 3 * shares["big"].source_tokens and shares["small"].most_used == 2
 
 
+def test_exact(spark):
+    _, m = mixture(spark, total="exact")
+    got = {r.source: r.actual_share for r in m.shares().collect()}
+    assert abs(got["big"] - 0.5 / 0.9) < 0.01 and abs(got["small"] - 0.4 / 0.9) < 0.01
+
+
 def test_empty(spark):
     docs, m = mixture(spark)
     w = spark.createDataFrame([], "source string, target_share double, max_repeats int")
