@@ -8,8 +8,8 @@ chosen next to it in a document are its neighbours:
 
 1. Grams are counted by key, with their neighbours. Only keys of two or more
    texts go on.
-2. Compaction: a gram with one and the same successor in all documents, whose
-   only predecessor it is, merges with it. Joining the counts back to the
+2. Compaction: a gram with one and the same successor in all documents, which
+   occurs no more often, merges with it. Joining the counts back to the
    documents gives the maximal nonbranching paths; a path of 200 or more
    characters is shared as it stands.
 3. What such paths don't decide - stretches reaching over the ends of a path -
@@ -149,18 +149,18 @@ def _pieces(length: int, hot: int):
             for i in range(b.num_rows):
                 d, n, text = cols["doc_id"][i].as_py(), cols["n"][i].as_py(), cols["text"][i].as_py()
                 pos, low = cols["pos"][i].values.to_numpy(zero_copy_only=False), cols["low"][i].values.to_numpy(zero_copy_only=False)
-                flags = sorted((f["i"], f["key"], f["into"], f["out"], f["times"]) for f in cols["flags"][i].as_py())
+                flags = sorted((f["i"], f["key"], f["out"], f["times"]) for f in cols["flags"][i].as_py())
                 wide = None
                 k = 0
                 while k < len(flags):
                     e = k  # a path: k..e
-                    while e + 1 < len(flags) and flags[e + 1][0] == flags[e][0] + 1 and flags[e][3] and flags[e + 1][2]:
-                        e += 1
+                    while e + 1 < len(flags) and flags[e + 1][0] == flags[e][0] + 1 and flags[e][2] and flags[e + 1][3] == flags[e][3]:
+                        e += 1  # all of this gram go on to the next, which has no more: all of those come from here
                     begin, end = int(pos[flags[k][0]]), int(pos[flags[e][0]]) + GRAM
                     if end - begin >= length:
                         rows.append(("span", 0, d, begin, end, None))
                     for j in range(k, e + 1):
-                        a, key, _, _, times = flags[j]
+                        a, key, _, times = flags[j]
                         lo, hi = int(low[a]), int(low[a + 1]) - 1 if a + 1 < len(low) else n - length
                         for lo, hi in ((lo, min(hi, begin - 1)), (max(lo, begin, end - length + 1), hi)) if end - begin >= length else ((lo, hi),):
                             if lo > hi:
@@ -230,6 +230,19 @@ def merged(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     return parts.groupBy(key, "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("part")
 
 
+#: Places of the bitmap below; its 131,072 words are broadcast, whatever the number of documents.
+PLACES = 1 << 23
+
+
+def maybe(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``df`` without most of the rows whose doc_id ``wanted`` lacks, so that their texts need not be shuffled: a bitmap of hashed ids, of fixed size."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(PLACES))
+    bits = wanted.select(place("doc_id").alias("p")).groupBy(F.shiftright("p", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("__bits"))
+    own = df.withColumn("__p", place("doc_id"))
+    hit = own.join(F.broadcast(bits), F.shiftright("__p", 6) == F.col("__word"))
+    return hit.where(F.expr("shiftright(__bits, cast(__p & 63 as int)) & 1 = 1")).select(*df.columns)
+
+
 def shared_spans(documents: DataFrame, length: int = 200, hot: int = 5_000) -> DataFrame:
     """doc_id, span_start, span_end (end exclusive, in code points) of the stretches that other documents have as well.
 
@@ -254,12 +267,14 @@ def shared_spans(documents: DataFrame, length: int = 200, hot: int = 5_000) -> D
     extra = texts.join(copied, ["t", "n"]).where("doc_id <> rep").select("doc_id").distinct()
     found = durable(rows.mapInArrow(_anchors(length), FOUND))
     one = found.join(extra, "doc_id", "left_anti")
-    chosen = one.select("doc_id", F.posexplode(F.arrays_zip("keys", "ways", F.concat(F.array(F.lit(0)), F.col("ways")).alias("back"))).alias("i", "x")).where(F.col("x.keys").isNotNull()).select("doc_id", "i", F.col("x.keys").alias("key"), F.col("x.ways").alias("way"), F.col("x.back").alias("back"))
-    span = lambda c: (F.min(c) == F.max(c)) & (F.min(c) != 0)
-    graph = chosen.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), span("back").alias("into"), span("way").alias("out"), F.count("*").alias("times")).where("a <> b").drop("a", "b")
+    chosen = one.select("doc_id", F.posexplode(F.arrays_zip("keys", "ways")).alias("i", "x")).select("doc_id", "i", F.col("x.keys").alias("key"), F.col("x.ways").alias("way"))
+    onward = (F.min("way") == F.max("way")) & (F.min("way") != 0)
+    graph = chosen.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), onward.alias("out"), F.count("*").alias("times")).where("a <> b").drop("a", "b")
     # step 2: back to the documents, whose rows it decides
-    flags = chosen.select("doc_id", "i", "key").join(graph, "key").groupBy("doc_id").agg(F.collect_set(F.struct("i", "key", "into", "out", "times")).alias("flags"))
-    known = flags.join(found.select("doc_id", "n", "pos", "low"), "doc_id").join(rows, "doc_id")
+    flags = chosen.select("doc_id", "i", "key").join(graph, "key").groupBy("doc_id").agg(F.collect_set(F.struct("i", "key", "out", "times")).alias("flags"))
+    flags = durable(flags)
+    few = lambda df: maybe(df, flags)
+    known = flags.join(few(found.select("doc_id", "n", "pos", "low")), "doc_id").join(few(rows), "doc_id")
     pieces = durable(known.mapInArrow(_pieces(length, hot), PIECES))
     # step 3
     compare = pieces.where("kind = 'compare'").select("key", "doc_id", "start", "text").repartition(width(documents.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_compare(length), "doc_id bigint, start int, stop int")
