@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.bitmap import maybe
 from quern.session import durable, width
 
 GRAM, CHOOSE, CHUNK = 48, 24, 500_000
@@ -230,19 +231,6 @@ def merged(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     return parts.groupBy(key, "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("part")
 
 
-#: Places of the bitmap below; its 131,072 words are broadcast, whatever the number of documents.
-PLACES = 1 << 23
-
-
-def maybe(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``df`` without most of the rows whose doc_id ``wanted`` lacks, so that their texts need not be shuffled: a bitmap of hashed ids, of fixed size."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(PLACES))
-    bits = wanted.select(place("doc_id").alias("p")).groupBy(F.shiftright("p", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("__bits"))
-    own = df.withColumn("__p", place("doc_id"))
-    hit = own.join(F.broadcast(bits), F.shiftright("__p", 6) == F.col("__word"))
-    return hit.where(F.expr("shiftright(__bits, cast(__p & 63 as int)) & 1 = 1")).select(*df.columns)
-
-
 def shared_spans(documents: DataFrame, length: int = 200, hot: int = 5_000) -> DataFrame:
     """doc_id, span_start, span_end (end exclusive, in code points) of the stretches that other documents have as well.
 
@@ -273,7 +261,7 @@ def shared_spans(documents: DataFrame, length: int = 200, hot: int = 5_000) -> D
     # step 2: back to the documents, whose rows it decides
     flags = chosen.select("doc_id", "i", "key").join(graph, "key").groupBy("doc_id").agg(F.collect_set(F.struct("i", "key", "out", "times")).alias("flags"))
     flags = durable(flags)
-    few = lambda df: maybe(df, flags)
+    few = lambda df: maybe(df, flags, "doc_id")
     known = flags.join(few(found.select("doc_id", "n", "pos", "low")), "doc_id").join(few(rows), "doc_id")
     pieces = durable(known.mapInArrow(_pieces(length, hot), PIECES))
     # step 3
