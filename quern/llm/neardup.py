@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.bitmap import maybe
 from quern.session import durable, width
 
 WORDS = re.compile(r"[A-Za-z0-9_]+").findall
@@ -214,7 +215,8 @@ def near_pairs(texts: DataFrame, threshold: float = 0.7, k: int = 5, least: int
     candidates = durable(candidates)
     opened = candidates.select("group").distinct()
     members = grouped.join(opened, "group").select("group", "id", F.lit(False).alias("query"))
-    parts = members.unionByName(candidates.select("group", "id", F.lit(True).alias("query")))
-    wanted = texts.join(parts.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    parts = durable(members.unionByName(candidates.select("group", "id", F.lit(True).alias("query"))))
+    ids = parts.select("id").distinct()
+    wanted = maybe(texts, ids, "id").join(ids, "id", "left_semi").dropDuplicates(["id"])
     pairs = wanted.join(parts, "id").repartition(width(spark), "group").sortWithinPartitions("group", "query").select("group", "query", "doc", "text").mapInArrow(_open(k, least, threshold), PAIRS)
     return pairs.distinct()
