@@ -106,7 +106,8 @@ class Merkle:
         parts = durable(given.mapInArrow(_parts, PARTS))
         self.roots = parts.where("part = 'root'").select("record", "hash").distinct()
         self.nodes = parts.where("part = 'node'").select("hash", "kind", "text").dropDuplicates(["hash"])
-        self.typed = durable(parts.where("part = 'edge'").select("hash", "member", "ordinal", "child", "kind", "text").dropDuplicates(["hash", "member", "ordinal"]))
+        # sorted by member, so that reading one member skips the pages of all others
+        self.typed = durable(parts.where("part = 'edge'").select("hash", "member", "ordinal", "child", "kind", "text").distinct().sortWithinPartitions("member", "hash"))
         self.edges = self.typed.drop("kind", "text")
 
     def children(self, parents: DataFrame, at: str, member: str) -> DataFrame:
