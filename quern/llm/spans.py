@@ -83,8 +83,51 @@ def least(x: np.ndarray, w: int) -> np.ndarray:
     return join(arg[: len(x) - w + 1], arg[w - k : len(x) - k + 1]) if k < w else arg
 
 
-def anchors(texts: list[str], length: int):
+def gram_at(c: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the grams at some places only."""
+    out = np.empty(len(at), np.uint64)
+    for k in range(0, len(at), 20_000):
+        g = {1: (c[at[k : k + 20_000, None] + np.arange(GRAM)].astype(np.uint64) + np.uint64(1)) * B}
+        n = 1
+        while n < 32:
+            g[2 * n] = mix(g[n][:, :-n], g[n][:, n:])
+            n *= 2
+        out[k : k + 20_000] = mix(g[32][:, 0], g[16][:, 32])
+    return out
+
+
+def long_anchors(text: str, length: int, chunk: int):
+    """``anchors`` of one long text, ``chunk`` windows at a time, so that memory stays a few bytes a character."""
+    w, parts = length - GRAM, []
+    for s in range(0, len(text) - length + 1, chunk):
+        e = min(len(text) - length + 1, s + chunk)
+        g = grams(codes(text[s : e - 1 + length]), 32)
+        own = least(stretch(g, CHOOSE), w)[: e - s].astype(np.int64)
+        new = np.ones(len(own), bool)
+        new[1:] = own[1:] != own[:-1]
+        new[0] = not parts or parts[-1][0][-1] != own[0] + s
+        parts.append((own[new] + s, np.arange(s, e)[new], stretch(g, GRAM)[own[new]]))
+        if not len(parts[-1][0]):
+            parts.pop()
+    at, low, keys = (np.concatenate(x) for x in zip(*parts))
+    ways = np.zeros(len(at), np.int32)
+    if len(at) > 1:
+        c, a, b = codes(text), at[:-1], at[1:]
+        h = mix(keys[:-1], keys[1:])
+        for k in range(GRAM, w, GRAM):
+            h = mix(h, gram_at(c, np.minimum(a + k, b)))
+        ways[:-1] = way(h, b - a)
+    return [at], [low], [keys.view(np.int64)], [ways]
+
+
+def way(h: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    return (mix(h, gap.astype(np.uint64)) >> np.uint64(33)).astype(np.int32) | 1
+
+
+def anchors(texts: list[str], length: int, chunk: int = 4 * CHUNK):
     """Of each text: the positions of its grams, the first window each owns, their keys, the hashes of the ways to the next one."""
+    if len(texts) == 1 and len(texts[0]) > chunk:
+        return long_anchors(texts[0], length, chunk)
     cs = [codes(t) for t in texts]
     c, ends = np.concatenate(cs), np.cumsum([len(x) for x in cs])
     g = grams(c, 32)
@@ -105,9 +148,7 @@ def anchors(texts: list[str], length: int):
         h = mix(keys[:-1], keys[1:])
         for k in range(GRAM, w, GRAM):
             h = mix(h, gram[np.minimum(a + k, b).clip(0, len(gram) - 1)])
-        h = mix(h, (b - a).astype(np.uint64))
-        h = (h >> np.uint64(33)).astype(np.int32) | 1
-        ways[:-1] = np.where(doc[1:] == doc[:-1], h, 0)
+        ways[:-1] = np.where(doc[1:] == doc[:-1], way(h, b - a), 0)
     begin = np.array([e - len(x) for x, e in zip(cs, ends)], np.int64)
     cuts = np.searchsorted(doc, np.arange(1, len(cs)))
     split = lambda x: np.split(x, cuts)
@@ -118,20 +159,26 @@ FOUND = "doc_id bigint, n int, pos array<int>, low array<int>, keys array<bigint
 
 
 def _anchors(length: int):
+    def block(held: list) -> pa.RecordBatch:
+        found = anchors([t for _, t in held], length)
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+        lists = []
+        for parts, kind in zip(found, types):
+            flat = np.concatenate(parts).astype(kind.to_pandas_dtype())
+            lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)), pa.array(flat, kind)))
+        return pa.RecordBatch.from_arrays([pa.array([d for d, _ in held], pa.int64()), pa.array([len(t) for _, t in held], pa.int32()), *lists], ["doc_id", "n", "pos", "low", "keys", "ways"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held, size = [], 0
             for d, t, last in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), [False] * (b.num_rows - 1) + [True]):
+                if len(t) > CHUNK and held:  # a long text goes alone
+                    yield block(held)
+                    held, size = [], 0
                 held.append((d, t))
                 size += len(t)
                 if size > CHUNK or last:
-                    found = anchors([t for _, t in held], length)
-                    types = [pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-                    lists = []
-                    for parts, kind in zip(found, types):
-                        flat = np.concatenate(parts).astype(kind.to_pandas_dtype())
-                        lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)), pa.array(flat, kind)))
-                    yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in held], pa.int64()), pa.array([len(t) for _, t in held], pa.int32()), *lists], ["doc_id", "n", "pos", "low", "keys", "ways"])
+                    yield block(held)
                     held, size = [], 0
 
     return run
@@ -151,7 +198,6 @@ def _pieces(length: int, hot: int):
                 d, n, text = cols["doc_id"][i].as_py(), cols["n"][i].as_py(), cols["text"][i].as_py()
                 pos, low = cols["pos"][i].values.to_numpy(zero_copy_only=False), cols["low"][i].values.to_numpy(zero_copy_only=False)
                 flags = sorted((f["i"], f["key"], f["out"], f["times"]) for f in cols["flags"][i].as_py())
-                wide = None
                 k = 0
                 while k < len(flags):
                     e = k  # a path: k..e
@@ -167,8 +213,8 @@ def _pieces(length: int, hot: int):
                             if lo > hi:
                                 continue
                             if times > hot:
-                                wide = stretch(grams(codes(text), 128), length) if wide is None else wide
-                                rows += [("window", int(h), d, s, s + length, None) for s, h in zip(range(lo, hi + 1), wide[lo : hi + 1].view(np.int64))]
+                                wide = stretch(grams(codes(text[lo : hi + length]), 128), length)
+                                rows += [("window", int(h), d, s, s + length, None) for s, h in zip(range(lo, hi + 1), wide.view(np.int64))]
                             else:
                                 rows.append(("compare", key, d, lo, hi, text[lo : hi + length]))
                     k = e + 1

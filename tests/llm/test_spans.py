@@ -59,3 +59,21 @@ def test_part_and_empty(spark):
     rows = {r.doc_id: r for r in spans.shared_part(df).collect()}
     assert rows[100].shared_part == 1 and rows[102].shared_part == 0 and rows[102].n_chars == 0
     assert spans.shared_spans(df.limit(0)).count() == 0
+
+
+def test_long_texts_in_pieces_give_the_same_grams():
+    r = random.Random(9)
+    for abc in ("abcdefgh \n", "ab", "a"):
+        text = "".join(r.choice(abc) for _ in range(9000))
+        whole = spans.anchors([text], 200)
+        for chunk in (200, 777, 4000, 8801):
+            cut = spans.anchors([text], 200, chunk)
+            assert all(np.array_equal(x[0], y[0]) for x, y in zip(whole, cut)), chunk
+
+
+def test_a_very_long_text(spark):
+    r = random.Random(3)
+    text = "".join(r.choice("abcdefghij klmnop") for _ in range(3_000_000))
+    df = spark.createDataFrame([(1, text), (2, "x" * 300 + text[1_999_900:2_000_200] + "y"), (3, "z" * 100)], "doc_id bigint, text string")
+    got = {tuple(x) for x in spans.shared_spans(df).collect()}
+    assert got == {(1, 1_999_900, 2_000_200), (2, 300, 600)}
