@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from quern.session import durable
 
 #: kind and text are those of a node, and of an edge's child: what a scalar holds stands on its bridge row as well, so that reading a member needs no join with the nodes.
-PARTS = "part string, record string, hash string, kind string, text string, member string, ordinal int, child string"
+PARTS = "part string, record string, hash binary, kind string, text string, member string, ordinal int, child binary"
 
 
-def canonical(value, out: dict) -> str:
+def canonical(value, out: dict) -> bytes:
     """The hash of ``value``; puts its nodes and edges into ``out``.
 
     Member order doesn't matter, numbers are told from texts, a text that
@@ -49,7 +49,7 @@ def canonical(value, out: dict) -> str:
         kind, text = "null", None
     else:
         kind, text = "number" if not isinstance(value, bool) else "boolean", json.dumps(value)
-    digest = hashlib.blake2b(json.dumps([kind, text, edges]).encode(), digest_size=16).hexdigest()
+    digest = hashlib.blake2b(json.dumps([kind, text, [(m, i, c.hex()) for m, i, c in edges]]).encode(), digest_size=16).digest()
     if digest not in out:
         out[digest] = (kind, text, edges)
     return digest
@@ -69,7 +69,7 @@ def parse(text: str | None):
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["part", "record", "hash", "kind", "text", "member", "ordinal", "child"]
-    types = [pa.string()] * 6 + [pa.int32(), pa.string()]
+    types = [pa.string(), pa.string(), pa.binary(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.binary()]
     for batch in batches:
         rows, seen = [], {}
         for record, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
