@@ -66,3 +66,13 @@ def own_dir(spark: SparkSession) -> str:
 def width(spark: SparkSession, at_least: int = 12) -> int:
     """Partitions for work spread by hand: those of a shuffle, at least ``at_least``."""
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where a table of few files would keep most of them idle.
+
+    For costly work on each row. A table with at least half as many partitions
+    as there are cores stays as it is, so large inputs are never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)

@@ -22,3 +22,9 @@ def test_durable_and_clean(spark, tmp_path, monkeypatch):
 def test_durable_keeps_the_schema_of_an_empty_table(spark):
     df = spark.createDataFrame([], "a int, b array<string>, c struct<d:double>")
     assert session.durable(df).schema.simpleString() == df.schema.simpleString() and session.durable(df).count() == 0
+
+
+def test_spread_leaves_wide_tables_alone(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert session.spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == cores
+    assert session.spread(spark.range(0, 100, 1, cores * 3)).rdd.getNumPartitions() == cores * 3
