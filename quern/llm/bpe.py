@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.session import spread
+
 #: Where the vocabulary lies; every entry point takes another place.
 VOCABULARY = os.environ.get("QUERN_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
 #: The pieces a text is cut into before encoding (fixed values of the public tokenizer).
@@ -169,7 +171,7 @@ def encode(df: DataFrame, column: str = "text", path: str = VOCABULARY, keep: tu
     special token is plain text. The ids of a text depend on nothing else, so
     repeated rows give repeated rows. ``path`` is read on the executors.
     """
-    given = df.select(*[F.col(c) for c in keep], F.col(column).alias("__text"))
+    given = spread(df.select(*[F.col(c) for c in keep], F.col(column).alias("__text")))
     schema = given.drop("__text").schema.add(into, T.ArrayType(T.IntegerType(), False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

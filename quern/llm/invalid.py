@@ -28,6 +28,7 @@ from quern.llm.grammar.json import Json
 from quern.llm.grammar.php import Php
 from quern.llm.grammar.python import Python
 from quern.llm.languages import suffix
+from quern.session import spread
 
 PARSERS = {".py": ("Python", Python), ".js": ("JavaScript", Js), ".ts": ("TypeScript", Ts), ".java": ("Java", Java), ".c": ("C", C), ".h": ("C", C), ".go": ("Go", Go), ".php": ("PHP", Php), ".json": ("JSON", Json)}
 PARSED = "repo_name string, file_path string, language string, errors array<struct<line: int, wanted: string>>"
@@ -85,7 +86,7 @@ def parsed(files: DataFrame) -> DataFrame:
     the parser can follow counts as an error.
     """
     rows = files.where((F.col("content_type") == "text") & F.col("content").isNotNull()).select("repo_name", "file_path", suffix().alias("suffix"), "content")
-    return rows.where(F.col("suffix").isin(list(PARSERS))).mapInArrow(_parse, PARSED)
+    return spread(rows.where(F.col("suffix").isin(list(PARSERS)))).mapInArrow(_parse, PARSED)
 
 
 def invalid(files: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.bitmap import maybe
-from quern.session import durable, width
+from quern.session import durable, spread, width
 
 WORDS = re.compile(r"[A-Za-z0-9_]+").findall
 #: Places of the table of token counts that sets the order: 4 MB, whatever the input.
@@ -192,7 +192,7 @@ def near_pairs(texts: DataFrame, threshold: float = 0.7, k: int = 5, least: int
     runs of k tokens is at least ``threshold`` of their union.
     """
     spark = texts.sparkSession
-    texts = texts.select("doc", "text").where(F.col("text").isNotNull())
+    texts = spread(texts.select("doc", "text").where(F.col("text").isNotNull()))
     order = spark.sparkContext.broadcast(order_table(texts.select("text"), k, least))
     texts = texts.withColumn("id", F.xxhash64("doc"))
     # copies are left out within a task; those of other tasks repeat rows, which changes nothing

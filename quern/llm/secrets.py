@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import languages as L
-from quern.session import durable
+from quern.session import durable, spread
 
 #: A value used by so many owners, in different contents, is a placeholder.
 PLACEHOLDER_OWNERS = 12
@@ -224,6 +224,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def texts(files: DataFrame) -> DataFrame:
+    files = spread(files)
     return files.where((F.col("content_type") == "text") & (F.length("content") > 0)).select("repo_name", "file_path", L.suffix().alias("suffix"), F.sha2("content", 256).alias("content_hash"), "content")
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.bitmap import maybe
-from quern.session import durable, width
+from quern.session import durable, spread, width
 
 GRAM, CHOOSE, CHUNK = 48, 24, 500_000
 A = np.uint64(0x9E3779B97F4A7C15)
@@ -299,7 +299,7 @@ def shared_spans(documents: DataFrame, length: int = 200, hot: int = 5_000) -> D
     whole = texts.join(copied.select("t", "n"), ["t", "n"]).select("doc_id", F.lit(0).alias("start"), F.col("n").alias("stop")).distinct()
     # step 1: one text of each class
     extra = texts.join(copied, ["t", "n"]).where("doc_id <> rep").select("doc_id").distinct()
-    found = durable(rows.mapInArrow(_anchors(length), FOUND))
+    found = durable(spread(rows).mapInArrow(_anchors(length), FOUND))
     one = found.join(extra, "doc_id", "left_anti")
     chosen = one.select("doc_id", F.posexplode(F.arrays_zip("keys", "ways")).alias("i", "x")).select("doc_id", "i", F.col("x.keys").alias("key"), F.col("x.ways").alias("way"))
     onward = (F.min("way") == F.max("way")) & (F.min("way") != 0)
