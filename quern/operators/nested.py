@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.session import durable
+from quern.session import durable, spread
 
 #: kind and text are those of a node, and of an edge's child: what a scalar holds stands on its bridge row as well, so that reading a member needs no join with the nodes.
 PARTS = "part string, record string, hash binary, kind string, text string, member string, ordinal int, child binary"
@@ -132,6 +132,57 @@ class Merkle:
         return self.typed.where((F.col("member") == member) & (F.col("kind") == "string")).select("hash", "text")
 
 
+def decoded(value):
+    """A text that holds a whole JSON object or array as that value, all else as it is."""
+    if isinstance(value, str) and value[:1] in ("{", "["):
+        try:
+            return json.loads(value)
+        except (ValueError, RecursionError):
+            pass
+    return value
+
+
+def commits_of(value, level: int = 0, ord_: int = 0) -> Iterator[tuple[int, dict]]:
+    """(place in its list, commit) of every commit of a dump's value, by the walk of ``commit_children``."""
+    value = decoded(value)
+    if isinstance(value, dict):
+        if isinstance(value.get("sha"), str):
+            yield ord_, value
+            return
+        inner = [(ord_, v) for v in value.values()]
+    else:
+        inner = list(enumerate(value)) if isinstance(value, list) else []
+    if level < 3:
+        for i, v in inner:
+            yield from commits_of(v, level + 1, i)
+
+
+def _plain(value) -> str | None:
+    """A member as text, as a column holds it."""
+    if value is None:
+        return None
+    return value.encode("utf-8", "replace").decode() if isinstance(value, str) else json.dumps(value)
+
+
+COMMITS = "record_id bigint, repo_name string, ord int, sha string, branch_or_tag string, files_changed string"
+
+
+def _commits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["record_id", "repo_name", "ord", "sha", "branch_or_tag", "files_changed"]
+    types = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+    for b in batches:
+        rows = []
+        for record, repo, text in zip(*(b.column(c).to_pylist() for c in ("record_id", "repo_name", "commits_data"))):
+            rows += [(record, repo, i, _plain(c["sha"]), _plain(c.get("branch_or_tag")), _plain(c.get("files_changed"))) for i, c in commits_of(parse(text))]
+        part = list(zip(*rows)) if rows else [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(x, ty) for x, ty in zip(part, types)], names)
+
+
+def commit_rows(dumps: DataFrame) -> DataFrame:
+    """Every mention of a commit in a readable dump: its record, repository, place in its list and members, those that aren't text as JSON."""
+    return spread(dumps.select("record_id", "repo_name", "commits_data").where(F.col("commits_data").isNotNull())).mapInArrow(_commits, COMMITS)
+
+
 def _named(df: DataFrame, child: str, parent: str = "parent_id") -> DataFrame:
     return df.select(F.lit(child).alias("child"), F.col("record").alias("repo_name"), F.col(parent).alias("parent_id"), F.col("pos").cast("int").alias("pos"), F.col("text").alias("name")).where(F.col("name").isNotNull() & (F.col("name") != "") & F.col("parent_id").isNotNull())
 

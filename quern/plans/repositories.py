@@ -9,6 +9,7 @@ from quern import dims
 from quern.functions import text
 from quern.operators import incremental
 from quern.operators import languages as lg
+from quern.operators import nested
 from quern.plans import sql as S
 from quern.session import table
 
@@ -95,13 +96,9 @@ def repo_metadata(spark, d):
     return latest(table(spark, d, "repos"), ["repo_name"], "created_at", cols).select("repo_name", *cols)
 
 
-COMMITS = "ARRAY<STRUCT<sha STRING, branch_or_tag STRING, author_date STRING, commit_date STRING, message STRING, total_files_changed INT, files_changed STRING>>"
-
-
 def commits(spark, d):
-    """Commits of the dumps that are plain lists."""
-    c = table(spark, d, "commit_dumps").where(F.substring("commits_data", -1, 1) == "]").select("record_id", "repo_name", F.posexplode(F.from_json("commits_data", COMMITS)).alias("ord", "c"))
-    return c.select("record_id", "repo_name", "ord", "c.*").where(F.col("sha").isNotNull())
+    """Commits of all readable dumps, in whatever shape they stand."""
+    return nested.commit_rows(table(spark, d, "commit_dumps"))
 
 
 def commit_dedup(spark, d):

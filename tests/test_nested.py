@@ -79,3 +79,26 @@ def test_stored_once(spark):
     assert m.nodes.where("kind = 'object'").count() == 2 and m.roots.count() == 2
     assert m.children(m.roots, "hash", "").count() == 3 and m.typed.where("member = 'sha'").count() == 1
     assert m.edges.where("member = ''").count() == 3
+
+
+def test_commits_of_all_shapes(spark, sf):
+    """commit_dedup against plain recursion over the tables, and on hand-made dumps."""
+    from quern.plans import repositories
+
+    want: dict = {}
+    dumps = table(spark, sf, "commit_dumps").select("record_id", "repo_name", "commits_data").distinct().collect()
+    for record, repo, text in dumps:
+        try:
+            j = json.loads(text)
+        except (TypeError, ValueError):
+            continue
+        for i, c in enumerate(j["commits"] if isinstance(j, dict) else j):
+            c = c if "sha" in c else next(v for v in c.values() if isinstance(v, dict) and "sha" in v)
+            want.setdefault((repo, c["sha"]), []).append((record, i, c["branch_or_tag"]))
+    got = {(r.repo_name, r.sha): r for r in repositories.commit_dedup(spark, sf).collect()}
+    assert set(got) == set(want)
+    for k, mentions in want.items():
+        assert (got[k].record_id, got[k].ord, got[k].branch_or_tag, got[k].dumps) == (*min(mentions), len({m[0] for m in mentions}))
+    made = [(1, "a_b", '{"repo": "a/b", "commits": [{"sha": "x"}, {"sha": "y"}]}'), (2, "a_b", '[{"node": {"sha": "z", "branch_or_tag": "m"}}, null, {"sha": "x"}]'), (3, "a_b", json.dumps(json.dumps([{"sha": "w"}]))), (4, "a_b", '{"commits": [{"sha": "cut"'), (5, "a_b", None), (6, "a_b", " 3 ")]
+    rows = nested.commit_rows(spark.createDataFrame(made, "record_id bigint, repo_name string, commits_data string")).collect()
+    assert {(r.record_id, r.ord, r.sha, r.branch_or_tag) for r in rows} == {(1, 0, "x", None), (1, 1, "y", None), (2, 0, "z", "m"), (2, 2, "x", None), (3, 0, "w", None)}
