@@ -164,6 +164,13 @@ def _plain(value) -> str | None:
     return value.encode("utf-8", "replace").decode() if isinstance(value, str) else json.dumps(value)
 
 
+def _changes(value) -> str | None:
+    """The objects of files_changed as a JSON list; one object is a list of one. None if there are none."""
+    value = decoded(value)
+    found = [x for x in map(decoded, value if isinstance(value, list) else [value]) if isinstance(x, dict)]
+    return json.dumps(found) if found else None
+
+
 COMMITS = "record_id bigint, repo_name string, ord int, sha string, branch_or_tag string, files_changed string"
 
 
@@ -173,13 +180,13 @@ def _commits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for record, repo, text in zip(*(b.column(c).to_pylist() for c in ("record_id", "repo_name", "commits_data"))):
-            rows += [(record, repo, i, _plain(c["sha"]), _plain(c.get("branch_or_tag")), _plain(c.get("files_changed"))) for i, c in commits_of(parse(text))]
+            rows += [(record, repo, i, _plain(c["sha"]), _plain(c.get("branch_or_tag")), _changes(c.get("files_changed"))) for i, c in commits_of(parse(text))]
         part = list(zip(*rows)) if rows else [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(x, ty) for x, ty in zip(part, types)], names)
 
 
 def commit_rows(dumps: DataFrame) -> DataFrame:
-    """Every mention of a commit in a readable dump: its record, repository, place in its list and members, those that aren't text as JSON."""
+    """Every mention of a commit in a readable dump: its record, repository, place in its list, branch or tag, and its changed files as a JSON list."""
     return spread(dumps.select("record_id", "repo_name", "commits_data").where(F.col("commits_data").isNotNull())).mapInArrow(_commits, COMMITS)
 
 

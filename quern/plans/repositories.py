@@ -111,7 +111,7 @@ def commit_totals(spark, d):
     """Changed files and lines per repository, from the commits' own lists."""
     change = "ARRAY<STRUCT<insertions STRING, deletions STRING>>"
     c = commits(spark, d).groupBy("repo_name", "sha").agg(F.min("files_changed").alias("files_changed"))
-    x = c.where(F.startswith("files_changed", F.lit("["))).select("repo_name", "sha", F.explode(F.from_json("files_changed", change)).alias("f"))
+    x = c.select("repo_name", "sha", F.explode(F.from_json("files_changed", change)).alias("f"))
     return x.groupBy("repo_name").agg(F.count_distinct("sha").alias("commits"), F.count("*").alias("files"), F.coalesce(F.sum(F.col("f.insertions").cast("bigint")), F.lit(0)).alias("insertions"), F.coalesce(F.sum(F.col("f.deletions").cast("bigint")), F.lit(0)).alias("deletions"))
 
 

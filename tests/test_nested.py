@@ -102,3 +102,18 @@ def test_commits_of_all_shapes(spark, sf):
     made = [(1, "a_b", '{"repo": "a/b", "commits": [{"sha": "x"}, {"sha": "y"}]}'), (2, "a_b", '[{"node": {"sha": "z", "branch_or_tag": "m"}}, null, {"sha": "x"}]'), (3, "a_b", json.dumps(json.dumps([{"sha": "w"}]))), (4, "a_b", '{"commits": [{"sha": "cut"'), (5, "a_b", None), (6, "a_b", " 3 ")]
     rows = nested.commit_rows(spark.createDataFrame(made, "record_id bigint, repo_name string, commits_data string")).collect()
     assert {(r.record_id, r.ord, r.sha, r.branch_or_tag) for r in rows} == {(1, 0, "x", None), (1, 1, "y", None), (2, 0, "z", "m"), (2, 2, "x", None), (3, 0, "w", None)}
+
+
+def test_totals_of_all_shapes(spark, tmp_path):
+    """commit_totals: changed files as a list, one object, or either as JSON text; lists, objects and wrapped commits."""
+    from quern.plans import repositories
+
+    one = {"path": "a", "insertions": 3, "deletions": "2"}
+    dump = lambda *xs: json.dumps([{"sha": f"{i}", "files_changed": x} for i, x in enumerate(xs)])
+    made = [
+        (1, "list_r", dump([one, one])), (2, "object_r", dump(one)), (3, "text_r", dump(json.dumps(one), json.dumps([one]), [json.dumps(one)])), (4, "none_r", dump(None, [], "", [None])),
+        (5, "root_r", json.dumps({"commits": json.loads(dump(one))})), (6, "node_r", json.dumps([{"node": c} for c in json.loads(dump([one]))])), (7, "twice_r", dump([])), (8, "twice_r", dump([one])),
+    ]
+    spark.createDataFrame(made, "record_id bigint, repo_name string, commits_data string").write.parquet(f"{tmp_path}/commit_dumps.parquet")
+    got = {r.repo_name: (r.commits, r.files, r.insertions, r.deletions) for r in repositories.commit_totals(spark, str(tmp_path)).collect()}
+    assert got == {"list_r": (1, 2, 6, 4), "object_r": (1, 1, 3, 2), "text_r": (3, 3, 9, 6), "root_r": (1, 1, 3, 2), "node_r": (1, 1, 3, 2), "twice_r": (1, 1, 3, 2)}
