@@ -49,26 +49,34 @@ WEAK = frozenset("auth authorization cfg config conf hdr header dsn conn connect
 WEAK_ALONE = frozenset("k key conf value v".split())
 
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-#: A literal without blanks that has a digit or a sign; the name is looked for to its left.
-QUOTED = re.compile(r"""(["'`])(?=[^\s"'`]{0,2000}[\d!@#$%^&*+~])((?:[^\s"'`\\]|\\.){6,2000})\1""")
-PLAIN = re.compile(r"""[=:][ \t]*((?=[^\s"'`]{0,400}\d)[^\s"'`,;(){}<>\[\]\\|]{6,400})""")
+#: A literal without blanks that has a digit or a sign, to its real end however long; the name is looked for to its left. One that no quote ends is taken as well, so that it isn't read again.
+QUOTED = re.compile(r"""(["'`])(?=[^\s"'`\d!@#$%^&*+~]*+[\d!@#$%^&*+~])((?:[^\s"'`\\]|\\.){6,}+)(\1)?""")
+NUMBERED = re.compile(r"""[^\s"'`\d!@#$%^&*+~]*+[\d!@#$%^&*+~]""")
+SIX = re.compile(r"""(?:[^\s"'`\\]|\\.){6}""")
+ASSIGNED = re.compile(r"[=:][ \t]*+")
+PLAIN = re.compile(r"""[^\s"'`,;(){}<>\[\]\\|]{6,}+""")
+PLAIN_END = re.compile(r"""[\s"'`]""")
+DIGIT = re.compile(r"\d")
 LEFT = re.compile(
     r"""(?P<name>[A-Za-z_$][\w$.-]{0,80}(?<!-))(?:["'`\]]{0,2}
     (?:[ \t]*:[ \t]*[A-Za-z_][\w.<>\[\]|&]{0,30}[ \t]*=|[ \t]+(?:\*?string|\[\]byte)[ \t]*=|\[\][ \t]*=|[ \t]*(?:=>|:=|\?\?=|\|\|=|={1,3}|:)|[ \t]+value[ \t]*=|(?=[ \t]+(?:[urbfURBF]{1,2}|@)?["'`]{0,2}\Z))|(?P<call>["'][ \t]*,))
     [ \t]*\(?[ \t]*(?:\r?\n[ \t]*)?(?:[urbfURBF]{1,2}|@)?["'`]{0,2}\Z""",
     re.X,
 )
-URL = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]{1,20}://(?P<user>[^\s:/@\"'`<>]{0,80}):(?P<value>[^\s@/\"'`<>]{3,200})@[\w.\[\]-]+")
+URL = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]{1,20}://(?P<user>[^\s:/@\"'`<>]*+):(?P<value>[^\s@/\"'`<>]{3,}+)@[\w.\[\]-]+")
 HEADER = re.compile(r"(?i)\b(?:authorization|proxy-authorization|x-[a-z-]{2,30}|bearer|basic)\b[\"']?\s*[:=]?\s*[\"']?\s*(?:(?:bearer|basic|token)\s+)?")
-SCHEME = re.compile(r"(?i)\b(?:bearer|basic)[ \t]+(?P<value>[A-Za-z0-9+/=_.~!@#$%^&*-]{8,500})")
+SCHEME = re.compile(r"(?i)\b(?:bearer|basic)[ \t]+(?P<value>[A-Za-z0-9+/=_.~!@#$%^&*-]{8,}+)")
 KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+KEY_END = re.compile(r"-----END[A-Z0-9 ]*-{0,5}")
+KEY_HEADERS = re.compile(r"""(?:(?:\\[rn]|[\s"'`+.,#*])*+[A-Z][A-Za-z-]*:(?:(?!\\[rn])[^\r\n])*+)*+""")
+#: A line of a key's body with what stands before it: ends of lines, also written out, and the quotes and signs that join pieces.
+KEY_LINE = re.compile(r"""(?:\\[rn]|[\s"'`.,\\#*;]|\+(?=\s*["'`])|(?<=\s)//(?=\s))*+([A-Za-z0-9+/]++=*+)""")
 #: Forms issuers give their keys, wherever they stand (fixed values).
 ISSUED = re.compile(
-    r"(?:(?:AKIA|ASIA)[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_\w{22,}|glpat-[\w-]{20}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}|AIza[\w-]{35}|npm_[A-Za-z0-9]{36}|SG\.[\w-]{22}\.[\w-]{43}|eyJ[\w-]{10,4000}\.eyJ[\w-]{10,8000}\.[\w-]{10,})(?![A-Za-z0-9_-])"
+    r"(?<![A-Za-z0-9+/_-])(?:(?:AKIA|ASIA)[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_\w{22,}|glpat-[\w-]{20}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}|AIza[\w-]{35}|npm_[A-Za-z0-9]{36}|SG\.[\w-]{22}\.[\w-]{43}|eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)(?![A-Za-z0-9_-])"
 )
-QUERY = re.compile(r"[?&]([A-Za-z_-]{2,40})=([^\s&\"'`<>]{8,500})")
+QUERY = re.compile(r"[?&]([A-Za-z_-]{2,40})=([^\s&\"'`<>]{8,}+)")
 CALL = re.compile(r"\w\([ \t]*[\"']\Z")
-WORDY = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
 PLACEHOLDER = re.compile(
     r"""(?ix)^(?:[x*.#?_-]+|0+|(?:your|my|insert|enter|replace|put|add)[\s_-].*|.*(?:_here|-here)|<.*>|\$\{?.*|\{\{?.*|%.*%?|@.*@|env[:.].*|vault[:.].*|secret[:.].*|file[:.].*|
     (?:the|a|an|some|any)[_-][a-z_-]*|none|null|nil|undefined|true|false|todo|tbd|fixme|redacted|removed|hidden|masked|empty|changeme|change[_-]?me|change[_-]?it|placeholder|dummy|fake|
@@ -158,6 +166,52 @@ def refused(v: str) -> bool:
     return not v or any(c.isspace() for c in v) or PLACEHOLDER.match(v) is not None or REFERENCE.match(v) is not None or UUID.match(v) is not None or INTEGRITY.match(v) is not None or len(set(v)) < 4 or "${" in v or "{{" in v or "://" in v
 
 
+def quoted(t: str) -> Iterator[tuple[int, int]]:
+    """(start, stop) of the literals between quotes. Each character is read a bounded number of times."""
+    for m in QUOTED.finditer(t):
+        a, b = m.span(2)
+        if m[3]:
+            yield a, b
+        elif b < len(t) and t[b] in "\"'`":
+            # another quote ends it: the literal begins at the first escaped quote of that kind
+            at = t.find(t[b], a, b)
+            while at >= 0:
+                if NUMBERED.match(t, at + 1, b) and SIX.match(t, at + 1, b):
+                    yield at + 1, b
+                    break
+                at = t.find(t[b], at + 1, b)
+
+
+def plain(t: str) -> Iterator[tuple[int, int]]:
+    """(start, stop) of the values without quotes, a digit before the next blank or quote. The next digit and the next end are kept, so each character is read a bounded number of times."""
+    digit = end = -1
+    at, n = 0, len(t)
+    while m := ASSIGNED.search(t, at):
+        at, a = m.start() + 1, m.end()
+        if digit < a:
+            digit = d.start() if (d := DIGIT.search(t, a)) else n
+        if end < a:
+            end = e.start() if (e := PLAIN_END.search(t, a)) else n
+        if digit < end and (v := PLAIN.match(t, a)):
+            at = v.end()
+            yield v.span()
+
+
+def key_end(t: str, at: int) -> int:
+    """Where a private key ends whose BEGIN line ends at ``at``: after its END line, even if that is cut off, else after its base64 body."""
+    end, following = t.find("-----END", at), t.find("-----BEGIN", at)
+    if end >= 0 and (following < 0 or end < following):
+        return KEY_END.match(t, end).end()
+    stop, full, rest = at, 0, KEY_HEADERS.match(t, at).end()
+    while m := KEY_LINE.match(t, rest):
+        n = len(m[1])
+        if n < full:  # the last line, unless code follows
+            return m.end() if re.search(r"[\d+/=]", m[1]) or not t[m.end() :].strip(" \t\r\n\"'`;,)") else stop
+        stop = rest = m.end()
+        full = n
+    return stop if stop > at else min(len(t), at + 64)
+
+
 def candidates(text: str, config: bool):
     """(start, stop, value, kind) in the given text, of everything that may be a credential. ``config``: plain values count as literals."""
     j = Joined(text)
@@ -166,8 +220,7 @@ def candidates(text: str, config: bool):
     for m in KEY.finditer(t) if "PRIVATE KEY" in t else ():
         body = re.sub(r"\\[rn]|[\s\"'`+.,\\#*/]|//", "", t[m.end() : m.end() + 400])
         if re.match(r"[A-Za-z0-9+/=:-]{24}", body):
-            end = t.find("-----END", m.end())
-            stop = t.find("-----", end + 8) + 5 if end >= 0 else min(len(t), m.end() + 64)
+            stop = key_end(t, m.end())
             out.append((j.back(m.start()), j.back(max(stop, m.end()) - 1) + 1, t[m.start() : max(stop, m.end())], "key"))
     keys = [(a, b) for a, b, _, _ in out]
     for m in URL.finditer(t) if "://" in t else ():
@@ -179,11 +232,11 @@ def candidates(text: str, config: bool):
         if not refused(v) and (opaque(v) or (chosen(v) and any(c.isdigit() for c in v))):
             out.append((j.back(m.start("value")), j.back(m.end("value") - 1) + 1, v, "header"))
     for m in ISSUED.finditer(t):
-        if not PLACEHOLDER.match(m[0]) and not (m.start() and t[m.start() - 1] in WORDY):
+        if not PLACEHOLDER.match(m[0]):
             out.append((j.back(m.start()), j.back(m.end() - 1) + 1, m[0], "issued"))
-    values = [(m.start(2), m.end(2), m[2]) for m in QUOTED.finditer(t)]
+    values = [(a, b, t[a:b]) for a, b in quoted(t)]
     if config:
-        values += [(m.start(1), m.end(1), m[1]) for m in PLAIN.finditer(t)]
+        values += [(a, b, t[a:b]) for a, b in plain(t)]
     for m in QUERY.finditer(t) if "?" in t and "=" in t else ():
         if standing(m[1]) == "strong" and not refused(m[2]) and (opaque(m[2]) or chosen(m[2])):
             out.append((j.back(m.start(2)), j.back(m.end(2) - 1) + 1, m[2], "strong"))

@@ -62,3 +62,44 @@ def test_placeholders_rescan_and_masking(spark):
     assert out["q_r", "cut.js"].content == f'var token = "{"*" * 20}" +\n  "{"*" * 20}";\n'
     assert secret not in out["p1_r", "copy.py"].content and shared in out["o1_r", "1.py"].content
     assert s.found(df.limit(0)).count() == 0 and s.redacted(df.limit(0)).count() == 0
+
+
+def spans(text, config=False):
+    return {text[a:b] for a, b, _, k in s.candidates(text, config) if k != "none"}
+
+
+LONG = "q7Zk" * 2_000 + "Ab3x"
+
+
+@pytest.mark.parametrize("text", [f'private_key = "{LONG}"', f"password: {LONG}\n", f"x = 'db://user:{LONG}@host/db'", f"Authorization: Bearer {LONG}\n", f"url = https://h/x?api_key={LONG}&y=1\n", f"db://{'u' * 300}:{LONG}@host/db"])
+def test_values_run_to_their_end(text):
+    assert LONG in spans(text, True)
+
+
+def test_long_web_tokens():
+    token = f"eyJ{LONG}.eyJ{LONG}{LONG}.{LONG}"
+    assert spans(f"x({token})") == {token} and spans(f"xeyJ{LONG}.eyJ{LONG}.{LONG}") == set()
+
+
+BODY = "\n".join(("MIIEow" + "IBAAKCAQEA7x9k" * 5)[:64] for _ in range(20))
+
+
+@pytest.mark.parametrize("after", ["", "\n", "\nqT8=", "\n-----END", "\n-----END RSA PRIVATE", "\n-----END RSA PRIVATE KEY-----"])
+def test_cut_off_keys_are_masked_whole(after):
+    for head in ("", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"):
+        text = f"-----BEGIN RSA PRIVATE KEY-----\n{head}{BODY}{after}"
+        assert {x.rstrip("\n") for x in spans(text)} == {text.rstrip("\n")}
+        if after:
+            out = f'k = "' + text.replace("\n", "\\n")
+            assert max(map(len, spans(out))) >= len(out) - 5 - 2
+
+
+def test_a_cut_off_key_leaves_the_code_after_it():
+    cut = f"-----BEGIN PRIVATE KEY-----\n{BODY}"
+    text = f"a = \"\"\"{cut}\n\"\"\"\ndef f(x):\n    return x\n{KEY}\n"
+    assert spans(text) == {cut, KEY}
+
+
+def test_long_values_take_linear_time():
+    for text in ('"1' + '\\"' * 150_000, '"1a\\"' * 80_000, "a:," * 100_000 + "1", "a: " * 100_000, "=" * 300_000 + "1", "\u00e9eyJ" * 80_000, "eyJaaaaaaaaaaa." * 20_000, "a://b:" * 60_000, "?a" * 150_000, "-----BEGIN PRIVATE KEY-----\n" * 5_000 + BODY, "bearer " * 40_000):
+        s.candidates(text, True)
