@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,32 @@ def info_language(info: Column) -> Column:
     return F.nullif(F.trim(lang), F.lit(""))
 
 
+def info_value(info: Column) -> Column:
+    """The JSON metadata as a variant; text encoded twice is decoded. Null if it isn't JSON."""
+    v = F.try_parse_json(info)
+    return F.coalesce(F.when(F.schema_of_variant(v) == "STRING", F.try_parse_json(F.try_variant_get(v, "$", "string"))), v)
+
+
+def info_member(value: Column, names: Sequence[str], kind: str) -> Column:
+    """The first of the members that holds a text or a number of ``kind``, stripped; null if there is none."""
+    found = []
+    for n in names:
+        v = F.nullif(F.trim(F.try_variant_get(value, f"$.{n}", "string")), F.lit(""))
+        shape = F.schema_of_variant(F.try_variant_get(value, f"$.{n}", "variant"))
+        found.append(F.when((shape == "STRING") if kind == "string" else ~shape.rlike("^(OBJECT|ARRAY|BOOLEAN)"), v).try_cast(kind))
+    return F.coalesce(*found)
+
+
+def info_topics(value: Column) -> Column:
+    """The topics in their order: texts, or objects with a name, one or a list of them, also as JSON text; an empty array if there are none."""
+    given = F.try_variant_get(value, "$.topics", "variant")
+    text_ = F.when(F.schema_of_variant(given) == "STRING", F.try_variant_get(given, "$", "string"))
+    given = F.coalesce(F.when(F.substring(text_, 1, 1).isin("[", "{"), F.try_parse_json(text_)), given)
+    many = F.coalesce(F.when(F.startswith(F.schema_of_variant(given), F.lit("ARRAY")), F.try_variant_get(given, "$", "array<variant>")), F.array(given))
+    name = lambda t: F.when(F.schema_of_variant(t) == "STRING", F.try_variant_get(t, "$", "string")).otherwise(F.try_variant_get(t, "$.name", "string"))
+    return F.filter(F.transform(many, name), lambda n: n.isNotNull() & (n != ""))
+
+
 def extension_language(files: DataFrame) -> DataFrame:
     """repo_name, ext_language: the first language, in the order of the table, with any file."""
     ext = text.suffix("file_path")

@@ -88,12 +88,19 @@ def entry_points(spark, d):
     return lg.entry_points(files(spark, d).withColumn("content", c))
 
 
+#: Members of the metadata's text that say what a column holds, by the names the source gives them.
+INFO = {"language": ("language",), "stars": ("stars", "stargazers_count"), "forks": ("forks", "forks_count"), "size": ("size",), "repo_created_at": ("created_at",), "repo_updated_at": ("updated_at",)}
+
+
 def repo_metadata(spark, d):
-    """The typed members of the newest metadata of each repository, and what its text says where a column is null."""
+    """The typed members of the newest metadata of each repository, what its text says where a column is null or empty, and its topics."""
     from quern.operators.labels import latest
 
-    cols = ["language", "stars", "forks", "size", "repo_created_at", "repo_updated_at"]
-    return latest(table(spark, d, "repos"), ["repo_name"], "created_at", cols).select("repo_name", *cols)
+    cols = list(INFO)
+    r = latest(table(spark, d, "repos"), ["repo_name"], "created_at", [*cols, "repo_info"])
+    kinds, info = dict(r.dtypes), lg.info_value(F.col("repo_info"))
+    filled = [F.coalesce(F.nullif(F.col(c), F.lit("")) if kinds[c] == "string" else F.col(c), lg.info_member(info, INFO[c], kinds[c])).alias(c) for c in cols]
+    return r.select("repo_name", *filled, F.coalesce(lg.info_topics(info), F.array().cast("array<string>")).alias("topics"))
 
 
 def commits(spark, d):
