@@ -156,12 +156,10 @@ def judge(path: str, suffix: str, text: str, model, libraries, alike: float) ->
         hits: Counter = Counter()
         for x in mine & libraries[0].keys():
             hits.update(libraries[0][x])
-        for k, n in hits.most_common(3):
-            size, name = libraries[1][k]
-            if n >= alike * max(size, len(mine)):
-                library = name
-                reasons.append("library")
-                break
+        # as library_join chooses: of all releases alike enough that with the most common lines, of equal ones the greatest name
+        library = max(((n, libraries[1][k][1]) for k, n in hits.items() if n >= alike * max(libraries[1][k][0], len(mine))), default=(0, None))[1]
+        if library is not None:
+            reasons.append("library")
     entropy = diversity = foreign = layout = None
     if suffix in L.CODE or suffix == ".css":
         rest, literal = bare(text, family)

@@ -56,3 +56,13 @@ def test_models(spark):
 def test_comment_lexing():
     assert L.comments("a = '# no' # yes\n\"\"\"# no\"\"\"\n", "python") == ["# yes"]
     assert L.comments("a = '// no'; // yes\n/* and */", "js") == ["// yes", "/* and */"]
+
+
+def test_a_small_release_among_larger_ones(spark):
+    """Four larger releases hold every line of the file, only the smallest is alike; broadcast and join agree."""
+    text = [f"line number {i} of the library" for i in range(40)]
+    lib = [("l", f"2.{k}", "f.js", "\n".join(text + [f"added {k} {i} later" for i in range(60)])) for k in range(4)] + [("l", v, "f.js", "\n".join(text[:38])) for v in ("1.0", "1.1")]
+    libraries = spark.createDataFrame(lib, "lib_name string, version string, file_name string, content string")
+    files = spark.createDataFrame([("r", "a.js", "\n".join(text))], "repo_name string, file_path string, content string").selectExpr("*", "'text' as content_type")
+    for most in (10**6, 1):
+        assert [(x.reasons, x.library) for x in hw.judged(files, libraries, most_library=most).collect()] == [(["library"], "l 1.1 f.js")]
