@@ -5,7 +5,8 @@ parsed by recursive descent, its expressions by precedence climbing; after an
 error the parser skips to where the next statement can begin (panic mode) and
 goes on, so all errors are stored, the first being the cause. Python files
 found wrong are put before the language's own parser as well, which knows
-every corner of it, and JSON texts too deep for the parser before json.
+every corner of it, and JSON texts before json. Texts that nest deeper than the usual stack
+are parsed again in a thread with a larger one.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import ast
 import json
 import sys
+import threading
 import warnings
 from collections.abc import Iterator
 
@@ -33,6 +35,8 @@ from quern.session import spread
 PARSERS = {".py": ("Python", Python), ".js": ("JavaScript", Js), ".ts": ("TypeScript", Ts), ".java": ("Java", Java), ".c": ("C", C), ".h": ("C", C), ".go": ("Go", Go), ".php": ("PHP", Php), ".json": ("JSON", Json)}
 PARSED = "repo_name string, file_path string, language string, errors array<struct<line: int, wanted: string>>"
 DEPTH = 6_000
+#: For the texts that nest deeper: Python frames for each character, more than any grammar takes, and bytes of the thread's stack, touched only as far as it is used.
+FRAMES, STACK = 60, 512_000_000
 
 
 def confirmed(parser: type, text: str) -> bool:
@@ -54,11 +58,36 @@ def confirmed(parser: type, text: str) -> bool:
     return True
 
 
+def deeper(parser: type, text: str):
+    """The parser and its errors with room for all nesting that a text of this length can hold; None if memory ends."""
+    out = []
+
+    def run():
+        try:
+            p = parser(text)
+            out.append((p, p.parse()))
+        except MemoryError:
+            pass
+
+    held, size = sys.getrecursionlimit(), threading.stack_size(STACK)
+    sys.setrecursionlimit(min(2**31 - 1, DEPTH + FRAMES * len(text)))
+    try:
+        t = threading.Thread(target=run)
+        t.start()
+        t.join()
+    finally:
+        sys.setrecursionlimit(held)
+        threading.stack_size(size)
+    return out[0] if out else None
+
+
 def errors_of(text: str, suffix_: str) -> list[tuple[int, str]]:
     """(line, what was wanted) of all errors of ``text`` as a file with this suffix."""
     parser = PARSERS[suffix_][1]
     p = parser(text)
     errors = p.parse()
+    if any(wanted == "less nesting" for _, wanted in errors):
+        p, errors = deeper(parser, text) or (p, errors)
     if not errors or not confirmed(parser, text):
         return []
     return p.lines(errors)
@@ -82,8 +111,8 @@ def parsed(files: DataFrame) -> DataFrame:
 
     Files with null content, other suffixes, no suffix or a null path are left
     out; an empty text is a valid program, but no valid JSON or Go. Repeated
-    rows are parsed and returned as often as they stand. Nesting deeper than
-    the parser can follow counts as an error.
+    rows are parsed and returned as often as they stand. Nesting counts as an
+    error only where a worker's memory can't hold it.
     """
     rows = files.where((F.col("content_type") == "text") & F.col("content").isNotNull()).select("repo_name", "file_path", suffix().alias("suffix"), "content")
     return spread(rows.where(F.col("suffix").isin(list(PARSERS)))).mapInArrow(_parse, PARSED)
