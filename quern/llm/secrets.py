@@ -290,11 +290,12 @@ def confirmed(literals: DataFrame) -> DataFrame:
     """Step 2: the values that are credentials.
 
     Owners are counted once for each distinct content, so that copies of a
-    file in many repositories don't make its credential a placeholder.
+    file in many repositories don't make its credential a placeholder. Private
+    keys and values in an issuer's form are credentials, however many use them.
     """
-    one = literals.groupBy("value", "content_hash").agg(F.min("owner").alias("owner"), F.max(F.col("kind").isin("strong", "url", "header", "issued", "key").cast("int")).alias("sure"), F.max((F.col("kind") == "strong").cast("int")).alias("named"), F.max((F.col("kind") == "weak").cast("int")).alias("weak"), F.first("form").alias("form"))
-    values = one.groupBy("value").agg(F.count_distinct("owner").alias("owners"), F.max("sure").alias("sure"), F.max("named").alias("named"), F.max("weak").alias("weak"), F.first("form").alias("form"))
-    rare = values.where(F.col("owners") < PLACEHOLDER_OWNERS)
+    one = literals.groupBy("value", "content_hash").agg(F.min("owner").alias("owner"), F.max(F.col("kind").isin("strong", "url", "header", "issued", "key").cast("int")).alias("sure"), F.max((F.col("kind") == "strong").cast("int")).alias("named"), F.max((F.col("kind") == "weak").cast("int")).alias("weak"), F.max(F.col("kind").isin("issued", "key").cast("int")).alias("own"), F.first("form").alias("form"))
+    values = one.groupBy("value").agg(F.count_distinct("owner").alias("owners"), F.max("sure").alias("sure"), F.max("named").alias("named"), F.max("weak").alias("weak"), F.max("own").alias("own"), F.first("form").alias("form"))
+    rare = values.where((F.col("owners") < PLACEHOLDER_OWNERS) | (F.col("own") == 1))
     forms = rare.where("named = 1").groupBy("form").agg(F.count("*").alias("n")).where((F.col("n") >= FORM_VALUES) & ~F.col("form").rlike("^(hex|alnum|b64|other)[0-9]+$")).select("form", F.lit(1).alias("issued"))
     known = rare.join(forms, "form", "left")
     return known.where((F.col("sure") == 1) | (F.col("weak") == 1) | (F.col("issued") == 1)).select("value")
