@@ -1,58 +1,61 @@
 """Flat tables out of nested JSON by Merkle identities.
 
-Every JSON value is canonicalised and hashed bottom-up. Identical objects are
-stored once in ``nodes``; ``edges`` are the bridge rows from a parent's hash
-to its children with the member's name and the child's ordinal; ``roots``
-name the records. As an edge depends on nothing but its parent's content, it
-is stored once as well, and every occurrence in every record can be walked
-from its root by joins.
+Every object is canonicalised and hashed bottom-up: its scalars and lists of
+scalars stand in its body, nested objects as their hashes. Identical objects
+are stored once in ``nodes``, with the bridge rows to their children: member,
+ordinal, child's hash and the child's name. As the bridges of an object
+depend on nothing but its content, they are stored once as well; ``roots``
+name the records and bridge them to the objects they are about, however deep
+those lie. Every occurrence is walked from its root by joins.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+import json.decoder
+import json.scanner
+import re
+import sys
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.bitmap import split_join
 from quern.session import durable, spread
 
-#: kind and text are those of a node, and of an edge's child: what a scalar holds stands on its bridge row as well, so that reading a member needs no join with the nodes.
-PARTS = "part string, record string, hash binary, kind string, text string, member string, ordinal int, child binary"
+#: Hashes that a task remembers, so as not to store an object twice; beyond, it forgets them all. What is stored twice is joined later.
+REMEMBER = 300_000
+BATCH = 20_000
 
 
-def canonical(value, out: dict) -> bytes:
-    """The hash of ``value``; puts its nodes and edges into ``out``.
+class Slow(json.JSONDecoder):
+    """The parser without C code: its depth is limited by memory alone."""
 
-    Member order doesn't matter, numbers are told from texts, a text that
-    holds a whole JSON object or array is taken as that value. Equal values
-    get equal hashes wherever they stand.
-    """
-    if isinstance(value, str) and value[:1] in ("{", "["):
-        try:
-            value = json.loads(value)
-        except (ValueError, RecursionError):
-            pass
-    edges = []
-    if isinstance(value, dict):
-        kind, text = "object", None
-        edges = [(k, 0, canonical(v, out)) for k, v in sorted(value.items())]
-    elif isinstance(value, list):
-        kind, text = "array", None
-        edges = [("", i, canonical(v, out)) for i, v in enumerate(value)]
-    elif isinstance(value, str):
-        kind, text = "string", value
-    elif value is None:
-        kind, text = "null", None
-    else:
-        kind, text = "number" if not isinstance(value, bool) else "boolean", json.dumps(value)
-    digest = hashlib.blake2b(json.dumps([kind, text, [(m, i, c.hex()) for m, i, c in edges]]).encode(), digest_size=16).digest()
-    if digest not in out:
-        out[digest] = (kind, text, edges)
-    return digest
+    def __init__(self):
+        super().__init__()
+        self.parse_object, self.parse_array = json.decoder.JSONObject, json.decoder.JSONArray
+        self.scan_once = json.scanner.py_make_scanner(self)
+
+
+def deep(f: Callable, *args):
+    """``f`` of pure Python, without a limit to how deep it calls itself."""
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(2**31 - 1)
+    try:
+        return f(*args)
+    finally:
+        sys.setrecursionlimit(limit)
+
+
+def loads(text: str):
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return deep(Slow().decode, text)
 
 
 def parse(text: str | None):
@@ -61,113 +64,278 @@ def parse(text: str | None):
         if not isinstance(text, str):
             return text
         try:
-            text = json.loads(text)
-        except (ValueError, RecursionError):
+            text = loads(text)
+        except ValueError:
             return None
     return None
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["part", "record", "hash", "kind", "text", "member", "ordinal", "child"]
-    types = [pa.string(), pa.string(), pa.binary(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.binary()]
-    for batch in batches:
-        rows, seen = [], {}
-        for record, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            value = parse(text)
-            if not isinstance(value, (dict, list)):
-                continue
-            out: dict = {}
-            try:
-                root = canonical(value, out)
-            except RecursionError:
-                continue
-            rows.append(("root", record, root, None, None, None, None, None))
-            for h, v in out.items():
-                if h not in seen:
-                    seen[h] = v
-        for h, (kind, text, edges) in seen.items():
-            rows.append(("node", None, h, kind, text, None, None, None))
-            rows += [("edge", None, h, seen[c][0], seen[c][1], m, i, c) for m, i, c in edges]
-        for k in range(0, len(rows), 50_000):
-            part = list(zip(*rows[k : k + 50_000]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, types)], names)
+def decoded(value):
+    """A text that holds a whole JSON object or array as that value, all else as it is."""
+    if isinstance(value, str) and value[:1] in ("{", "["):
+        try:
+            return loads(value)
+        except ValueError:
+            pass
+    return value
+
+
+def valid(text: str) -> str:
+    """Half surrogates, which no column can hold, become question marks."""
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        return text.encode("utf-8", "replace").decode()
+    return text
+
+
+class Reading(NamedTuple):
+    """What is read of the records.
+
+    mark: objects with a text under this member are what a record is about;
+    without, the record itself is. names: of the members that hold children,
+    how a child is named. encoded: members whose value may be given as JSON
+    text, and those (of lists) whose elements may; all other texts are texts.
+    """
+
+    mark: str | None
+    names: dict[str, Callable]
+    encoded: frozenset
+    elements: frozenset
+
+
+class Store:
+    """The identities of one task. ``rows``: nodes met for the first time, as (hash, body, bridges)."""
+
+    def __init__(self, reading: Reading, whole: bool):
+        self.mark, self.names, self.encoded, self.elements = reading
+        self.whole, self.seen, self.rows = whole, set(), []
+        self.leaves: set[bytes] = set()
+
+    def put(self, value, ordinal: int = 0) -> tuple[bytes, list]:
+        """The hash of an object or array, and the marked objects in it, as (ordinal, hash, mark)."""
+        bridges: list = []
+        marked: list = []
+        if isinstance(value, dict):
+            body: dict | list = {}
+            mine = value.get(self.mark) if self.mark else None
+            wrapper = self.mark is not None and not isinstance(mine, str)
+            for k, v in value.items():
+                if isinstance(v, str):
+                    body[k] = v
+                    inner = decoded(v) if wrapper or k in self.encoded else v
+                    if isinstance(inner, str):
+                        if k in self.names:
+                            bridges.append((k, 0, None, self.names[k](v)))
+                        continue
+                elif isinstance(v, (dict, list)):
+                    inner = v
+                else:
+                    body[k] = v
+                    continue
+                if isinstance(inner, dict):
+                    h, m = self.put(inner, ordinal)
+                    marked += m
+                    bridges.append((k, 0, h, self.names[k](inner) if k in self.names else None))
+                    if inner is v:
+                        body[k] = {"": h.hex()}
+                else:
+                    listed = self.items(k, inner, bridges, marked)
+                    if inner is v:
+                        body[k] = listed
+        else:
+            body, mine = self.items("", value, bridges, marked), None
+        digest = hashlib.blake2b(json.dumps(body, sort_keys=True).encode(), digest_size=16).digest()
+        if digest not in self.seen:
+            self.seen.add(digest)
+            if self.whole or any(b[0] in self.names and (b[3] is not None or b[2] is not None) for b in bridges):
+                self.rows.append((digest, body, bridges))
+            else:
+                self.leaves.add(digest)
+        return digest, [(ordinal, digest, mine)] if isinstance(mine, str) else marked
+
+    def items(self, member: str, values: list, bridges: list, marked: list) -> list:
+        """A list as its owner's body holds it; its objects go to the bridges."""
+        out, named, elements = [], self.names.get(member), self.mark is not None and member not in self.names or member in self.elements
+        for i, v in enumerate(values):
+            inner = decoded(v) if elements and isinstance(v, str) else v
+            if isinstance(inner, (dict, list)):
+                h, m = self.put(inner, i)
+                marked += m
+                bridges.append((member, i, h, named(inner) if named else None))
+                out.append({"": h.hex()} if inner is v else v)
+            else:
+                out.append(v)
+                if named and isinstance(v, str):
+                    bridges.append((member, i, None, named(v)))
+        return out
+
+
+PARTS = "part string, record_id bigint, record string, hash binary, body string, bridges array<struct<member:string, ordinal:int, child:binary, name:string>>"
+_BRIDGE = pa.struct([("member", pa.string()), ("ordinal", pa.int32()), ("child", pa.binary()), ("name", pa.string())])
+
+
+def _batch(rows: list) -> pa.RecordBatch:
+    """rows: (part, record_id, record, hash, body, bridges)."""
+    part, record_id, record, digest, body, bridges = zip(*rows)
+    flat, offsets = [], [0]
+    for b in bridges:
+        flat += b
+        offsets.append(len(flat))
+    m, o, c, n = zip(*flat) if flat else ((), (), (), ())
+    inner = pa.StructArray.from_arrays([pa.array([x if x.isascii() else valid(x) for x in m], pa.string()), pa.array(o, pa.int32()), pa.array(c, pa.binary()), pa.array([x if x is None or x.isascii() else valid(x) for x in n], pa.string())], fields=list(_BRIDGE))
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner)
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(record_id, pa.int64()), pa.array(record, pa.string()), pa.array(digest, pa.binary()), pa.array(body, pa.string()), lists], ["part", "record_id", "record", "hash", "body", "bridges"])
+
+
+def _parts(reading: Reading, whole: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, rows, roots = Store(reading, whole), [], set()
+        for batch in batches:
+            for record_id, record, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                value = parse(text)
+                if not isinstance(value, (dict, list)):
+                    continue
+                try:
+                    root, marked = store.put(value)
+                except RecursionError:
+                    root, marked = deep(store.put, value)
+                if (record_id, record, root) not in roots:
+                    roots.add((record_id, record, root))
+                    about = [("", i, h, t) for i, h, t in marked] if reading.mark else [("", 0, root, record)]
+                    rows.append(("root", record_id, record, root, None, about))
+                for h, body, bridges in store.rows:
+                    # a child of which nothing is read needs no hash to be found by
+                    rows.append(("node", None, None, h, json.dumps(body, sort_keys=True), bridges) if whole else ("node", None, None, h, None, [(m, i, None if c in store.leaves else c, n) for m, i, c, n in bridges if m in reading.names]))
+                store.rows.clear()
+                if len(rows) > BATCH:
+                    yield _batch(rows)
+                    rows = []
+                if len(store.seen) + len(roots) > REMEMBER:
+                    store, roots = Store(reading, whole), set()
+        if rows:
+            yield _batch(rows)
+
+    return run
 
 
 class Merkle:
-    """nodes(hash, kind, text), edges(hash, member, ordinal, child), roots(record, hash) of a JSON column.
+    """roots(record_id, record, hash, bridges) and nodes(hash, body, bridges) of a JSON column.
 
-    Null, blank and incomplete texts and texts of a bare scalar give no rows.
-    Repeated records give repeated roots only if their names differ. Depth is
-    limited by the parser's recursion; deeper records count as unreadable.
+    Null, blank and incomplete texts and texts of a bare scalar give no rows;
+    depth is not limited. Records equal in id, name and content are one root.
+    ``whole``: all objects with their bodies, which give the records back;
+    else only those of which ``reading`` names children. ``record_id`` is null
+    without the column ``key``.
     """
 
-    def __init__(self, df: DataFrame, record: str, column: str):
-        given = df.select(F.col(record).cast("string").alias("record"), F.col(column).alias("json")).where(F.col("json").isNotNull()).distinct()
-        parts = durable(given.mapInArrow(_parts, PARTS))
-        self.roots = parts.where("part = 'root'").select("record", "hash").distinct()
-        self.nodes = parts.where("part = 'node'").select("hash", "kind", "text").dropDuplicates(["hash"])
-        # sorted by member, so that reading one member skips the pages of all others
-        self.typed = durable(parts.where("part = 'edge'").select("hash", "member", "ordinal", "child", "kind", "text").distinct().sortWithinPartitions("member", "hash"))
-        self.edges = self.typed.drop("kind", "text")
-
-    def children(self, parents: DataFrame, at: str, member: str) -> DataFrame:
-        """``parents`` joined with the values of ``member`` of the object hashed in ``at``.
-
-        Adds ``value`` (hash), ``kind``, ``text``. Absent members give no row.
-        """
-        e = self.typed.where(F.col("member") == member).select(F.col("hash").alias("_h"), F.col("child").alias("value"), "kind", "text")
-        return parents.join(e, parents[at] == F.col("_h")).drop("_h")
-
-    def items(self, parents: DataFrame, at: str, member: str) -> DataFrame:
-        """As ``children``, but an array's elements with their ``pos``; one value that is no array has pos 0, null none."""
-        lists = self.children(parents, at, member)
-        single = lists.where(~F.col("kind").isin("array", "null")).withColumn("pos", F.lit(0))
-        e = self.typed.where(F.col("member") == "").select(F.col("hash").alias("_h"), F.col("ordinal").alias("pos"), F.col("child").alias("_c"), F.col("kind").alias("_k"), F.col("text").alias("_t"))
-        many = lists.where(F.col("kind") == "array").join(e, F.col("value") == F.col("_h"))
-        many = many.select(*parents.columns, F.col("_c").alias("value"), F.col("_k").alias("kind"), F.col("_t").alias("text"), "pos")
-        return single.unionByName(many)
-
-    def texts(self, member: str) -> DataFrame:
-        """(hash, text) of the objects whose ``member`` is a text."""
-        return self.typed.where((F.col("member") == member) & (F.col("kind") == "string")).select("hash", "text")
+    def __init__(self, df: DataFrame, record: str, column: str, reading: Reading, whole: bool = False, key: str | None = "record_id"):
+        id_ = F.col(key) if key in df.columns else F.lit(None)
+        given = df.select(id_.try_cast("bigint").alias("record_id"), F.col(record).cast("string").alias("record"), F.col(column).alias("json")).where(F.col("json").isNotNull())
+        parts = durable(spread(given).mapInArrow(_parts(reading, whole), PARTS))
+        self.roots = parts.where("part = 'root'").select("record_id", "record", "hash", "bridges").dropDuplicates(["record_id", "record", "hash"])
+        self.nodes = parts.where("part = 'node'").select("hash", "body", "bridges").dropDuplicates(["hash"])
+        self.parts = parts
 
+    def about(self) -> DataFrame:
+        """record, id and child (hash) of the objects the records are about, each once for a record's name. Repeated roots are joined here at the latest."""
+        return self.parts.where("part = 'root'").select("record", F.inline("bridges")).select("record", F.col("name").alias("id"), "child").distinct()
 
-def decoded(value):
-    """A text that holds a whole JSON object or array as that value, all else as it is."""
-    if isinstance(value, str) and value[:1] in ("{", "["):
-        try:
-            return json.loads(value)
-        except (ValueError, RecursionError):
-            pass
-    return value
+    def below(self, at: DataFrame) -> DataFrame:
+        """record, id, member, ordinal, child, name: the bridges of the objects in ``at`` (record, id, child), which is read twice."""
+        nodes = self.nodes.select(F.col("hash").alias("child"), "bridges")
+        return split_join(at, nodes, "child").select("record", "id", F.inline("bridges"))
 
 
-def commits_of(value, level: int = 0, ord_: int = 0) -> Iterator[tuple[int, dict]]:
-    """(place in its list, commit) of every commit of a dump's value, by the walk of ``commit_children``."""
-    value = decoded(value)
+def bridges(nodes: DataFrame) -> DataFrame:
+    """The bridge rows of nodes as a flat table: hash, member, ordinal, child, name."""
+    return nodes.select("hash", F.inline("bridges"))
+
+
+def text_of(value) -> str | None:
+    return value if isinstance(value, str) and value else None
+
+
+def author_of(value) -> str | None:
+    """The address, else the name; a text ``Name <address>`` gives its address."""
     if isinstance(value, dict):
-        if isinstance(value.get("sha"), str):
-            yield ord_, value
-            return
-        inner = [(ord_, v) for v in value.values()]
-    else:
-        inner = list(enumerate(value)) if isinstance(value, list) else []
-    if level < 3:
-        for i, v in inner:
-            yield from commits_of(v, level + 1, i)
+        return text_of(value.get("email")) or text_of(value.get("name"))
+    if not isinstance(value, str):
+        return None
+    m = re.search(r"<([^<>]*)>", value)
+    return (m and m[1].strip(" ")) or re.sub(r"<[^<>]*>", "", value).strip(" ") or None
+
+
+def path_of(change) -> str | None:
+    path = change.get("path") if isinstance(change, dict) else None
+    return text_of(path.get("new") if isinstance(path, dict) else path)
+
+
+def member_of(member: str, plain: bool = False) -> Callable:
+    """Names an object by one of its members; with ``plain`` a text by itself."""
+    return lambda v: text_of(v.get(member)) if isinstance(v, dict) else text_of(v) if plain else None
+
+
+COMMIT = Reading("sha", {"author": author_of, "parents": text_of, "files_changed": path_of, "hunks": member_of("header")}, frozenset(["author", "parents", "files_changed", "hunks"]), frozenset(["files_changed", "hunks"]))
+REPOSITORY = Reading(None, {"topics": member_of("name", True), "releases": member_of("tag_name"), "assets": member_of("name")}, frozenset(["topics", "releases", "assets"]), frozenset(["releases", "assets"]))
+
+
+def _rows(df: DataFrame, children: dict[str, str]) -> DataFrame:
+    kinds = F.create_map(*[F.lit(x) for kv in children.items() for x in kv])
+    named = df.where(F.col("member").isin(list(children)) & F.col("name").isNotNull() & F.col("id").isNotNull())
+    return named.select(kinds[F.col("member")].alias("child"), F.col("record").alias("repo_name"), F.col("id").alias("parent_id"), F.col("ordinal").alias("pos"), "name")
+
+
+def commit_children(dumps: DataFrame, record: str = "repo_name", column: str = "commits_data") -> tuple[DataFrame, Merkle]:
+    """author, parent, file_change and hunk rows of commit dumps, with their store.
+
+    A commit is an object with a text ``sha``, in lists and objects however
+    deep, also where those are given as JSON text.
+    """
+    m = Merkle(dumps, record, column, COMMIT)
+    first = durable(m.below(durable(m.about())))
+    inside = first.where((F.col("member") == "files_changed") & F.col("child").isNotNull()).select("record", F.concat_ws(":", "id", F.col("ordinal").cast("string")).alias("id"), "child")
+    return _rows(first, {"author": "author", "parents": "parent", "files_changed": "file_change"}).unionByName(_rows(m.below(inside), {"hunks": "hunk"})).distinct(), m
+
+
+def repo_children(repos: DataFrame, record: str = "repo_name", column: str = "repo_info") -> tuple[DataFrame, Merkle]:
+    """topic and asset rows of repository metadata, with their store. A topic is a text or an object with a name."""
+    m = Merkle(repos, record, column, REPOSITORY, key=None)
+    first = durable(m.below(durable(m.about())))
+    tagged = first.where((F.col("member") == "releases") & F.col("child").isNotNull() & F.col("name").isNotNull()).select("record", F.col("name").alias("id"), "child")
+    return _rows(first, {"topics": "topic"}).unionByName(_rows(m.below(tagged), {"assets": "asset"})).distinct(), m
+
+
+def found(dumps: DataFrame, repos: DataFrame) -> DataFrame:
+    return commit_children(dumps)[0].unionByName(repo_children(repos)[0])
+
+
+def commits_of(value, ord_: int = 0) -> Iterator[tuple[int, dict]]:
+    """(place in its list, commit) of every commit of a dump's value, by the walk of ``commit_children``; depth is not limited."""
+    todo = [(ord_, value)]
+    while todo:
+        i, v = todo.pop()
+        v = decoded(v)
+        if isinstance(v, dict):
+            if isinstance(v.get("sha"), str):
+                yield i, v
+                continue
+            todo += [(i, x) for x in reversed(v.values())]
+        elif isinstance(v, list):
+            todo += list(enumerate(v))[::-1]
 
 
 def _plain(value) -> str | None:
     """A member as text, as a column holds it."""
     if value is None:
         return None
-    return value.encode("utf-8", "replace").decode() if isinstance(value, str) else json.dumps(value)
+    return valid(value) if isinstance(value, str) else json.dumps(value)
 
 
 def _changes(value) -> str | None:
     """The objects of files_changed as a JSON list; one object is a list of one. None if there are none."""
     value = decoded(value)
-    found = [x for x in map(decoded, value if isinstance(value, list) else [value]) if isinstance(x, dict)]
+    found = [{k: x.get(k) for k in ("insertions", "deletions")} for x in map(decoded, value if isinstance(value, list) else [value]) if isinstance(x, dict)]
     return json.dumps(found) if found else None
 
 
@@ -186,62 +354,5 @@ def _commits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def commit_rows(dumps: DataFrame) -> DataFrame:
-    """Every mention of a commit in a readable dump: its record, repository, place in its list, branch or tag, and its changed files as a JSON list."""
+    """Every mention of a commit in a readable dump: its record, repository, place in its list, branch or tag, and the line counts of its changed files as a JSON list."""
     return spread(dumps.select("record_id", "repo_name", "commits_data").where(F.col("commits_data").isNotNull())).mapInArrow(_commits, COMMITS)
-
-
-def _named(df: DataFrame, child: str, parent: str = "parent_id") -> DataFrame:
-    return df.select(F.lit(child).alias("child"), F.col("record").alias("repo_name"), F.col(parent).alias("parent_id"), F.col("pos").cast("int").alias("pos"), F.col("text").alias("name")).where(F.col("name").isNotNull() & (F.col("name") != "") & F.col("parent_id").isNotNull())
-
-
-def commit_children(dumps: DataFrame, record: str = "repo_name", column: str = "commits_data") -> tuple[DataFrame, Merkle]:
-    """author, parent, file_change and hunk rows of commit dumps, with their store.
-
-    A commit is an object with a text ``sha``, standing in the list, in a
-    list that is a member of the outer object, or inside an object of the
-    list. An author that is one text takes its address from ``Name <address>``.
-    """
-    m = Merkle(dumps, record, column)
-    shas = m.texts("sha").withColumnRenamed("text", "sha")
-    # the commits of a root: walk down arrays and objects for at most three levels, stop at objects with a sha
-    level, found = m.roots.select("record", F.col("hash").alias("at")), None
-    down = m.typed.where(F.col("kind").isin("object", "array")).select(F.col("hash").alias("at"), F.col("child"))
-    for _ in range(4):
-        marked = level.join(shas, level["at"] == shas["hash"], "left").drop("hash")
-        hit = marked.where(F.col("sha").isNotNull()).select("record", F.col("at").alias("commit"), "sha")
-        found = hit if found is None else found.unionByName(hit)
-        level = marked.where(F.col("sha").isNull()).select("record", "at").join(down, "at").select("record", F.col("child").alias("at")).distinct()
-    commits = durable(found.distinct())
-    authors = m.children(commits, "commit", "author")
-    who = m.typed.where(F.col("member").isin("email", "name") & (F.col("kind") == "string") & (F.col("text") != "")).groupBy("hash").agg(F.max_by("text", F.when(F.col("member") == "email", 1).otherwise(0)).alias("who"))
-    as_text = authors.where(F.col("kind") == "string").withColumn("text", F.coalesce(F.nullif(F.trim(F.regexp_extract("text", r"<([^<>]*)>", 1)), F.lit("")), F.trim(F.regexp_replace("text", r"<[^<>]*>", ""))))
-    as_object = authors.where(F.col("kind") == "object").drop("text").join(who.withColumnRenamed("hash", "value"), "value").withColumnRenamed("who", "text")
-    author = as_text.select("record", "sha", "text").unionByName(as_object.select("record", "sha", "text")).withColumn("pos", F.lit(0))
-    parent = m.items(commits, "commit", "parents").where(F.col("kind") == "string")
-    changes = durable(m.items(commits, "commit", "files_changed").where(F.col("kind") == "object").select("record", "sha", "pos", F.col("value").alias("change")))
-    paths = m.children(changes, "change", "path")
-    moved = m.children(paths.where(F.col("kind") == "object").select("record", "sha", "pos", F.col("value").alias("path")), "path", "new")
-    change = paths.where(F.col("kind") == "string").select("record", "sha", "pos", "text").unionByName(moved.where(F.col("kind") == "string").select("record", "sha", "pos", "text"))
-    inside = changes.select("record", F.concat_ws(":", "sha", F.col("pos").cast("string")).alias("parent_id"), "change")
-    hunks = m.items(inside, "change", "hunks").where(F.col("kind") == "object").select("record", "parent_id", "pos", F.col("value").alias("hunk"))
-    header = m.children(hunks, "hunk", "header").where(F.col("kind") == "string")
-    rows = _named(author, "author", "sha").unionByName(_named(parent, "parent", "sha")).unionByName(_named(change, "file_change", "sha")).unionByName(_named(header, "hunk"))
-    return rows.distinct(), m
-
-
-def repo_children(repos: DataFrame, record: str = "repo_name", column: str = "repo_info") -> tuple[DataFrame, Merkle]:
-    """topic and asset rows of repository metadata, with their store. A topic is a text or an object with a name."""
-    m = Merkle(repos, record, column)
-    names = m.texts("name")
-    topics = m.items(m.roots, "hash", "topics")
-    as_object = topics.where(F.col("kind") == "object").drop("text", "hash").join(names.withColumnRenamed("hash", "value"), "value")
-    topic = topics.where(F.col("kind") == "string").select("record", "pos", "text").unionByName(as_object.select("record", "pos", "text")).withColumn("parent_id", F.col("record"))
-    releases = m.items(m.roots, "hash", "releases").where(F.col("kind") == "object").select("record", F.col("value").alias("release"))
-    tagged = releases.join(m.texts("tag_name"), F.col("release") == F.col("hash")).select("record", "release", F.col("text").alias("parent_id"))
-    assets = m.items(tagged, "release", "assets").where(F.col("kind") == "object").drop("text")
-    asset = assets.join(names.withColumnRenamed("hash", "value"), "value").select("record", "parent_id", "pos", "text")
-    return _named(topic, "topic").unionByName(_named(asset, "asset")).distinct(), m
-
-
-def found(dumps: DataFrame, repos: DataFrame) -> DataFrame:
-    return commit_children(dumps)[0].unionByName(repo_children(repos)[0])

@@ -13,9 +13,9 @@ def p1_found(spark, d):
 
 
 def p1_store(spark, d):
-    """How far sharing goes: per kind, the objects stored once and the bridge rows that reach them."""
-    m = nested.Merkle(table(spark, d, "commit_dumps"), "repo_name", "commits_data")
-    return m.typed.groupBy("kind").agg(F.countDistinct("child").alias("stored"), F.count("*").alias("bridges"))
+    """How far sharing goes: of the objects under each member, how many are stored once and how many bridge rows reach them."""
+    m = nested.Merkle(table(spark, d, "commit_dumps"), "repo_name", "commits_data", nested.COMMIT, whole=True)
+    return nested.bridges(m.nodes).where(F.col("child").isNotNull()).groupBy("member").agg(F.count_distinct("child").alias("stored"), F.count("*").alias("bridges"))
 
 
 def p3_found(spark, d):
@@ -60,6 +60,18 @@ WITH listed AS (SELECT {_full('full_name')} AS k, max(updated_at) AS v FROM sear
 done AS (SELECT {_full('repo_name')} AS k, max(source_updated_at) AS v FROM crawled WHERE crawled_at IS NOT NULL GROUP BY 1)
 SELECT listed.k AS full_name FROM listed LEFT JOIN done ON listed.k = done.k
 WHERE listed.k LIKE '%/%' AND (done.k IS NULL OR listed.v > done.v)
+""",
+    "p1_store": """
+WITH RECURSIVE given AS (SELECT DISTINCT commits_data::JSON AS v FROM commit_dumps WHERE json_valid(commits_data)),
+whole AS (SELECT CASE WHEN json_type(v) = 'VARCHAR' THEN json_extract_string(v, '$')::JSON ELSE v END AS v FROM given),
+tree(member, owner, ordinal, v, listed) AS (
+  SELECT '', NULL::JSON, 0, v, false FROM whole WHERE json_type(v) IN ('OBJECT', 'ARRAY')
+  UNION SELECT member, owner, ordinal, v, listed FROM (
+    SELECT CASE WHEN json_type(t.v) = 'OBJECT' THEN x.k ELSE t.member END AS member, CASE WHEN json_type(t.v) = 'OBJECT' OR t.owner IS NULL THEN t.v ELSE t.owner END AS owner,
+      CASE WHEN json_type(t.v) = 'OBJECT' THEN 0 ELSE x.k::INT END AS ordinal, CASE WHEN json_type(x.v) = 'VARCHAR' AND x.k IN ('files_changed', 'author', 'parents', 'hunks') AND json_extract_string(x.v, '$')[1] IN ('[', '{') THEN json_extract_string(x.v, '$')::JSON ELSE x.v END AS v, json_type(t.v) = 'ARRAY' AS listed
+    FROM tree t, LATERAL (SELECT unnest(json_keys(t.v)) AS k, unnest(list_transform(json_keys(t.v), lambda k: json_extract(t.v, '$."' || k || '"'))) AS v WHERE json_type(t.v) = 'OBJECT'
+      UNION ALL SELECT unnest(range(json_array_length(t.v)::BIGINT))::VARCHAR, unnest(json_extract(t.v, '$[*]')) WHERE json_type(t.v) = 'ARRAY') x) WHERE json_type(v) IN ('OBJECT', 'ARRAY'))
+SELECT member, count(DISTINCT v) AS stored, count(DISTINCT (owner::VARCHAR, ordinal, v::VARCHAR)) AS bridges FROM tree WHERE owner IS NOT NULL AND json_type(v) = 'OBJECT' GROUP BY member
 """,
     "p1_found": """
 WITH dumps AS (SELECT DISTINCT repo_name, commits_data::JSON AS j FROM commit_dumps WHERE json_valid(commits_data)),

@@ -75,10 +75,45 @@ def test_edges(spark):
 def test_stored_once(spark):
     same = {"sha": "s", "author": {"name": "n", "email": "e"}}
     turned = {"author": {"email": "e", "name": "n"}, "sha": "s"}
-    m = nested.Merkle(spark.createDataFrame([("a", json.dumps([same])), ("b", json.dumps([turned, same]))], "r string, j string"), "r", "j")
-    assert m.nodes.where("kind = 'object'").count() == 2 and m.roots.count() == 2
-    assert m.children(m.roots, "hash", "").count() == 3 and m.typed.where("member = 'sha'").count() == 1
-    assert m.edges.where("member = ''").count() == 3
+    df = spark.createDataFrame([(1, "a", json.dumps([same])), (2, "a", json.dumps([same])), (3, "b", json.dumps([turned, same]))] * 2, "record_id int, r string, j string")
+    m = nested.Merkle(df, "r", "j", nested.COMMIT, whole=True)
+    nodes = {r.hash: (json.loads(r.body), r.bridges) for r in m.nodes.collect()}
+    assert len(nodes) == 4 and m.roots.count() == 3  # two lists, the commit, its author
+    (commit,) = (b for b, _ in nodes.values() if isinstance(b, dict) and "sha" in b)
+    assert nodes[bytes.fromhex(commit["author"][""])][0] == same["author"]
+    assert nested.bridges(m.nodes).where("member = ''").count() == 3 and m.about().count() == 2
+    read = nested.Merkle(df, "r", "j", nested.COMMIT)
+    assert [(r.body, [(b.member, b.ordinal, b.child, b.name) for b in r.bridges]) for r in read.nodes.collect()] == [(None, [("author", 0, None, "e")])]
+
+
+def given_back(nodes: dict, h: bytes):
+    """The value of a stored hash, by its body."""
+
+    def whole(v):
+        return given_back(nodes, bytes.fromhex(v[""])) if isinstance(v, dict) else [whole(x) for x in v] if isinstance(v, list) else v
+
+    body = json.loads(nodes[h])
+    return [whole(x) for x in body] if isinstance(body, list) else {k: whole(v) for k, v in body.items()}
+
+
+def test_the_store_gives_every_record_back(spark, sf):
+    """Texts that are JSON stay texts, whatever stands in them."""
+    made = [(1, "a", json.dumps({"sha": "s", "message": '{"a": 1}', "files_changed": '[{"path": "p"}]', "": {"": ["[]", [[1.0, 1, True, None, {}]], "\ud800"]}})), (2, "b", json.dumps([{"topics": ["[1]", "{}"]}]))]
+    df = table(spark, sf, "commit_dumps").select("record_id", "repo_name", "commits_data").union(spark.createDataFrame(made, "record_id bigint, repo_name string, commits_data string"))
+    m = nested.Merkle(df, "repo_name", "commits_data", nested.COMMIT, whole=True)
+    nodes = {r.hash: r.body for r in m.nodes.collect()}
+    want = {(r[0], r[1], json.dumps(v, sort_keys=True)) for r in df.collect() if isinstance(v := nested.parse(r[2]), (dict, list))}
+    assert {(r.record_id, r.record, json.dumps(given_back(nodes, r.hash), sort_keys=True)) for r in m.roots.collect()} == want
+
+
+def test_names_that_look_like_json_and_any_depth(spark):
+    info = spark.createDataFrame([("r", json.dumps({"topics": ["[1]", "{}", {"name": "n"}, "\ud800"]}))], "repo_name string, repo_info string")
+    assert {(r.pos, r.name) for r in nested.repo_children(info)[0].collect()} == {(0, "[1]"), (1, "{}"), (2, "n"), (3, "?")}
+    n = 30_000
+    deep = [(1, "d", '{"a":' * n + '[{"sha": "x", "parents": ["p"]}]' + "}" * n), (2, "e", "[" * n + '{"sha": "y", "author": "m"}' + "]" * n)]
+    df = spark.createDataFrame(deep, "record_id bigint, repo_name string, commits_data string")
+    assert {tuple(r) for r in nested.commit_children(df)[0].collect()} == {("parent", "d", "x", 0, "p"), ("author", "e", "y", 0, "m")}
+    assert {(r.repo_name, r.sha) for r in nested.commit_rows(df).collect()} == {("d", "x"), ("e", "y")}
 
 
 def test_commits_of_all_shapes(spark, sf):
