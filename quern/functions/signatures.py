@@ -2,12 +2,14 @@
 
 Supported: literal strings with ``nocase``, ``and``, ``or``, brackets,
 ``any of``, ``N of`` with a set, a list or ``them``, single ``$id`` and counts
-``#id > n``. Every literal is searched once for each row, in the JVM.
+``#id > n``, searched in the JVM; ``fullword`` and expressions become Java
+expressions. ``wide`` and hex strings are refused with an error.
 """
 
 from __future__ import annotations
 
 import glob
+import os
 import re
 from functools import reduce
 
@@ -19,18 +21,33 @@ from quern import dims
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SCORE = {"critical": 100, "high": 75, "medium": 50, "low": 25}
 _RULE = re.compile(r"\brule\s+(\w+)[^{]*\{(.*?)\bcondition\s*:(.*?)\}\s*(?=rule\b|\Z)", re.S)
-_STRING = re.compile(r'\$(\w*)\s*=\s*"((?:[^"\\]|\\.)*)"((?:\s+(?:nocase|ascii|wide|fullword))*)')
+_STRING = re.compile(r'\$(\w*)\s*=\s*(?:"((?:[^"\\]|\\.)*)"|/((?:[^/\\\n]|\\.)+)/([is]*)|(\{))((?:\s+\w+)*)')
 _TOKEN = re.compile(r"\$\w*\*?|#\w+|\w+|[(),>]")
 _ESCAPES = {"\\\\": "\\", '\\"': '"', "\\t": "\t", "\\n": "\n", "\\r": "\r"}
 
 
 def parse(text: str) -> list[dict]:
-    """name, severity, category, description, strings {id: (literal, nocase)} and condition (nested tuples)."""
+    """name, severity, category, description, strings {id: (literal, nocase)} and condition (nested tuples).
+
+    ``fullword`` literals and expressions between slashes are held as Java
+    expressions with None for nocase. Other kinds raise a ValueError.
+    """
     text = re.sub(r'"(?:[^"\\]|\\.)*"|(/\*[\s\S]*?\*/|//[^\n]*)', lambda m: "" if m[1] else m[0], text)
     out = []
     for name, head, condition in _RULE.findall(text):
         meta = dict(re.findall(r'(\w+)\s*=\s*"([^"]*)"', head.split("strings")[0]))
-        strings = {i: (re.sub(r'\\[\\"tnr]', lambda m: _ESCAPES[m[0]], s), "nocase" in flags) for i, s, flags in _STRING.findall(head)}
+        strings = {}
+        for i, literal, expression, how, bytes_, flags in _STRING.findall(head.split("strings", 1)[-1]):
+            if bytes_ or not set(flags.split()) <= {"nocase", "ascii", "fullword"}:
+                raise ValueError(f"rule {name}: string ${i} is of a kind not supported")
+            literal, nocase = re.sub(r'\\[\\"tnr]', lambda m: _ESCAPES[m[0]], literal), "nocase" in flags
+            if expression or "fullword" in flags:
+                expression = f"(?{how}{'i' if nocase and 'i' not in how else ''})(?:{expression})" if how or nocase else expression
+                body = expression or f"{'(?i)' if nocase else ''}" + re.sub(r"([^\w\s])", r"\\\1", literal)
+                literal = f"(?<![A-Za-z0-9]){body}(?![A-Za-z0-9])" if "fullword" in flags else body
+                strings[i] = (literal, None)
+            else:
+                strings[i] = (literal, nocase)
         out.append({"name": name, "severity": meta.get("severity", "medium").lower(), "category": meta.get("category", "unknown"), "description": meta.get("description", "No description"), "strings": strings, "condition": Condition(condition, strings).whole()})
     return out
 
@@ -107,7 +124,7 @@ def load(*folders: str) -> list[dict]:
     for folder in folders:
         for path in sorted(glob.glob(f"{folder}/*.yar") + glob.glob(f"{folder}/*.yara")):
             with open(path, encoding="utf-8") as f:
-                rules |= {r["name"]: r for r in parse(f.read())}
+                rules |= {r["name"]: r | {"namespace": os.path.splitext(os.path.basename(path))[0]} for r in parse(f.read())}
     return list(rules.values())
 
 
@@ -121,6 +138,8 @@ def matches(content: Column, folded: Column, rule: dict) -> Column:
 
     def has(i: str) -> Column:
         literal, nocase = rule["strings"][i]
+        if nocase is None:
+            return F.rlike(content, F.lit(literal))
         return (folded if nocase else content).contains(F.lit(literal.lower() if nocase else literal))
 
     def compile_(tree) -> Column:
@@ -128,6 +147,8 @@ def matches(content: Column, folded: Column, rule: dict) -> Column:
             return reduce((lambda a, b: a | b) if tree[0] == "or" else (lambda a, b: a & b), map(compile_, tree[1]))
         if tree[0] == "count":
             literal, nocase = rule["strings"][tree[1]]
+            if nocase is None:
+                return F.regexp_count(content, F.lit(literal)) > tree[2]
             return times(folded if nocase else content, literal.lower() if nocase else literal) > tree[2]
         _, n, ids = tree
         if n == 1:
@@ -142,10 +163,12 @@ def times(c: Column, literal: str) -> Column:
 
 
 def matched(content: str = "content", rules: list[dict] | None = None) -> Column:
-    """Array of the names of the matching rules, in the rules' order."""
+    """Array of the names of the matching rules, in the rules' order. The text is folded once for all of them."""
     rules = load() if rules is None else rules
     c = F.col(content)
-    return F.array_compact(F.array(*[F.when(matches(c, fold(c), r), F.lit(r["name"])) for r in rules]))
+    # an array of one text: a lambda's variable is evaluated once, however often it is used
+    found = F.transform(F.array(fold(c)), lambda folded: F.array_compact(F.array(*[F.when(matches(c, folded, r), F.lit(r["name"])) for r in rules])))
+    return F.element_at(found, 1)
 
 
 def severity_score(names: Column, rules: list[dict] | None = None) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quern import dims
 from quern.functions import signatures, text
+from quern.session import spread
 
 KEYS = ["repo_name", "file_path"]
 
@@ -32,19 +33,37 @@ def fenced(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def code_files(files: DataFrame) -> DataFrame:
-    """repo_name, file_path, ext, content of the text files with a code suffix; exact repeats once."""
+    """repo_name, file_path, ext, content and its hash of the text files with a code suffix, over all cores. Repeated rows stay: see ``once``."""
     ext = text.suffix("file_path")
-    return files.where((F.col("content_type") == "text") & F.col("content").isNotNull() & ext.isin(dims.CODE)).select(*KEYS, ext.alias("ext"), "content").distinct()
+    f = spread(files.where((F.col("content_type") == "text") & F.col("content").isNotNull()))
+    return f.where(ext.isin(dims.CODE)).select(*KEYS, ext.alias("ext"), "content", F.md5("content").alias("content_hash"))
+
+
+def once(df: DataFrame) -> DataFrame:
+    """Without repeats of a file's row, told by key and hash of the content, which is so never shuffled itself: to be called where rows are smallest."""
+    return df.drop("content").dropDuplicates([*KEYS, "content_hash"])
+
+
+def rule_words() -> list[str]:
+    """All words that a keyword's weight or a rule asks for."""
+    of_rules = [w for r in dims.rules() for w in r["all_of"] + r["n_of"] + r["any_of"]]
+    of_keywords = [w for k in dims.keywords() for w in [k["keyword"], *k["requires"], *k["excludes"]]]
+    return sorted({*of_rules, *of_keywords, *(w for words, _ in dims.CROSS_FILE for w in words)})
+
+
+def among(array: Column, words: list[str]) -> Column:
+    """The members of ``array`` that are among the words; their hash set is built once for the plan, not for each row."""
+    return F.filter(array, lambda t: t.isin(words))
 
 
 def features(files: DataFrame) -> DataFrame:
-    """Of each code file: tokens (distinct), n_tokens, functions, classes, imports, comments, patterns."""
+    """Of each code file: tokens (distinct), n_tokens, functions, classes, imports, comments, patterns; and those of the rules' words among them (seen, in_*)."""
     c = F.col("content")
-    f = fenced(code_files(files), all_tokens=text.tokens(c))
-    return f.select(
-        *KEYS, "ext", "content", F.size("all_tokens").alias("n_tokens"), F.array_distinct("all_tokens").alias("tokens"),
-        text.function_names(c).alias("functions"), text.class_names(c).alias("classes"), text.import_names(c).alias("imports"), text.comment_words(c).alias("comments"), text.suspicious(c).alias("patterns"),
-    )
+    f = fenced(code_files(files), all_tokens=text.tokens(c), functions=text.function_names(c), classes=text.class_names(c), imports=text.import_names(c), comments=text.comment_words(c))
+    f = fenced(f, tokens=F.array_distinct("all_tokens"))
+    words, names = rule_words(), [k["keyword"] for k in reachable()]
+    f = fenced(f, seen=among(F.col("tokens"), words), **{f"in_{n}": among(F.col(n), names) for n in ("functions", "classes", "imports", "comments")})
+    return f.withColumns({"n_tokens": F.size("all_tokens"), "patterns": text.suspicious(c)}).drop("all_tokens")
 
 
 def related(token: Column) -> Column:
@@ -56,19 +75,19 @@ def exact_weight(k: dict) -> Column:
     """Weight of a keyword that is one of the row's tokens; null if an excluding word stands beside it."""
     kw = F.lit(k["keyword"])
     times = (
-        F.when(F.array_contains("functions", kw), k["fn"]).when(F.array_contains("classes", kw), k["cls"]).when(F.array_contains("comments", kw), k["cmt"]).when(F.array_contains("imports", kw), k["imp"]).otherwise(k["var"])
+        F.when(F.array_contains("in_functions", kw), k["fn"]).when(F.array_contains("in_classes", kw), k["cls"]).when(F.array_contains("in_comments", kw), k["cmt"]).when(F.array_contains("in_imports", kw), k["imp"]).otherwise(k["var"])
     )
     w = F.lit(k["base"]) * times
     if k["requires"]:
-        w = F.when(F.arrays_overlap("tokens", strings(k["requires"])), w).otherwise(k["base"] * 0.3)
+        w = F.when(F.arrays_overlap("seen", strings(k["requires"])), w).otherwise(k["base"] * 0.3)
     if k["excludes"]:
-        w = F.when(~F.arrays_overlap("tokens", strings(k["excludes"])), w)
-    return F.when(F.array_contains("tokens", kw), w)
+        w = F.when(~F.arrays_overlap("seen", strings(k["excludes"])), w)
+    return F.when(F.array_contains("seen", kw), w)
 
 
 def context(k: dict) -> Column:
     kw = F.lit(k["keyword"])
-    return F.when(F.array_contains("functions", kw), "FUNCTION_NAME").when(F.array_contains("classes", kw), "CLASS_NAME").when(F.array_contains("comments", kw), "COMMENT").when(F.array_contains("imports", kw), "IMPORT").otherwise("VARIABLE_NAME")
+    return F.when(F.array_contains("in_functions", kw), "FUNCTION_NAME").when(F.array_contains("in_classes", kw), "CLASS_NAME").when(F.array_contains("in_comments", kw), "COMMENT").when(F.array_contains("in_imports", kw), "IMPORT").otherwise("VARIABLE_NAME")
 
 
 def reachable() -> list[dict]:
@@ -76,10 +95,16 @@ def reachable() -> list[dict]:
     return [k for k in dims.keywords() if k["keyword"].replace("_", "a").isalnum() and k["keyword"] == k["keyword"].lower() and len(k["keyword"]) >= 3]
 
 
+def exact_hits(contexts: bool = False) -> Column:
+    """array<struct<token, weight>> of the keywords that are tokens, with context and severity if asked for; no test is made for a row without any."""
+    more = lambda k: [context(k).alias("context"), F.lit(k["severity"]).alias("severity")] if contexts else []
+    every = F.array(*[F.struct(F.lit(k["keyword"]).alias("token"), exact_weight(k).alias("weight"), *more(k)) for k in reachable()])
+    return F.filter(F.when(F.size("seen") > 0, every).otherwise(F.slice(every, 1, 0)), lambda m: m["weight"].isNotNull())
+
+
 def exact_matches(f: DataFrame) -> DataFrame:
     """repo_name, file_path, token, context, severity, weight of every keyword that is a token of its file."""
-    hits = F.array_compact(F.array(*[F.when(exact_weight(k).isNotNull(), F.struct(F.lit(k["keyword"]).alias("token"), context(k).alias("context"), F.lit(k["severity"]).alias("severity"), exact_weight(k).alias("weight"))) for k in reachable()]))
-    return f.select(*KEYS, F.explode(hits).alias("m")).select(*KEYS, "m.*")
+    return once(f.select(*KEYS, "content_hash", exact_hits(True).alias("hits"))).select(*KEYS, F.inline("hits")).select(*KEYS, "token", "context", "severity", "weight")
 
 
 def _parts() -> list[str]:
@@ -90,30 +115,31 @@ def _parts() -> list[str]:
 
 def partial_candidates() -> Column:
     """Tokens of the row that lie within a keyword or hold one, without those that are one: a hash test and one expression, so that the 63 tests of ``related`` see few tokens."""
-    within = F.array_intersect("tokens", strings(_parts()))
-    holding = F.filter("tokens", lambda t: F.rlike(t, F.lit("|".join(k["keyword"] for k in reachable()))))
-    return F.array_except(F.array_union(within, holding), strings([k["keyword"] for k in dims.keywords()]))
+    own, holding = [k["keyword"] for k in dims.keywords()], "|".join(k["keyword"] for k in reachable())
+    return F.filter("tokens", lambda t: (t.isin(_parts()) | F.rlike(t, F.lit(holding))) & ~t.isin(own))
 
 
 def partial_hits() -> Column:
-    """array<struct<token, keyword, weight>>: tokens that share only a part with a keyword, the first in order."""
+    """array<struct<token, weight, keyword>>: tokens that share only a part with a keyword, the first in order."""
     names = F.array(*[F.lit(k["keyword"]) for k in dims.keywords()])
     weights = F.array(*[F.lit(k["base"] * k["var"] * 0.5) for k in dims.keywords()])
-    return F.transform(partial_candidates(), lambda t: F.struct(t.alias("token"), names[related(t)].alias("keyword"), weights[related(t)].alias("weight")))
+    at = F.transform(partial_candidates(), lambda t: F.struct(t.alias("token"), related(t).alias("i")))
+    return F.transform(at, lambda x: F.struct(x["token"].alias("token"), weights[x["i"]].alias("weight"), names[x["i"]].alias("keyword")))
 
 
 def partial_matches(f: DataFrame) -> DataFrame:
     """repo_name, file_path, token, keyword, weight of the partial matches."""
-    return f.select(*KEYS, F.explode(partial_hits()).alias("m")).select(*KEYS, "m.*")
+    return once(f.select(*KEYS, "content_hash", partial_hits().alias("hits"))).select(*KEYS, F.inline("hits")).select(*KEYS, "token", "keyword", "weight")
 
 
-def exact_hits() -> Column:
-    return F.array_compact(F.array(*[F.when(exact_weight(k).isNotNull(), F.struct(F.lit(k["keyword"]).alias("token"), exact_weight(k).alias("weight"))) for k in reachable()]))
+def all_hits() -> Column:
+    """array<struct<token, weight>>: exact and partial matches of the row."""
+    return F.concat(exact_hits(), F.transform(partial_hits(), lambda m: F.struct(m["token"].alias("token"), m["weight"].alias("weight"))))
 
 
 def found_keywords(f: DataFrame) -> DataFrame:
-    """repo_name, file_path, token, weight: exact and partial matches of each file."""
-    return exact_matches(f).select(*KEYS, "token", "weight").unionByName(partial_matches(f).select(*KEYS, "token", "weight"))
+    """repo_name, file_path, token, weight: exact and partial matches of each file, in one pass over its text."""
+    return once(f.select(*KEYS, "content_hash", all_hits().alias("hits"))).select(*KEYS, F.inline("hits"))
 
 
 def pair_boost(found: Column) -> Column:
@@ -142,8 +168,7 @@ def rule_score(found: Column) -> Column:
 def file_found(f: DataFrame) -> DataFrame:
     """Every file with its found keywords (sorted), their weights added up and the CRITICAL ones."""
     critical = [k["keyword"] for k in dims.keywords() if k["severity"] == "CRITICAL"]
-    hits = F.concat(exact_hits(), F.transform(partial_hits(), lambda m: F.struct(m["token"].alias("token"), m["weight"].alias("weight"))))
-    out = fenced(f, hits=hits)
+    out = fenced(f, hits=all_hits())
     total = F.aggregate("hits", F.lit(0).cast("decimal(18,6)"), lambda a, m: (a + m["weight"].cast("decimal(18,6)")).cast("decimal(18,6)"))
     found = F.array_sort(F.transform("hits", lambda m: m["token"]))
     return fenced(out, found=found, keyword_score=total.cast("double"), critical=F.array_intersect(found, strings(critical))).drop("hits")
@@ -162,7 +187,7 @@ def level(score: Column) -> Column:
 
 
 def file_scores(f: DataFrame, scan: bool = False, rules: list[dict] | None = None) -> DataFrame:
-    """The score of every code file and its parts. ``scan``: with the signatures' names and boost."""
+    """The score of every code file and its parts, a projection; repeated rows stay (see ``once``). ``scan``: with the signatures' names and boost."""
     d = fenced(file_found(f), rule_names=rule_names(F.col("found")))
     if scan:
         d = fenced(d, signatures=signatures.matched("content", rules)).withColumn("rule_names", F.array_union("rule_names", "signatures"))
@@ -179,22 +204,53 @@ def file_scores(f: DataFrame, scan: bool = False, rules: list[dict] | None = Non
     return d
 
 
-def cross_boost(f_found: DataFrame) -> DataFrame:
-    """repo_name, cross_file_score: 10 times the multiplier of each set whose words stand in two or more files and are all there."""
+def cross_parts() -> Column:
+    """10 times the multiplier of each set whose words stand in two or more files and are all there, as an aggregate."""
     parts = [F.when((F.sum(F.arrays_overlap("found", strings(words)).cast("int")) >= 2) & (F.count_if(F.array_contains("found", words[0])) > 0) & (F.count_if(F.array_contains("found", words[1])) > 0) & (F.count_if(F.array_contains("found", words[2])) > 0), F.lit(m * 10)).otherwise(0.0) for words, m in dims.CROSS_FILE]
-    return f_found.groupBy("repo_name").agg(sum(parts, F.lit(0.0)).alias("cross_file_score"))
+    return sum(parts, F.lit(0.0))
+
+
+def cross_boost(f_found: DataFrame) -> DataFrame:
+    """repo_name, cross_file_score of its files' found words; one row for each file."""
+    return f_found.groupBy("repo_name").agg(cross_parts().alias("cross_file_score"))
 
 
 def repo_scores(f: DataFrame) -> DataFrame:
-    """Per repository: sums over its files, the 12 rules on all its tokens, the cross-file boost and the verdict."""
-    d = file_found(f)
+    """Per repository: sums over its files, the 12 rules on all its tokens, the cross-file boost and the verdict, by one aggregation."""
     of_rules = sorted({w for r in dims.rules() for w in r["all_of"] + r["n_of"] + r["any_of"]})
-    flags = [F.max(F.array_contains("tokens", w).cast("int")).alias(f"w_{w}") for w in of_rules]
-    by = d.groupBy("repo_name").agg(F.count("*").alias("analyzed_files"), F.sum(F.col("keyword_score").cast("decimal(18,6)")).cast("double").alias("keyword_sum"), F.sum(F.size("patterns")).alias("pattern_count"), F.size(F.array_distinct(F.flatten(F.collect_set("critical")))).alias("critical_count"), *flags)
+    d = file_found(f)
+    d = once(d.select(*KEYS, "content_hash", "found", "keyword_score", "critical", F.size("patterns").alias("n_patterns"), among(F.col("seen"), of_rules).alias("of_rules")))
+    flags = [F.max(F.array_contains("of_rules", w).cast("int")).alias(f"w_{w}") for w in of_rules]
+    by = d.groupBy("repo_name").agg(F.count("*").alias("analyzed_files"), F.sum(F.col("keyword_score").cast("decimal(18,6)")).cast("double").alias("keyword_sum"), F.sum("n_patterns").alias("pattern_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("critical")))).alias("critical"), cross_parts().alias("cross_file_score"), *flags)
     seen = F.array_compact(F.array(*[F.when(F.col(f"w_{w}") == 1, F.lit(w)) for w in of_rules]))
-    by = by.withColumn("seen", seen).withColumns({"rule_count": F.size(rule_names(F.col("seen"))), "rule_sum": rule_score(F.col("seen"))}).drop("seen", *[f"w_{w}" for w in of_rules])
-    by = by.join(cross_boost(d), "repo_name")
+    by = by.withColumn("seen", seen).withColumns({"rule_names": rule_names(F.col("seen")), "rule_sum": rule_score(F.col("seen"))}).drop("seen", *[f"w_{w}" for w in of_rules])
+    by = by.withColumns({"critical_count": F.size("critical"), "rule_count": F.size("rule_names")})
     p = F.least(F.col("pattern_count") / 20, F.lit(1.0)) * 100
     by = by.withColumn("pattern_score", p).withColumn("weighted_score", F.col("keyword_sum") + F.col("rule_sum") + F.col("cross_file_score") + F.col("pattern_score"))
     suspicious = (F.col("critical_count") >= 1) | (F.col("rule_count") >= 1) | (F.col("keyword_sum") >= 50) | (F.col("pattern_count") >= 3)
     return by.withColumns({"combined_score": F.least(F.col("weighted_score") / 200, F.lit(1.0)), "is_suspicious": suspicious})
+
+
+def file_reasons() -> Column:
+    """array<string>: why a scored file is suspected, with the first three names of each kind."""
+    return F.array_compact(
+        F.array(
+            F.when(F.size("critical") > 0, F.concat(F.lit("Contains "), F.size("critical"), F.lit(" critical keywords: "), F.array_join(F.slice("critical", 1, 3), ", "))),
+            F.when(F.size("found") > 3, F.concat(F.lit("High concentration of malicious keywords ("), F.size("found"), F.lit(" found)"))),
+            F.when(F.size("rule_names") > 0, F.concat(F.lit("Matches "), F.size("rule_names"), F.lit(" YARA rules: "), F.array_join(F.slice("rule_names", 1, 3), ", "))),
+            F.when(F.col("co_occurrence_score") > 0, F.format_string("Keyword co-occurrence detected (+%.1f points)", F.bround("co_occurrence_score", 1))),
+            F.when(F.col("context_score") > 0, F.format_string("Suspicious file characteristics (+%.1f points)", F.bround("context_score", 1))),
+        )
+    )
+
+
+def repo_reasons() -> Column:
+    """array<string>: why a scored repository is suspected."""
+    return F.array_compact(
+        F.array(
+            F.when(F.size("critical") > 0, F.concat(F.lit("Critical keywords: "), F.array_join(F.slice("critical", 1, 5), ", "))),
+            F.when(F.size("rule_names") > 0, F.concat(F.lit("YARA rules: "), F.array_join(F.slice("rule_names", 1, 3), ", "))),
+            F.when(F.col("keyword_sum") >= 50, F.format_string("High weighted score: %.1f", F.bround("keyword_sum", 1))),
+            F.when(F.col("pattern_count") >= 3, F.concat(F.lit("Suspicious patterns: "), F.col("pattern_count"))),
+        )
+    )

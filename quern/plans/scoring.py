@@ -29,7 +29,7 @@ def joined(c):
 
 
 def token_counts(spark, d):
-    f = kw.code_files(corpus(spark, d)).select("repo_name", F.explode(kw.text.tokens(F.col("content"))).alias("token"))
+    f = kw.once(kw.code_files(corpus(spark, d)).withColumn("tokens", kw.text.tokens(F.col("content")))).select("repo_name", F.explode("tokens").alias("token"))
     return f.groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("repo_name").alias("repos"))
 
 
@@ -38,7 +38,7 @@ def file_keyword_score(spark, d):
 
 
 def context_names(spark, d):
-    f = features(spark, d)
+    f = kw.once(features(spark, d).select(*KEYS, "content_hash", "functions", "classes", "imports", "comments"))
     return f.select(*KEYS, *[joined(F.array_sort(c)).alias(c) for c in ("functions", "classes", "imports")], F.size("comments").alias("comment_words"))
 
 
@@ -55,7 +55,7 @@ def keyword_match_weighted(spark, d):
 
 
 def critical_keywords(spark, d):
-    return kw.file_found(features(spark, d)).where(F.size("critical") > 0).select(*KEYS, joined("critical").alias("critical"))
+    return kw.once(kw.file_found(features(spark, d)).where(F.size("critical") > 0).select(*KEYS, "content_hash", joined("critical").alias("critical"))).drop("content_hash")
 
 
 def keyword_weight_lookup(spark, d):
@@ -66,7 +66,7 @@ def keyword_weight_lookup(spark, d):
 
 
 def patterned(spark, d):
-    return kw.fenced(kw.code_files(corpus(spark, d)), patterns=kw.text.suspicious(F.col("content")))
+    return kw.once(kw.fenced(kw.code_files(corpus(spark, d)), patterns=kw.text.suspicious(F.col("content"))))
 
 
 def suspicious_patterns(spark, d):
@@ -79,46 +79,43 @@ def pattern_counts_repo(spark, d):
 
 
 def repo_token_counts(spark, d):
-    """Tokens, distinct tokens and files of each repository."""
-    f = features(spark, d).select("repo_name", "n_tokens", "file_path", F.explode_outer("tokens").alias("t"))
-    per = features(spark, d).groupBy("repo_name").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("files"))
-    return per.join(f.groupBy("repo_name").agg(F.count_distinct("t").alias("distinct_tokens")), "repo_name")
+    """Tokens, distinct tokens and files of each repository, in one pass."""
+    f = kw.once(features(spark, d).select(*KEYS, "content_hash", "n_tokens", "tokens")).select("repo_name", "n_tokens", F.posexplode_outer("tokens").alias("i", "t"))
+    first = F.coalesce("i", F.lit(0)) == 0
+    return f.groupBy("repo_name").agg(F.sum(F.when(first, F.col("n_tokens"))).alias("tokens"), F.count_if(first).alias("files"), F.count_distinct("t").alias("distinct_tokens"))
 
 
 def cooccurrence_boost(spark, d):
-    return kw.file_found(features(spark, d)).select(*KEYS, kw.pair_boost(F.col("found")).alias("boost")).where("boost > 0")
+    return kw.once(kw.file_found(features(spark, d)).select(*KEYS, "content_hash", kw.pair_boost(F.col("found")).alias("boost"))).where("boost > 0").drop("content_hash")
 
 
 def rule_match_file(spark, d):
     """Rules that match a file's found keywords or (column on) all its tokens."""
     f = kw.file_found(features(spark, d))
-    found = f.select(*KEYS, F.lit("found").alias("on"), F.explode(kw.rule_names(F.col("found"))).alias("rule"))
-    return found.unionByName(f.select(*KEYS, F.lit("tokens").alias("on"), F.explode(kw.rule_names(F.col("tokens"))).alias("rule")))
-
-
-def repo_tokens(spark, d):
-    return features(spark, d).groupBy("repo_name").agg(F.array_distinct(F.flatten(F.collect_set("tokens"))).alias("tokens"))
+    both = F.array(F.struct(F.lit("found").alias("on"), kw.rule_names(F.col("found")).alias("rules")), F.struct(F.lit("tokens").alias("on"), kw.rule_names(F.col("seen")).alias("rules")))
+    f = kw.once(f.select(*KEYS, "content_hash", both.alias("both"))).select(*KEYS, F.inline("both"))
+    return f.select(*KEYS, "on", F.explode("rules").alias("rule"))
 
 
 def rule_match_repo(spark, d):
     words = sorted({w for r in dims.rules() for w in r["all_of"] + r["n_of"] + r["any_of"]})
-    t = features(spark, d).groupBy("repo_name").agg(*[F.max(F.array_contains("tokens", w).cast("int")).alias(w) for w in words])
+    t = kw.once(features(spark, d).select(*KEYS, "content_hash", "seen")).groupBy("repo_name").agg(*[F.max(F.array_contains("seen", w).cast("int")).alias(w) for w in words])
     seen = F.array_compact(F.array(*[F.when(F.col(w) == 1, F.lit(w)) for w in words]))
     return t.select("repo_name", seen.alias("seen")).select("repo_name", joined(kw.rule_names(F.col("seen"))).alias("rules"), kw.rule_score(F.col("seen")).alias("rule_score"))
 
 
 def cross_file_boost(spark, d):
-    return kw.cross_boost(kw.file_found(features(spark, d)))
+    return kw.cross_boost(kw.once(kw.file_found(features(spark, d)).select(*KEYS, "content_hash", "found")))
 
 
 def cross_file_tokens(spark, d):
     """The same sets against all tokens, not only found keywords."""
-    return kw.cross_boost(features(spark, d).withColumn("found", F.col("tokens")))
+    return kw.cross_boost(kw.once(features(spark, d).select(*KEYS, "content_hash", F.col("seen").alias("found"))))
 
 
 def scanned(spark, d):
     f = kw.code_files(corpus(spark, d))
-    return kw.fenced(f, signatures=sig.matched("content")).select(*KEYS, "signatures")
+    return kw.once(kw.fenced(f, signatures=sig.matched("content")).select(*KEYS, "content_hash", "signatures")).drop("content_hash")
 
 
 def signature_match(spark, d):
@@ -135,10 +132,9 @@ def signature_severity(spark, d):
 
 
 def signature_summary(spark, d):
-    """One line for each match: [SEV] rule (category)."""
-    lines = F.create_map(*[F.lit(x) for r in sig.load() for x in (r["name"], f"[{r['severity'].upper()}] {r['name']} ({r['category']})")])
-    s = scanned(spark, d).where(F.size("signatures") > 0)
-    return s.select(*KEYS, F.array_join(F.transform("signatures", lambda n: lines[n]), "\n").alias("summary"))
+    """One line for each match: [SEV] rule (category): description; a file without any is said to have none."""
+    lines = F.create_map(*[F.lit(x) for r in sig.load() for x in (r["name"], f"[{r['severity'].upper()}] {r['name']} ({r['category']}): {r['description']}")])
+    return scanned(spark, d).select(*KEYS, F.when(F.size("signatures") > 0, F.array_join(F.transform("signatures", lambda n: lines[n]), "\n")).otherwise("No YARA rules matched").alias("summary"))
 
 
 PARTS = ["keyword_score", "co_occurrence_score", "pattern_score", "context_score", "total_score", "normalized_score"]
@@ -146,27 +142,23 @@ PARTS = ["keyword_score", "co_occurrence_score", "pattern_score", "context_score
 
 def file_malicious_score(spark, d):
     s = kw.file_scores(features(spark, d))
-    return s.select(*KEYS, *[F.round(c, 4).alias(c) for c in PARTS], "severity_level", "is_malicious")
+    return kw.once(s.select(*KEYS, "content_hash", *[F.round(c, 4).alias(c) for c in PARTS], "severity_level", "is_malicious")).drop("content_hash")
 
 
 def file_score_boosted(spark, d):
     s = kw.file_scores(features(spark, d), scan=True)
-    return s.select(*KEYS, F.round("total_score", 4).alias("total_score"), F.round("boosted_score", 4).alias("boosted_score"), F.round("boosted_normalized", 4).alias("boosted_normalized"), "severity_level", "is_malicious", F.size("signatures").alias("signatures"))
+    return kw.once(s.select(*KEYS, "content_hash", F.round("total_score", 4).alias("total_score"), F.round("boosted_score", 4).alias("boosted_score"), F.round("boosted_normalized", 4).alias("boosted_normalized"), "severity_level", "is_malicious", F.size("signatures").alias("signatures"))).drop("content_hash")
 
 
 def suspicion_reasons(spark, d):
-    """Reasons of a score, with the first names of each kind."""
+    """Reasons of a file's score."""
     s = kw.file_scores(features(spark, d))
-    r = F.array_compact(
-        F.array(
-            F.when(F.size("critical") > 0, F.concat(F.lit("critical: "), F.array_join(F.slice("critical", 1, 3), ", "))),
-            F.when(F.size("rule_names") > 0, F.concat(F.lit("rules: "), F.array_join(F.slice("rule_names", 1, 3), ", "))),
-            F.when(F.col("co_occurrence_score") > 0, F.format_string("pairs: %.1f", F.col("co_occurrence_score"))),
-            F.when(F.col("context_score") > 0, F.format_string("context: %.1f", F.col("context_score"))),
-            F.when(F.size("found") > 0, F.concat(F.lit("found: "), F.array_join(F.slice("found", 1, 5), ", "))),
-        )
-    )
-    return s.select(*KEYS, F.array_join(r, "; ").alias("reasons"))
+    return kw.once(s.select(*KEYS, "content_hash", F.array_join(kw.file_reasons(), "; ").alias("reasons"))).drop("content_hash")
+
+
+def repo_reasons(spark, d):
+    """Reasons of a repository's verdict."""
+    return kw.repo_scores(features(spark, d)).select("repo_name", "is_suspicious", F.array_join(kw.repo_reasons(), "; ").alias("reasons"))
 
 
 REPO = ["keyword_sum", "rule_sum", "cross_file_score", "pattern_score", "weighted_score", "combined_score"]
@@ -193,7 +185,7 @@ def high_risk_files(spark, d):
     return g.select("repo_name", "malicious_files", F.size("p").alias("high_risk"), joined(F.slice("p", 1, 10)).alias("first_paths"))
 
 
-QUERIES = {f.__name__: f for f in (token_counts, file_keyword_score, context_names, keyword_match_exact, keyword_match_partial, keyword_match_weighted, critical_keywords, keyword_weight_lookup, suspicious_patterns, pattern_counts_repo, repo_token_counts, cooccurrence_boost, rule_match_file, rule_match_repo, cross_file_boost, cross_file_tokens, signature_match, signature_counts, signature_severity, signature_summary, file_malicious_score, file_score_boosted, suspicion_reasons, repo_score, repo_prescreen, high_risk_files)}
+QUERIES = {f.__name__: f for f in (token_counts, file_keyword_score, context_names, keyword_match_exact, keyword_match_partial, keyword_match_weighted, critical_keywords, keyword_weight_lookup, suspicious_patterns, pattern_counts_repo, repo_token_counts, cooccurrence_boost, rule_match_file, rule_match_repo, cross_file_boost, cross_file_tokens, signature_match, signature_counts, signature_severity, signature_summary, file_malicious_score, file_score_boosted, suspicion_reasons, repo_reasons, repo_score, repo_prescreen, high_risk_files)}
 
 NL = "chr(10)"
 _BOOST = S.MATCHES + "," + S.SCANNED.replace(S.CODE + ",", "") + ", src AS (SELECT * FROM file_found JOIN scanned USING (repo_name, file_path)), " + S.scores(f"list_concat({S.rule_names('found')}, list_filter(signatures, lambda x: NOT list_contains({S.rule_names('found')}, x)))", "src")
@@ -232,10 +224,20 @@ SQL = {
     "signature_match": f"WITH {S.SCANNED} SELECT repo_name, file_path, unnest(signatures) AS signature FROM scanned",
     "signature_counts": f"WITH {S.SCANNED} SELECT signature, count(*) AS files, count(DISTINCT repo_name) AS repos FROM (SELECT repo_name, unnest(signatures) AS signature FROM scanned) GROUP BY signature",
     "signature_severity": f"WITH {S.SCANNED} SELECT repo_name, file_path, {S.SIGNATURE_SCORE} AS score, {S.SIGNATURE_TOP} AS severity FROM scanned WHERE len(signatures) > 0",
-    "signature_summary": f"WITH {S.SCANNED}, line(signature, l) AS (VALUES {', '.join('(' + S.q(r['name']) + ', ' + S.q('[' + r['severity'].upper() + '] ' + r['name'] + ' (' + r['category'] + ')') + ')' for r in sig.load())}) SELECT repo_name, file_path, string_agg(l, {NL} ORDER BY i) AS summary FROM (SELECT repo_name, file_path, unnest(signatures) AS signature, generate_subscripts(signatures, 1) AS i FROM scanned) JOIN line USING (signature) GROUP BY repo_name, file_path",
+    "signature_summary": f"WITH {S.SCANNED}, line(signature, l) AS (VALUES {', '.join('(' + S.q(r['name']) + ', ' + S.q('[' + r['severity'].upper() + '] ' + r['name'] + ' (' + r['category'] + '): ' + r['description']) + ')' for r in sig.load())}), hit AS (SELECT repo_name, file_path, string_agg(l, {NL} ORDER BY i) AS summary FROM (SELECT repo_name, file_path, unnest(signatures) AS signature, generate_subscripts(signatures, 1) AS i FROM scanned) JOIN line USING (signature) GROUP BY repo_name, file_path) SELECT repo_name, file_path, coalesce(summary, 'No YARA rules matched') AS summary FROM scanned LEFT JOIN hit USING (repo_name, file_path)",
     "file_malicious_score": f"WITH {S.MATCHES}, {S.scores(S.rule_names('found'))} SELECT repo_name, file_path, {', '.join(f'round({c}, 4) AS {c}' for c in PARTS)}, {S.LEVEL.format(s='normalized_score')} AS severity_level, normalized_score >= 40 OR len(critical) >= 2 AS is_malicious FROM scored",
     "file_score_boosted": f"WITH {_BOOST}, top AS (SELECT *, {S.SIGNATURE_TOP} AS top, total_score + least({S.SIGNATURE_SCORE}, 50) AS boosted FROM scored) SELECT repo_name, file_path, round(total_score, 4) AS total_score, round(boosted, 4) AS boosted_score, round(least(boosted / 400 * 100, 100.0), 4) AS boosted_normalized, CASE WHEN top IN ('CRITICAL', 'HIGH') THEN top ELSE {S.LEVEL.format(s='normalized_score')} END AS severity_level, coalesce(top IN ('CRITICAL', 'HIGH'), false) OR normalized_score >= 40 OR len(critical) >= 2 AS is_malicious, len(signatures)::INT AS signatures FROM top",
-    "suspicion_reasons": f"WITH {S.MATCHES}, {S.scores(S.rule_names('found'))} SELECT repo_name, file_path, concat_ws('; ', CASE WHEN len(critical) > 0 THEN 'critical: ' || array_to_string(critical[1:3], ', ') END, CASE WHEN len(rule_names) > 0 THEN 'rules: ' || array_to_string(rule_names[1:3], ', ') END, CASE WHEN co_occurrence_score > 0 THEN printf('pairs: %.1f', co_occurrence_score) END, CASE WHEN context_score > 0 THEN printf('context: %.1f', context_score) END, CASE WHEN len(found) > 0 THEN 'found: ' || array_to_string(found[1:5], ', ') END) AS reasons FROM scored",
+    "suspicion_reasons": f"""WITH {S.MATCHES}, {S.scores(S.rule_names('found'))} SELECT repo_name, file_path, concat_ws('; ',
+  CASE WHEN len(critical) > 0 THEN 'Contains ' || len(critical) || ' critical keywords: ' || array_to_string(critical[1:3], ', ') END,
+  CASE WHEN len(found) > 3 THEN 'High concentration of malicious keywords (' || len(found) || ' found)' END,
+  CASE WHEN len(rule_names) > 0 THEN 'Matches ' || len(rule_names) || ' YARA rules: ' || array_to_string(rule_names[1:3], ', ') END,
+  CASE WHEN co_occurrence_score > 0 THEN printf('Keyword co-occurrence detected (+%.1f points)', co_occurrence_score) END,
+  CASE WHEN context_score > 0 THEN printf('Suspicious file characteristics (+%.1f points)', context_score) END) AS reasons FROM scored""",
+    "repo_reasons": f"""WITH {_REPO}, crit AS (SELECT repo_name, list_sort(list_distinct(flatten(list(critical)))) AS critical FROM file_found GROUP BY repo_name)
+SELECT repo_name, is_suspicious, concat_ws('; ', CASE WHEN len(c.critical) > 0 THEN 'Critical keywords: ' || array_to_string(c.critical[1:5], ', ') END,
+  CASE WHEN rule_count > 0 THEN 'YARA rules: ' || array_to_string(({S.rule_names('s.seen')})[1:3], ', ') END,
+  CASE WHEN keyword_sum >= 50 THEN printf('High weighted score: %.1f', keyword_sum) END,
+  CASE WHEN pattern_count >= 3 THEN 'Suspicious patterns: ' || pattern_count END) AS reasons FROM verdict JOIN crit c USING (repo_name) LEFT JOIN seen s USING (repo_name)""",
     "repo_score": f"WITH {_REPO} SELECT repo_name, analyzed_files, pattern_count::BIGINT AS pattern_count, critical_count::INT AS critical_count, rule_count::INT AS rule_count, {', '.join(f'round({c}, 4) AS {c}' for c in REPO[:-1])}, round(least(weighted_score / 200, 1.0), 4) AS combined_score, is_suspicious FROM verdict",
     "repo_prescreen": f"WITH {_REPO}, every AS (SELECT DISTINCT repo_name FROM files) SELECT repo_name, (CASE WHEN weighted_score IS NULL THEN 0.0 ELSE round(least(weighted_score / 200, 1.0), 4) END)::DOUBLE AS combined_score, pattern_count::BIGINT AS pattern_count, coalesce(is_suspicious, false) AS is_suspicious FROM every LEFT JOIN verdict USING (repo_name)",
     "high_risk_files": f"WITH l AS (SELECT *, row_number() OVER (PARTITION BY repo_name, file_path ORDER BY analysis_date DESC NULLS LAST, total_score DESC NULLS LAST, severity_level DESC NULLS LAST, is_malicious DESC NULLS LAST) AS v FROM file_malicious_scores WHERE repo_name IS NOT NULL), g AS (SELECT repo_name, count(*) FILTER (is_malicious) AS malicious_files, list_sort(list(DISTINCT file_path) FILTER (severity_level IN ('CRITICAL', 'HIGH'))) AS p FROM l WHERE v = 1 GROUP BY repo_name) SELECT repo_name, malicious_files, coalesce(len(p), 0)::INT AS high_risk, coalesce(array_to_string(p[1:10], {NL}), '') AS first_paths FROM g",

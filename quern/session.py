@@ -29,12 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is missing, as in tests on one machine, a temporary
-    folder is taken.
+    Only where the setting is missing and all runs on one machine, as in
+    tests, a temporary folder is taken; on a cluster it must be set.
     """
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if set_to:
         return set_to.rstrip("/")
+    if not (spark.conf.get("spark.master", None) or "local").split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = getattr(spark, "_quern_dir", None)
     if own is None:
         own = spark._quern_dir = "file://" + tempfile.mkdtemp(prefix="quern-")
@@ -74,5 +76,7 @@ def spread(df: DataFrame) -> DataFrame:
     For costly work on each row. A table with at least half as many partitions
     as there are cores stays as it is, so large inputs are never shuffled here.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)

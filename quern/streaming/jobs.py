@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quern import dims
-from quern.functions import text
 from quern.operators import incremental, keywords, labels
 from quern.operators.incremental import Target
 
@@ -36,11 +34,7 @@ def crawl(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
 
 def score_files(stream: DataFrame) -> DataFrame:
     """Scores of arriving files: a projection, so it needs no state."""
-    ext = text.suffix("file_path")
-    f = stream.where((F.col("content_type") == "text") & F.col("content").isNotNull() & ext.isin(dims.CODE)).select("repo_name", "file_path", ext.alias("ext"), "content")
-    c = F.col("content")
-    f = keywords.fenced(f, all_tokens=text.tokens(c))
-    f = f.select("*", F.array_distinct("all_tokens").alias("tokens"), text.function_names(c).alias("functions"), text.class_names(c).alias("classes"), text.import_names(c).alias("imports"), text.comment_words(c).alias("comments"))
+    f = keywords.features(stream)
     return keywords.file_scores(f).select("repo_name", "file_path", "total_score", "normalized_score", "severity_level", "is_malicious")
 
 
