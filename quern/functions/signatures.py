@@ -42,8 +42,8 @@ def parse(text: str) -> list[dict]:
                 raise ValueError(f"rule {name}: string ${i} is of a kind not supported")
             literal, nocase = re.sub(r'\\[\\"tnr]', lambda m: _ESCAPES[m[0]], literal), "nocase" in flags
             if expression or "fullword" in flags:
-                expression = f"(?{how}{'i' if nocase and 'i' not in how else ''})(?:{expression})" if how or nocase else expression
-                body = expression or f"{'(?i)' if nocase else ''}" + re.sub(r"([^\w\s])", r"\\\1", literal)
+                how += "i" if nocase and "i" not in how else ""
+                body = (f"(?{how})" if how else "") + (f"(?:{expression})" if expression else re.sub(r"([^\w\s])", r"\\\1", literal))
                 literal = f"(?<![A-Za-z0-9]){body}(?![A-Za-z0-9])" if "fullword" in flags else body
                 strings[i] = (literal, None)
             else:

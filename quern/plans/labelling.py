@@ -54,10 +54,10 @@ def scores(spark, d):
 
 
 def file_selection(spark, d):
-    """Files to be scanned: the flagged scannable ones; all scannable ones where none is flagged."""
-    s = scores(spark, d).select("repo_name", "file_path", F.coalesce("is_malicious", F.lit(False)).alias("flagged")).where(lg.scannable())
+    """Files to be scanned: in a repository with any flagged file, scannable or not, the flagged scannable ones, else all scannable ones."""
+    s = scores(spark, d).select("repo_name", "file_path", F.coalesce("is_malicious", F.lit(False)).alias("flagged"))
     any_ = s.groupBy("repo_name").agg(F.max("flagged").alias("any_flagged"))
-    return s.join(any_, "repo_name").where(F.col("flagged") | ~F.col("any_flagged")).select(*KEYS, "any_flagged")
+    return s.where(lg.scannable()).join(any_, "repo_name").where(F.col("flagged") | ~F.col("any_flagged")).select(*KEYS, "any_flagged")
 
 
 def repo_label(spark, d):
@@ -66,9 +66,11 @@ def repo_label(spark, d):
 
 
 def skip_savings(spark, d):
-    """How many of a repository's files were never scanned, in per cent."""
-    f = table(spark, d, "files").select(*KEYS).distinct().join(labels(spark, d).select(*KEYS, F.lit(1).alias("s")), KEYS, "left")
-    return f.groupBy("repo_name").agg(F.count("*").alias("files"), F.count_if(F.col("s").isNull()).alias("skipped")).withColumn("percent", F.round(F.col("skipped") / F.col("files") * 100, 4))
+    """Files of each repository that the selection spares, in per cent; repositories of which nothing is selected have failed and are left out."""
+    s = scores(spark, d).select("repo_name", F.coalesce("is_malicious", F.lit(False)).alias("flagged"), lg.scannable().alias("scannable"))
+    by = s.groupBy("repo_name").agg(F.count("*").alias("files"), F.max("flagged").alias("any"), F.count_if("scannable").alias("all_scannable"), F.count_if(F.col("scannable") & F.col("flagged")).alias("flagged_scannable"))
+    by = by.withColumn("scanned", F.when(F.col("any"), F.col("flagged_scannable")).otherwise(F.col("all_scannable"))).where("scanned > 0")
+    return by.withColumn("skipped", F.col("files") - F.col("scanned")).select("repo_name", "files", "scanned", "skipped", F.round(F.col("skipped") / F.col("files") * 100, 4).alias("percent"))
 
 
 def turns(spark, d):
@@ -230,9 +232,9 @@ n AS (SELECT file_hash, (s->>'malicious')::INT AS malicious, (s->>'suspicious'):
 SELECT file_hash, malicious, suspicious, 0 AS harmless, undetected, malicious + suspicious + undetected AS engines, malicious >= 3 OR malicious + suspicious >= 5 AS is_malicious, coalesce(array_to_string(l, chr(10)), '') AS detections FROM n LEFT JOIN e USING (file_hash)""",
     "file_verdict": "SELECT is_malicious, vt_malicious_count >= 3 OR vt_malicious_count + vt_suspicious_count >= 5 AS by_counts, count(*) AS n, sum(total_engines)::BIGINT AS engines FROM file_labels GROUP BY 1, 2",
     "hash_lookup": "WITH f AS (SELECT DISTINCT repo_name, file_path, sha256(content) AS file_hash FROM files WHERE content IS NOT NULL) SELECT *, file_hash IN (SELECT lower(file_hash) FROM file_labels WHERE file_hash IS NOT NULL) AS known FROM f",
-    "file_selection": f"WITH {_LATEST}, s AS (SELECT repo_name, file_path, coalesce(is_malicious, false) AS flagged FROM scores WHERE {_SCAN}), w AS (SELECT *, max(flagged) OVER (PARTITION BY repo_name) AS any_flagged FROM s) SELECT repo_name, file_path, any_flagged FROM w WHERE flagged OR NOT any_flagged",
+    "file_selection": f"WITH {_LATEST}, flagged AS (SELECT repo_name, file_path FROM scores WHERE is_malicious) SELECT repo_name, file_path, repo_name IN (SELECT repo_name FROM flagged) AS any_flagged FROM scores WHERE {_SCAN} AND ((repo_name, coalesce(file_path, chr(1))) IN (SELECT repo_name, coalesce(file_path, chr(1)) FROM flagged) OR repo_name NOT IN (SELECT repo_name FROM flagged))",
     "repo_label": f"WITH {_REPO} SELECT repo_name, total_files, malicious_files, suspicious_files, clean_files, file_level_score, file_level_score >= 5.0 AS is_malicious FROM repo",
-    "skip_savings": "WITH f AS (SELECT DISTINCT repo_name, file_path FROM files), l AS (SELECT DISTINCT repo_name, file_path, 1 AS s FROM file_labels) SELECT repo_name, count(*) AS files, count(*) FILTER (s IS NULL) AS skipped, round(count(*) FILTER (s IS NULL) / count(*) * 100, 4) AS percent FROM f LEFT JOIN l USING (repo_name, file_path) GROUP BY 1",
+    "skip_savings": f"WITH {_LATEST}, flagged AS (SELECT repo_name, file_path FROM scores WHERE is_malicious), chosen AS (SELECT repo_name, count(*) AS scanned FROM scores WHERE {_SCAN} AND (is_malicious OR repo_name NOT IN (SELECT repo_name FROM flagged)) GROUP BY 1), every AS (SELECT repo_name, count(*) AS files FROM scores GROUP BY 1) SELECT repo_name, files, scanned, files - scanned AS skipped, round((files - scanned) / files * 100, 4) AS percent FROM every JOIN chosen USING (repo_name)",
     "llm_reply_parse": f"WITH {_TURNS} SELECT doc_id, round(score, 4) AS score, md5(reasoning) AS reasoning_md5, length(reasoning)::INT AS reasoning_length FROM replies",
     "consensus": f"WITH {_TURNS}, l AS (SELECT repo_name, max(round) + 1 AS rounds, coalesce(arg_max(score, round) FILTER (agent = 1), 0.0) AS agent1_score, coalesce(arg_max(score, round) FILTER (agent = 2), 0.0) AS agent2_score FROM replies GROUP BY 1) SELECT repo_name, rounds, round(agent1_score, 4) AS agent1_score, round(agent2_score, 4) AS agent2_score, round((agent1_score + agent2_score) / 2, 4) AS consensus, round((agent1_score + agent2_score) / 2, 4) >= 5.0 AS is_malicious FROM l",
     "behavioral_override": "WITH v AS (SELECT 'repo' || l_suppkey AS repo_name, CASE WHEN floor(l_extendedprice)::BIGINT % 4 > 0 THEN floor(floor(l_quantity)::BIGINT % 50 / 10)::INT END AS malicious FROM lineitem) SELECT repo_name, count(*) AS variants, count(malicious) AS scanned, coalesce(bool_or(malicious >= 3), false) AS is_malicious, CASE WHEN bool_or(malicious >= 3) THEN 'behavioral_analysis' END AS reason FROM v GROUP BY 1",

@@ -48,7 +48,7 @@ def content_classify(spark, d):
 
 def safe_name_dedup(spark, d):
     """Paths of a repository that collide as container names: the first path stays."""
-    f = files(spark, d).select(*KEYS).distinct().withColumn("safe", F.replace(F.replace(text.safe_name(F.col("file_path")), F.lit("-"), F.lit("_")), F.lit("_dot_"), F.lit("_")))
+    f = files(spark, d).select(*KEYS).distinct().withColumn("safe", text.safe_name(F.col("file_path")))
     return f.groupBy("repo_name", "safe").agg(F.min("file_path").alias("kept"), (F.count("*") - 1).alias("dropped"))
 
 
@@ -115,11 +115,15 @@ def commit_dedup(spark, d):
 
 
 def commit_totals(spark, d):
-    """Changed files and lines per repository, from the commits' own lists."""
+    """Changed files and lines per repository, each commit once, by its first mention with changes; counts that are no whole numbers add nothing."""
     change = "ARRAY<STRUCT<insertions STRING, deletions STRING>>"
-    c = commits(spark, d).groupBy("repo_name", "sha").agg(F.min("files_changed").alias("files_changed"))
-    x = c.select("repo_name", "sha", F.explode(F.from_json("files_changed", change)).alias("f"))
-    return x.groupBy("repo_name").agg(F.count_distinct("sha").alias("commits"), F.count("*").alias("files"), F.coalesce(F.sum(F.col("f.insertions").cast("bigint")), F.lit(0)).alias("insertions"), F.coalesce(F.sum(F.col("f.deletions").cast("bigint")), F.lit(0)).alias("deletions"))
+    c = commits(spark, d).where(F.col("files_changed").isNotNull()).groupBy("repo_name", "sha").agg(F.min(F.struct("record_id", "ord", "files_changed")).alias("c"))
+    x = c.select("repo_name", "sha", F.explode(F.from_json("c.files_changed", change)).alias("f"))
+    lines = lambda k: F.coalesce(F.sum(F.col(f"f.{k}").try_cast("bigint")), F.lit(0)).alias(k)
+    return x.groupBy("repo_name").agg(F.count_distinct("sha").alias("commits"), F.count("*").alias("files"), lines("insertions"), lines("deletions"))
+
+
+LANGUAGE_TERMS = " " + " ".join(f"language:{x}" for x in dims.CRAWL_LANGUAGES)
 
 
 def crawl_slices(spark, d):
@@ -127,7 +131,7 @@ def crawl_slices(spark, d):
     last = table(spark, d, "crawler_state").where("run_status = 'ok'").agg(F.max_by("last_crawled_date", F.struct("saved_at", "id")).alias("at"))
     s = last.select("at", F.explode(F.sequence(F.lit(0), F.lit(60))).alias("k")).select("at", "k", F.date_sub("at", F.col("k") * 31).alias("slice_end"))
     s = s.withColumn("slice_start", F.date_sub("slice_end", 30)).where(F.col("slice_start") >= F.add_months("at", -60))
-    return s.select("k", "slice_start", "slice_end", F.concat(F.lit("created:"), F.date_format("slice_start", "yyyy-MM-dd"), F.lit(".."), F.date_format("slice_end", "yyyy-MM-dd")).alias("query"))
+    return s.select("k", "slice_start", "slice_end", F.concat(F.lit("created:"), F.date_format("slice_start", "yyyy-MM-dd"), F.lit(".."), F.date_format("slice_end", "yyyy-MM-dd"), F.lit(LANGUAGE_TERMS)).alias("query"))
 
 
 def crawl_candidates(spark, d):
@@ -187,6 +191,14 @@ def _has(*xs):
     return "(" + " OR ".join(f"contains(content, {S.q(x)})" for x in xs) + ")"
 
 
+def _said(column: str, names) -> str:
+    """A column of repos, or what the members of its text say."""
+    text_ = column not in ("stars", "forks", "size")
+    types = "('VARCHAR')" if text_ else "('VARCHAR', 'UBIGINT', 'BIGINT', 'DOUBLE')"
+    said = [f"nullif(trim(CASE WHEN json_type(j, '$.{n}') IN {types} THEN json_extract_string(j, '$.{n}') END), '')" for n in names]
+    return f"coalesce({f'nullif({column}, {chr(39) * 2})' if text_ else column}, {', '.join(x if text_ else f'try_cast({x} AS BIGINT)' for x in said)}) AS {column}"
+
+
 _MAIN = "CASE length(content) % {n} {w} END".format(n=len(MAINS), w=" ".join(f"WHEN {i} THEN {S.q(x)}" for i, x in enumerate(MAINS)))
 _ENTRY = f"""WITH {_votes()}, f AS (SELECT * FROM (SELECT DISTINCT repo_name, file_path, content || chr(10) || {_MAIN} AS content FROM files WHERE content_type = 'text' AND content IS NOT NULL) JOIN (SELECT repo_name, language FROM votes) USING (repo_name))
 SELECT repo_name, file_path, 'main' AS kind FROM f WHERE language = 'go' AND lower(file_path) LIKE '%.go' AND {_has('func main()')}
@@ -199,9 +211,12 @@ UNION ALL SELECT repo_name, file_path, 'main' FROM f WHERE language = 'ruby' AND
 UNION ALL SELECT repo_name, file_path, 'main' FROM f WHERE language = 'rust' AND lower(file_path) LIKE '%.rs' AND {_has('fn main()')}
 UNION ALL SELECT repo_name, coalesce(json_extract_string(CASE WHEN json_valid(content) THEN content END, '$.main'), 'index.js'), 'main' FROM f WHERE language IN ('javascript', 'typescript') AND file_path = 'package.json'
 UNION ALL SELECT repo_name, file_path, 'script' FROM (SELECT *, row_number() OVER (PARTITION BY repo_name ORDER BY file_path) AS n FROM f WHERE language = 'php' AND lower(file_path) LIKE '%.php') WHERE n <= 5"""
-_COMMITS = """c AS (SELECT record_id, repo_name, i - 1 AS ord, json_extract(j, '$[' || (i - 1) || ']') AS c FROM (
-  SELECT DISTINCT record_id, repo_name, commits_data::JSON AS j, unnest(generate_series(1, json_array_length(commits_data)::BIGINT)) AS i FROM commit_dumps WHERE json_valid(commits_data) AND json_type(commits_data) = 'ARRAY')),
-commits AS (SELECT record_id, repo_name, ord, json_extract_string(c, '$.sha') AS sha, json_extract_string(c, '$.branch_or_tag') AS branch_or_tag, json_extract(c, '$.files_changed') AS files_changed FROM c WHERE json_extract_string(c, '$.sha') IS NOT NULL)"""
+_COMMITS = """dumps AS (SELECT DISTINCT record_id, repo_name, CASE WHEN json_type(commits_data) = 'VARCHAR' THEN json_extract_string(commits_data, '$')::JSON ELSE commits_data::JSON END AS j FROM commit_dumps WHERE json_valid(commits_data)),
+lists AS (SELECT record_id, repo_name, CASE json_type(j) WHEN 'OBJECT' THEN json_extract(j, '$.commits') ELSE j END AS j FROM dumps),
+items AS (SELECT record_id, repo_name, i - 1 AS ord, json_extract(j, '$[' || (i - 1) || ']') AS c FROM (SELECT *, unnest(generate_series(1, json_array_length(j)::BIGINT)) AS i FROM lists WHERE json_type(j) = 'ARRAY')),
+commits AS (SELECT record_id, repo_name, ord, json_extract_string(c, '$.sha') AS sha, json_extract_string(c, '$.branch_or_tag') AS branch_or_tag,
+  CASE WHEN json_type(c, '$.files_changed') = 'VARCHAR' THEN json_extract_string(c, '$.files_changed')::JSON ELSE json_extract(c, '$.files_changed') END AS files_changed
+  FROM (SELECT record_id, repo_name, ord, CASE WHEN json_exists(c, '$.sha') THEN c ELSE json_extract(c, '$.node') END AS c FROM items) WHERE json_type(c, '$.sha') = 'VARCHAR')"""
 from quern.plans.data_core import _full  # noqa: E402
 
 SQL = {
@@ -213,7 +228,7 @@ SQL = {
   CASE WHEN {EXT} IN {_TEXT} THEN 'text' WHEN {EXT} IN {_BIN} THEN 'binary' WHEN contains(content, chr(0)) THEN 'binary' ELSE 'text' END AS kind,
   CASE WHEN {EXT} IN {_TEXT} THEN replace(content, chr(0), '<NULL>') WHEN {EXT} IN {_BIN} THEN '<binary file: ' || {EXT} || ' format>' WHEN contains(content, chr(0)) THEN '<binary file: unknown format ' || {EXT} || '>' ELSE content END AS s FROM f)
 SELECT repo_name, file_path, kind, length(s)::INT AS stored_length, md5(s) AS digest FROM k""",
-    "safe_name_dedup": f"SELECT repo_name, replace(replace({_SAFE}, '-', '_'), '_dot_', '_') AS safe, min(file_path) AS kept, count(*) - 1 AS dropped FROM {_PATHS} GROUP BY 1, 2",
+    "safe_name_dedup": f"SELECT repo_name, {_SAFE} AS safe, min(file_path) AS kept, count(*) - 1 AS dropped FROM {_PATHS} GROUP BY 1, 2",
     "content_hashes": "SELECT sha256(content) AS hash, count(*) AS copies, count(DISTINCT repo_name) AS repos FROM files WHERE content IS NOT NULL GROUP BY 1",
     "repo_language": f"WITH {_LANGS} SELECT repo_name, language FROM langs",
     "language_distribution": f"WITH {_LANGS} SELECT language, count(*) AS repos FROM langs GROUP BY 1",
@@ -221,12 +236,16 @@ SELECT repo_name, file_path, kind, length(s)::INT AS stored_length, md5(s) AS di
     "language_vote": f"WITH {_votes()} SELECT * FROM votes",
     "extension_counts": f"SELECT repo_name, {EXT} AS ext, count(*) AS files FROM {_PATHS} GROUP BY 1, 2",
     "entry_points": _ENTRY,
-    "repo_metadata": "WITH l AS (SELECT *, row_number() OVER (PARTITION BY repo_name ORDER BY created_at DESC NULLS LAST, language DESC NULLS LAST, stars DESC NULLS LAST, forks DESC NULLS LAST, size DESC NULLS LAST, repo_created_at DESC NULLS LAST, repo_updated_at DESC NULLS LAST) AS v FROM repos) SELECT repo_name, language, stars, forks, size, repo_created_at, repo_updated_at FROM l WHERE v = 1",
+    "repo_metadata": f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY repo_name ORDER BY created_at DESC NULLS LAST, language DESC NULLS LAST, stars DESC NULLS LAST, forks DESC NULLS LAST, size DESC NULLS LAST, repo_created_at DESC NULLS LAST, repo_updated_at DESC NULLS LAST, repo_info DESC NULLS LAST) AS v FROM repos),
+i AS (SELECT *, CASE WHEN json_valid(repo_info) THEN CASE WHEN json_type(repo_info) = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string(repo_info, '$')) THEN json_extract_string(repo_info, '$')::JSON END ELSE repo_info::JSON END END AS j FROM l WHERE v = 1),
+t AS (SELECT *, CASE WHEN json_type(j, '$.topics') = 'ARRAY' THEN json_extract(j, '$.topics[*]') WHEN json_type(j, '$.topics') IN ('OBJECT', 'VARCHAR') THEN [json_extract(j, '$.topics')] ELSE [] END AS ts FROM i)
+SELECT repo_name, {', '.join(_said(c, names) for c, names in INFO.items())},
+  list_filter(list_transform(ts, lambda x: CASE json_type(x) WHEN 'VARCHAR' THEN json_extract_string(x, '$') WHEN 'OBJECT' THEN json_extract_string(x, '$.name') END), lambda x: x <> '') AS topics FROM t""",
     "commit_dedup": f"WITH {_COMMITS}, r AS (SELECT *, row_number() OVER (PARTITION BY repo_name, sha ORDER BY record_id, ord, branch_or_tag) AS v, dense_rank() OVER (PARTITION BY repo_name, sha ORDER BY record_id) AS k FROM commits) SELECT repo_name, sha, any_value(record_id) FILTER (v = 1) AS record_id, (any_value(ord) FILTER (v = 1))::INT AS ord, any_value(branch_or_tag) FILTER (v = 1) AS branch_or_tag, max(k) AS dumps FROM r GROUP BY repo_name, sha",
-    "commit_totals": f"""WITH {_COMMITS}, one AS (SELECT repo_name, sha, min(CASE WHEN json_type(files_changed) = 'VARCHAR' THEN json_extract_string(files_changed, '$') ELSE files_changed::VARCHAR END) AS t FROM commits GROUP BY 1, 2),
-x AS (SELECT repo_name, sha, unnest(json_extract(t, '$[*]')) AS f FROM one WHERE starts_with(t, '['))
+    "commit_totals": f"""WITH {_COMMITS}, changed AS (SELECT repo_name, sha, record_id, ord, CASE json_type(files_changed) WHEN 'ARRAY' THEN list_filter(json_extract(files_changed, '$[*]'), lambda x: json_type(x) = 'OBJECT') WHEN 'OBJECT' THEN [files_changed] END AS f FROM commits),
+one AS (SELECT *, row_number() OVER (PARTITION BY repo_name, sha ORDER BY record_id, ord) AS v FROM changed WHERE len(f) > 0), x AS (SELECT repo_name, sha, unnest(f) AS f FROM one WHERE v = 1)
 SELECT repo_name, count(DISTINCT sha) AS commits, count(*) AS files, coalesce(sum(try_cast(json_extract_string(f, '$.insertions') AS BIGINT)), 0)::BIGINT AS insertions, coalesce(sum(try_cast(json_extract_string(f, '$.deletions') AS BIGINT)), 0)::BIGINT AS deletions FROM x GROUP BY repo_name""",
-    "crawl_slices": "WITH a AS (SELECT arg_max(last_crawled_date, saved_at) AS pos FROM crawler_state WHERE run_status = 'ok'), s AS (SELECT pos, k, (pos - (k * 31)::INT) AS slice_end FROM a, range(61) t(k)) SELECT k::INT AS k, slice_end - 30 AS slice_start, slice_end, 'created:' || strftime(slice_end - 30, '%Y-%m-%d') || '..' || strftime(slice_end, '%Y-%m-%d') AS query FROM s WHERE slice_end - 30 >= (pos - INTERVAL 60 MONTH)::DATE",
+    "crawl_slices": "WITH a AS (SELECT arg_max(last_crawled_date, saved_at) AS pos FROM crawler_state WHERE run_status = 'ok'), s AS (SELECT pos, k, (pos - (k * 31)::INT) AS slice_end FROM a, range(61) t(k)) SELECT k::INT AS k, slice_end - 30 AS slice_start, slice_end, 'created:' || strftime(slice_end - 30, '%Y-%m-%d') || '..' || strftime(slice_end, '%Y-%m-%d') || '" + "".join(f" language:{x}" for x in dims.CRAWL_LANGUAGES) + "' AS query FROM s WHERE slice_end - 30 >= (pos - INTERVAL 60 MONTH)::DATE",
     "crawl_candidates": f"WITH seen AS (SELECT DISTINCT {_full('repo_name')} AS n FROM crawled) SELECT {_full('full_name')} AS full_name, min(page) AS first_page, count(*) AS listings FROM search_items WHERE {_full('full_name')} NOT IN (SELECT n FROM seen WHERE n IS NOT NULL) GROUP BY 1",
     "crawl_pages": "SELECT slice_start, slice_end, count(DISTINCT page) AS pages, count(DISTINCT item_id) AS items, max(page) AS last_page, count(DISTINCT page) = max(page) AS done FROM search_items GROUP BY 1, 2",
     "upsert_latest_wins": "WITH l AS (SELECT *, row_number() OVER (PARTITION BY repo_name, file_path ORDER BY analysis_date DESC NULLS LAST, total_score DESC NULLS LAST, severity_level DESC NULLS LAST, is_malicious DESC NULLS LAST) AS v FROM file_malicious_scores) SELECT repo_name, file_path, total_score, severity_level, is_malicious FROM l WHERE v = 1",
