@@ -1,11 +1,14 @@
 """Mixing sources to target weights.
 
-Tokens of a source are packed into blocks of fixed length. Slots of output
-shards are drawn for the sources, every slot is mapped to a block by a
-pseudorandom permutation of the source's block numbers, and slots and blocks
-are joined by number. The draws of the shards are multinomial draws under the
-condition that the totals of the sources come out exactly (that is,
-hypergeometric draws), so neither a share nor a cap is missed by chance.
+Tokens of a source are packed into blocks of fixed length. The slots of the
+output shards are drawn for the sources by multinomial draws, every slot is
+mapped to a block by a pseudorandom permutation of the source's block
+numbers, and slots and blocks are joined by number. The draws go down a tree
+over the shards: at each node the left half draws its counts in proportion to
+what the node has, the right half has the rest. So the totals of the sources
+come out exactly, neither a share nor a cap is missed by chance, and every
+shard finds its counts and its first ordinals by itself, by as many draws as
+the tree is deep, at every size alike.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ from pyspark.sql import functions as F
 from quern.llm import bpe
 from quern.session import durable, width
 
-MOST_SOURCES = 10_000  # of the weights, which are collected and broadcast
+#: The weights are collected: a row of them is a source that someone weighted by hand. More of them raise an error.
+MOST_SOURCES = 1_000_000
 SLOTS = "shard bigint, slot int, source string, epoch int, block bigint"
 BLOCKS = "source string, block bigint, n_tokens int, ids array<int>"
 
@@ -76,19 +80,30 @@ def permute(x: np.ndarray, n: int, seed: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def split(counts: np.ndarray, sizes: list[int], seed: int) -> np.ndarray:
-    """``counts`` of each source dealt to parts of the given sizes (which sum to counts.sum()) at random."""
-    rng, left, out = np.random.default_rng(seed), counts.astype(np.int64).copy(), []
-    for size in sizes:
-        if left.sum() < 900_000_000:
-            got = rng.multivariate_hypergeometric(left, size, method="marginals") if left.sum() > size else left.copy()
-        else:  # beyond numpy's limit: the whole part in proportion, its rest by the largest fractions
-            exact = left * (size / left.sum())
-            got = np.floor(exact).astype(np.int64)
-            got[np.argsort(got - exact)[: size - got.sum()]] += 1
-        left -= got
-        out.append(got)
-    return np.array(out, dtype=np.int64).reshape(len(sizes), len(counts))
+def draw(counts: np.ndarray, n: int, seed) -> np.ndarray:
+    """``n`` of the slots in ``counts``, multinomial in their proportions; what exceeds a count is drawn again among the others."""
+    rng, out, room = np.random.default_rng(seed), np.zeros_like(counts), counts.copy()
+    while n > 0:
+        p = room / room.sum()
+        got = np.minimum(rng.multinomial(n, p / max(1.0, p.sum())), room)
+        if not got.any():  # what is left is less than the draws can tell apart
+            got[np.argmax(room)] = min(n, room.max())
+        out, room, n = out + got, room - got, n - int(got.sum())
+    return out
+
+
+def dealt(counts: np.ndarray, size: int, seed: int, shard: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slots of each source in the shard, slots of each source in the shards before), of shards of ``size`` slots."""
+    total = int(counts.sum())
+    low, high, before = 0, -(-total // size), np.zeros_like(counts)
+    while high - low > 1:
+        middle = (low + high) // 2
+        left = draw(counts, (middle - low) * size, [seed, low, high])
+        if shard < middle:
+            counts, high = left, middle
+        else:
+            counts, before, low = counts - left, before + left, middle
+    return counts, before
 
 
 class Mixture:
@@ -109,12 +124,13 @@ class Mixture:
     def __init__(self, documents: DataFrame, weights: DataFrame, length: int = 256, total: int | str | None = None, shard: int = 4096, bucket: int = 1_000_000, seed: int = 7, path: str = bpe.VOCABULARY):
         self.spark, self.length, self.shard, self.seed = documents.sparkSession, length, shard, seed
         self.weights = weights_of(weights)
-        usable = [s for s, (w, m) in self.weights.items() if w > 0 and m > 0]
-        rows = documents.select("doc_id", "text", source_name(F.col("source")).alias("source")).where(F.col("source").isin(usable) & (F.length("text") > 0))
+        usable = [(s,) for s, (w, m) in self.weights.items() if w > 0 and m > 0]
+        listed = self.spark.createDataFrame(usable, "source string")
+        rows = documents.select("doc_id", "text", source_name(F.col("source")).alias("source")).where(F.length("text") > 0).join(F.broadcast(listed), "source", "left_semi")  # at most MOST_SOURCES names
         self.docs = durable(bpe.encode(rows, path=path, keep=("doc_id", "source")).withColumn("n", F.size("ids")))
         self.tokens = {r.source: r.n for r in self.docs.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # no more rows than weights
-        buckets = F.create_map(*[F.lit(x) for s, n in self.tokens.items() for x in (s, max(1, n // bucket))]) if self.tokens else F.create_map(F.lit(""), F.lit(1))
-        self.placed = self.docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), buckets[F.col("source")].cast("long")))
+        buckets = self.spark.createDataFrame([(s, max(1, n // bucket)) for s, n in self.tokens.items()], "source string, __buckets bigint")
+        self.placed = self.docs.join(F.broadcast(buckets), "source").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "ids"), F.col("__buckets"))).drop("__buckets")
         sums = durable(self.placed.groupBy("source", "bucket").agg(F.sum("n").alias("n"), F.ceil(F.sum("n") / length).alias("blocks")))
         from pyspark.sql import Window
 
@@ -173,43 +189,33 @@ class Mixture:
                 yield flush()
 
         rows = self.placed.join(self.first, ["source", "bucket"]).select("source", "bucket", "first", "doc_id", "ids")
-        return rows.repartition(width(self.spark), "source", "bucket").sortWithinPartitions("source", "bucket", "doc_id").drop("doc_id").mapInArrow(pack, BLOCKS)
+        return rows.repartition(width(self.spark), "source", "bucket").sortWithinPartitions("source", "bucket", "doc_id", F.xxhash64("ids")).drop("doc_id").mapInArrow(pack, BLOCKS)
 
     def slots(self) -> DataFrame:
         names = [s for s, n in self.slots_of.items() if n > 0]
         counts = np.array([self.slots_of[s] for s in names], np.int64)
         if not names:
             return self.spark.createDataFrame([], SLOTS)
-        most, shard, seed, n_blocks = int(counts.sum()), self.shard, self.seed, [self.n_blocks[s] for s in names]
-        in_group = shard * 1000
-        sizes = [min(in_group, most - k) for k in range(0, most, in_group)]
-        dealt = split(counts, sizes, seed)
-        starts = np.cumsum(dealt, axis=0) - dealt
-        groups = [(g, dealt[g].tolist(), starts[g].tolist()) for g in range(len(sizes))]
+        shard, seed, n_blocks = self.shard, self.seed, [self.n_blocks[s] for s in names]
 
         def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                for g, shard_no, count, start in zip(f["g"], f["shard"], f["counts"], f["starts"]):
-                    count, start = np.asarray(count), np.asarray(start)
-                    size = int(count.sum())
-                    rows = split(count, [min(shard, size - k) for k in range(0, size, shard)], seed * 1_000_003 + int(g) + 1)
-                    k = int(shard_no)
-                    mine, begin = rows[k], start + rows[:k].sum(axis=0)
+                for k in map(int, f["id"]):
+                    mine, begin = dealt(counts, shard, seed, k)
                     which = np.repeat(np.arange(len(names)), mine)
-                    ordinal = np.concatenate([begin[s] + np.arange(mine[s]) for s in range(len(names))])
+                    ordinal = begin[which] + np.arange(len(which)) - np.repeat(np.cumsum(mine) - mine, mine)
                     block, epoch = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
-                    for s in range(len(names)):
-                        here = np.flatnonzero(which == s)
+                    ends = np.cumsum(mine)
+                    for s in np.flatnonzero(mine):
+                        here = slice(ends[s] - mine[s], ends[s])
                         epoch[here] = ordinal[here] // n_blocks[s]
                         for e in np.unique(epoch[here]):
-                            at = here[epoch[here] == e]
-                            block[at] = permute(ordinal[at] % n_blocks[s], n_blocks[s], seed * 1_000_003 + s * 1009 + int(e))
-                    order = np.random.default_rng([seed, int(g), k]).permutation(len(which))
-                    yield pd.DataFrame({"shard": int(g) * 1000 + k, "slot": np.arange(len(which), dtype=np.int32), "source": np.array(names, object)[which[order]], "epoch": epoch[order].astype(np.int32), "block": block[order]})
-
-        spread = self.spark.createDataFrame(groups, "g bigint, counts array<bigint>, starts array<bigint>")
-        one = spread.withColumn("shard", F.explode(F.sequence(F.lit(0), (F.ceil(F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x) / shard) - 1).cast("int"))))
-        return one.repartition(width(self.spark)).mapInPandas(deal, SLOTS)
+                            at = np.flatnonzero(epoch[here] == e) + here.start
+                            block[at] = permute(ordinal[at] % n_blocks[s], n_blocks[s], seed * 1_000_003 + int(s) * 1009 + int(e))
+                    order = np.random.default_rng([seed, k]).permutation(len(which))
+                    yield pd.DataFrame({"shard": k, "slot": np.arange(len(which), dtype=np.int32), "source": np.array(names, object)[which[order]], "epoch": epoch[order].astype(np.int32), "block": block[order]})
+
+        return self.spark.range(0, -(-int(counts.sum()) // shard), 1, width(self.spark)).mapInPandas(deal, SLOTS)
 
     def rows(self) -> DataFrame:
         """shard, slot, source, epoch, block, n_tokens, ids: the mixture itself."""

@@ -17,9 +17,17 @@ def test_permutation():
         assert sorted(mixing.permute(np.arange(n), n, 5)) == list(range(n))
 
 
-def test_split():
-    got = mixing.split(np.array([10, 0, 90]), [30, 30, 40], 3)
-    assert got.sum(axis=0).tolist() == [10, 0, 90] and got.sum(axis=1).tolist() == [30, 30, 40]
+def test_draws_are_exact_in_all_and_random_in_each():
+    """At sizes on both sides of 900 million slots: totals come out, shards are full, seeds differ, ordinals follow each other."""
+    for counts, size in (([10, 0, 90], 7), ([3 * 10**5, 10**6, 7], 4096), ([10**9, 4 * 10**9, 0, 12_345], 500_000_001), ([2**61, 2**60], 2**59)):
+        counts = np.array(counts, np.int64)
+        shards = -(-int(counts.sum()) // size)
+        rows = [mixing.dealt(counts, size, 3, k) for k in range(shards)]
+        assert np.array_equal(sum(c for c, _ in rows), counts) and all(int(c.sum()) == size for c, _ in rows[:-1])
+        assert np.array_equal(np.cumsum([c for c, _ in rows], axis=0)[:-1], [b for _, b in rows[1:]]) or shards == 1
+        assert any(not np.array_equal(mixing.dealt(counts, size, 4, k)[0], c) for k, (c, _) in enumerate(rows))
+        expected = counts / counts.sum() * size
+        assert all(np.all(np.abs(c - expected) <= 8 * np.sqrt(expected) + 8) for c, _ in rows[:-1])
 
 
 def mixture(spark, **kw):
