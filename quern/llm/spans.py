@@ -10,11 +10,15 @@ chosen next to it in a document are its neighbours:
    texts go on.
 2. Compaction: a gram with one and the same successor in all documents, which
    occurs no more often, merges with it. Joining the counts back to the
-   documents gives the maximal nonbranching paths; a path of 200 or more
-   characters is shared as it stands.
+   documents gives the maximal nonbranching paths. A path of 200 or more
+   characters is shared as it stands, once the digest of its characters at
+   the source coordinates (BLAKE2, 128 bits) is found in two documents; a path
+   that merged by a collision of hashes fails there, and its windows are
+   compared one by one.
 3. What such paths don't decide - stretches reaching over the ends of a path -
-   is verified at its source coordinates: windows of 200 characters are
-   compared with those of the other documents that chose the same gram.
+   is compared at its source coordinates: windows of 200 characters with
+   those of the other documents that chose the same gram, by hash first, then
+   character by character.
 
 Texts that are equal as a whole are put into classes first, so that copies
 cost nothing after step 0. A key of very many texts is not handled in one
@@ -23,6 +27,7 @@ task: its windows are counted as rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -184,7 +189,25 @@ def _anchors(length: int):
     return run
 
 
-PIECES = "kind string, key bigint, doc_id bigint, start int, stop int, text string"
+PIECES = "kind string, key bigint, digest binary, doc_id bigint, start int, stop int, text string"
+_PIECES = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("digest", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("text", pa.string())])
+
+
+def digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _windows(length: int):
+    """(doc_id, start, stop, text) of a stretch -> a row for each of its windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for d, start, stop, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "stop", "text"))):
+                for s in range(start, stop - length + 1, 20_000):
+                    rows = [("window", 0, digest(text[k : k + length]), d, k, k + length, None) for k in range(s, min(s + 20_000, stop - length + 1))]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _PIECES.types)], _PIECES.names)
+
+    return run
 
 
 def _pieces(length: int, hot: int):
@@ -205,7 +228,7 @@ def _pieces(length: int, hot: int):
                         e += 1  # all of this gram go on to the next, which has no more: all of those come from here
                     begin, end = int(pos[flags[k][0]]), int(pos[flags[e][0]]) + GRAM
                     if end - begin >= length:
-                        rows.append(("span", 0, d, begin, end, None))
+                        rows.append(("span", 0, digest(text[begin:end]), d, begin, end, None))
                     for j in range(k, e + 1):
                         a, key, _, times = flags[j]
                         lo, hi = int(low[a]), int(low[a + 1]) - 1 if a + 1 < len(low) else n - length
@@ -213,25 +236,35 @@ def _pieces(length: int, hot: int):
                             if lo > hi:
                                 continue
                             if times > hot:
-                                wide = stretch(grams(codes(text[lo : hi + length]), 128), length)
-                                rows += [("window", int(h), d, s, s + length, None) for s, h in zip(range(lo, hi + 1), wide.view(np.int64))]
+                                rows += [("window", 0, digest(text[s : s + length]), d, s, s + length, None) for s in range(lo, hi + 1)]
                             else:
-                                rows.append(("compare", key, d, lo, hi, text[lo : hi + length]))
+                                rows.append(("compare", key, None, d, lo, hi, text[lo : hi + length]))
                     k = e + 1
             for at in range(0, len(rows), 20_000):
                 part = list(zip(*rows[at : at + 20_000]))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(part, [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()])], ["kind", "key", "doc_id", "start", "stop", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(part, _PIECES.types)], _PIECES.names)
 
     return run
 
 
+def equal_windows(c: np.ndarray, at: np.ndarray, other: np.ndarray, length: int) -> bool:
+    """Whether the window at every place of ``at`` has the characters of that at ``other``. Windows that follow each other are compared as one stretch."""
+    order = np.argsort(at)
+    at, other = at[order], other[order]
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(other) != 1)]))
+    for a, b, n in zip(at[first], other[first], np.diff(np.concatenate([first, [len(at)]]))):
+        if a != b and not np.array_equal(c[a : a + n - 1 + length], c[b : b + n - 1 + length]):
+            return False
+    return True
+
+
 def _compare(length: int):
     """Rows sorted by key: of each, the windows that another document has as well."""
 
     def shared(keys, docs, starts, texts):
         cs = [codes(t) for t in texts]
-        ends = np.cumsum([len(x) for x in cs])
-        h = stretch(grams(np.concatenate(cs), 128), length)
+        ends, c = np.cumsum([len(x) for x in cs]), np.concatenate(cs)
+        h = stretch(grams(c, 128), length)
         at = np.concatenate([np.arange(e - len(x), e - length + 1) for x, e in zip(cs, ends)])
         count = np.array([len(x) - length + 1 for x in cs])
         row = np.repeat(np.arange(len(cs)), count)
@@ -240,7 +273,17 @@ def _compare(length: int):
         h, doc, row, at = h[order], doc[order], row[order], at[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         last = np.concatenate([first[1:], [len(h)]]) - 1
-        many = np.repeat(doc[first] != doc[last], last - first + 1)
+        size = last - first + 1
+        many = np.repeat(doc[first] != doc[last], size)
+        if not many.any():
+            return None
+        if not equal_windows(c, at[many], np.repeat(at[first], size)[many], length):
+            # different windows with one hash: by their characters alone
+            met: dict[tuple, set] = {}
+            same = [(key, c[a : a + length].tobytes()) for key, a in zip(np.array(keys)[row], at)]
+            for x, d in zip(same, doc):
+                met.setdefault(x, set()).add(d)
+            many = np.array([len(met[x]) > 1 for x in same])
         row, at = row[many], at[many]
         if not len(row):
             return None
@@ -289,11 +332,11 @@ def shared_spans(documents: DataFrame, length: int = 200, hot: int = 5_000) -> D
     if length < GRAM + CHOOSE + 12:
         raise ValueError("length is too small for the grams")
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") >= length))
-    texts = rows.select("doc_id", F.xxhash64("text").alias("t"), F.length("text").alias("n"))
+    texts = rows.select("doc_id", F.unhex(F.sha2("text", 256)).alias("t"), F.length("text").alias("n"))
     clash = texts.groupBy("doc_id").agg(F.max("t").alias("t"), F.min("t").alias("u")).where("t <> u").select("doc_id", "t")
     if not clash.isEmpty():
-        rows = rows.join(clash, "doc_id", "left").where(F.col("t").isNull() | (F.xxhash64("text") == F.col("t"))).drop("t")
-        texts = rows.select("doc_id", F.xxhash64("text").alias("t"), F.length("text").alias("n"))
+        rows = rows.join(clash, "doc_id", "left").where(F.col("t").isNull() | (F.unhex(F.sha2("text", 256)) == F.col("t"))).drop("t")
+        texts = rows.select("doc_id", F.unhex(F.sha2("text", 256)).alias("t"), F.length("text").alias("n"))
     classes = durable(texts.groupBy("t", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")))
     copied = classes.where("rep <> other")
     whole = texts.join(copied.select("t", "n"), ["t", "n"]).select("doc_id", F.lit(0).alias("start"), F.col("n").alias("stop")).distinct()
@@ -312,9 +355,15 @@ def shared_spans(documents: DataFrame, length: int = 200, hot: int = 5_000) -> D
     pieces = durable(known.mapInArrow(_pieces(length, hot), PIECES))
     # step 3
     compare = pieces.where("kind = 'compare'").select("key", "doc_id", "start", "text").repartition(width(documents.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_compare(length), "doc_id bigint, start int, stop int")
-    windows = pieces.where("kind = 'window'").select("key", "doc_id", "start", "stop")
-    several = windows.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("key")
-    spans = pieces.where("kind = 'span'").select("doc_id", "start", "stop").unionByName(compare).unionByName(windows.join(several, "key").select("doc_id", "start", "stop"))
+    exact = pieces.where("kind <> 'compare'").select("kind", "digest", "doc_id", "start", "stop")
+    seen = lambda df: df.groupBy("digest").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    counted = durable(seen(exact))
+    failed = exact.where("kind = 'span'").join(counted.where("a = b"), "digest", "left_semi")
+    if not failed.isEmpty():  # merged by a collision
+        again = durable(failed.join(rows, "doc_id").select("doc_id", "start", "stop", "text").mapInArrow(_windows(length), PIECES)).select("kind", "digest", "doc_id", "start", "stop")
+        exact = exact.unionByName(again)
+        counted = durable(seen(exact))
+    spans = exact.join(counted.where("a <> b"), "digest", "left_semi").select("doc_id", "start", "stop").unionByName(compare)
     # other documents' parts of a text with copies don't matter: it is shared as a whole
     alone = spans.join(copied.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
     return merged(alone.unionByName(whole)).select("doc_id", F.col("start").alias("span_start"), F.col("stop").alias("span_end"))

@@ -54,6 +54,35 @@ def test_against_all_windows(spark):
             assert set(got) == want, (seed, hot, sorted(set(got) - want)[:5], sorted(want - set(got))[:5])
 
 
+def test_paths_are_counted_by_their_characters(spark):
+    """Two documents with the same grams and other characters between them share the stretches around alone; the windows of a path that fails are those of its stretch."""
+    r = random.Random(5)
+    text = lambda k: "".join(r.choice("abcdefgh ") for _ in range(k))
+    a, b, c = text(150), text(160), text(400)
+    docs = [(1, a + text(90) + b + c), (2, a + text(90) + b + c), (3, c)]
+    assert {tuple(x) for x in spans.shared_spans(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()} == brute(docs, 200)
+    run = spans._windows(200)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([7], pa.int64()), pa.array([3], pa.int32()), pa.array([240], pa.int32()), pa.array(["x" * 3 + c[:237]])], ["doc_id", "start", "stop", "text"])
+    (out,) = run(iter([batch]))
+    assert out.column("start").to_pylist() == list(range(3, 41)) and out.column("digest")[0].as_py() == spans.digest(c[:200])
+
+
+def test_windows_are_compared_by_their_characters(monkeypatch):
+    """One hash for all windows of one key, and still only equal ones are found."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(spans, "stretch", lambda g, n: np.zeros(len(g[1]) - n + 1, np.uint64))
+    r = random.Random(6)
+    text = lambda k: "".join(r.choice("abcd") for _ in range(k))
+    same = text(230)
+    rows = [(5, 1, 0, same), (5, 2, 10, "x" + same), (5, 3, 0, text(250)), (6, 4, 0, same)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int64(), pa.int64(), pa.int32(), pa.string()])], ["key", "doc_id", "start", "text"])
+    (out,) = spans._compare(200)(iter([batch]))
+    assert sorted(zip(*(out.column(c).to_pylist() for c in ("doc_id", "start", "stop")))) == [(1, 0, 230), (2, 11, 241)]
+
+
 def test_part_and_empty(spark):
     df = spark.createDataFrame(corpus(1), "doc_id bigint, text string")
     rows = {r.doc_id: r for r in spans.shared_part(df).collect()}
