@@ -23,13 +23,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.bitmap import maybe
+from quern.functions.bitmap import maybe, split_join
+from quern.llm.components import components
 from quern.session import durable, spread, width
 
 WORDS = re.compile(r"[A-Za-z0-9_]+").findall
 #: Places of the table of token counts that sets the order: 4 MB, whatever the input.
 ORDER_BITS = 20
 BLOCK = 1 << 14
+#: Bytes of token rows that a task should get.
+TASK_BYTES = 12_000_000
 REMEMBER = 500_000
 A = np.uint64(0x9E3779B97F4A7C15)
 
@@ -107,7 +110,7 @@ def order_table(texts: DataFrame, k: int, least: int) -> np.ndarray:
     return out
 
 
-SETS = "id bigint, n int, least bigint, first array<bigint>, index int"
+SETS = "id bigint, other bigint, n int, least bigint, first array<bigint>, index int"
 
 
 def _sets(k: int, least: int, t: float, order):
@@ -116,24 +119,25 @@ def _sets(k: int, least: int, t: float, order):
         mask = np.uint64((1 << ORDER_BITS) - 1)
         seen = set()
         for b in batches:
-            docs, n, low, first, index = [], [], [], [], []
-            for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if d in seen:  # a copy
+            ids, others, n, low, first, index = [], [], [], [], [], []
+            for i, doc, text in zip(*(b.column(c).to_pylist() for c in ("id", "doc", "text"))):
+                if doc in seen:  # a copy
                     continue
-                seen.add(d)
+                seen.add(doc)
                 s = shingles(text, k, least)
                 if s is None:
                     continue
                 u = np.unique(s)
                 by = np.lexsort((u, counts[(u & mask).astype(np.int64)]))
-                docs.append(d)
+                ids.append(i)
+                others.append(xxhash.xxh64_intdigest(doc) - (1 << 63))
                 n.append(len(u))
                 low.append(int(((u ^ (u >> np.uint64(33))) * A).min().view(np.int64)))
                 first.append(u[by[: len(u) - needed(len(u), t) + 1]].view(np.int64))
                 index.append(len(u) - needed(len(u), 2 * t / (1 + t)) + 1)
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in first])]).astype(np.int32))
             flat = pa.array(np.concatenate(first) if first else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(n, pa.int32()), pa.array(low, pa.int64()), pa.ListArray.from_arrays(offsets, flat), pa.array(index, pa.int32())], ["id", "n", "least", "first", "index"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(others, pa.int64()), pa.array(n, pa.int32()), pa.array(low, pa.int64()), pa.ListArray.from_arrays(offsets, flat), pa.array(index, pa.int32())], ["id", "other", "n", "least", "first", "index"])
 
     return run
 
@@ -151,7 +155,9 @@ def _open(k: int, least: int, t: float):
             for g, query, doc, text in zip(*(b.column(c).to_pylist() for c in ("group", "query", "doc", "text"))):
                 if g != group:
                     group, members, union = g, [], None
-                u = np.unique(shingles(text, k, least))
+                if (u := shingles(text, k, least)) is None:  # too short, but with another's id
+                    continue
+                u = np.unique(u)
                 if not query:
                     members.append((len(u), doc, u))
                     continue
@@ -194,14 +200,16 @@ def near_pairs(texts: DataFrame, threshold: float = 0.7, k: int = 5, least: int
     spark = texts.sparkSession
     texts = spread(texts.select("doc", "text").where(F.col("text").isNotNull()))
     order = spark.sparkContext.broadcast(order_table(texts.select("text"), k, least))
+    # Within, a doc is named by 64 bits of a hash. Docs that have them in common are told by 64 other bits and opened together, so that none is lost.
     texts = texts.withColumn("id", F.xxhash64("doc"))
     # copies are left out within a task; those of other tasks repeat rows, which changes nothing
-    sets = durable(texts.select("id", "text").mapInArrow(_sets(k, least, threshold, order), SETS))
-    narrow = sets.select("id", "n", "least").distinct()
+    sets = durable(texts.select("id", "doc", "text").mapInArrow(_sets(k, least, threshold, order), SETS))
+    narrow = sets.select("id", "other", "n", "least").distinct()
     sizes = narrow.groupBy("least").agg(F.count("*").alias("c")).where(F.col("c") > group_size)
-    grouped = durable(narrow.join(sizes, "least", "left").select("id", "n", F.xxhash64("least", F.coalesce(F.pmod("id", F.ceil(F.col("c") / group_size)), F.lit(0))).alias("group")))
+    grouped = durable(narrow.join(sizes, "least", "left").select("id", "other", "n", F.xxhash64("least", F.coalesce(F.pmod("id", F.ceil(F.col("c") / group_size)), F.lit(0))).alias("group")))
     # rows (token, id): a token past ``index`` is first for queries only
-    rows = sets.select("id", "n", F.col("index"), F.posexplode("first").alias("i", "token")).select("token", "id", "n", "i", (F.col("i") < F.col("index")).alias("indexed")).repartition(width(spark), "token")
+    wide = width(spark, 12 + (sets.agg(F.sum(F.size("first"))).first()[0] or 0) * 24 // TASK_BYTES)
+    rows = sets.select("id", "n", F.col("index"), F.posexplode("first").alias("i", "token")).select("token", "id", "n", "i", (F.col("i") < F.col("index")).alias("indexed")).repartition(wide, "token")
     shared = rows.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max("indexed").alias("x")).where("a <> b AND x").select("token")
     met = durable(rows.join(shared, "token"))
     matrix = met.where("indexed").join(grouped.select("id", "group"), "id").groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("i").alias("j"), F.min("id").alias("only"), F.max("id").alias("last"))
@@ -212,11 +220,28 @@ def near_pairs(texts: DataFrame, threshold: float = 0.7, k: int = 5, least: int
     enough = left >= (F.col("n") + smaller) * (threshold / (1 + threshold)) - 1e-6
     queries = met.select("token", "id", "n", "i")
     candidates = queries.join(matrix, "token").where((F.col("low") <= F.col("n")) & (F.col("high") >= F.col("n") * threshold - 1e-6) & enough & ((F.col("only") != F.col("id")) | (F.col("last") != F.col("id")))).select("id", "group").distinct()
-    candidates = durable(candidates)
+    alike = grouped.groupBy("id").agg(F.min("other").alias("a"), F.max("other").alias("b")).where("a <> b").select("id")
+    candidates = durable(candidates.unionByName(grouped.join(alike, "id", "left_semi").select("id", "group")).distinct())
     opened = candidates.select("group").distinct()
     members = grouped.join(opened, "group").select("group", "id", F.lit(False).alias("query"))
     parts = durable(members.unionByName(candidates.select("group", "id", F.lit(True).alias("query"))))
     ids = parts.select("id").distinct()
-    wanted = maybe(texts, ids, "id").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    wanted = maybe(texts, ids, "id").join(ids, "id", "left_semi").dropDuplicates(["id", "doc"])
     pairs = wanted.join(parts, "id").repartition(width(spark), "group").sortWithinPartitions("group", "query").select("group", "query", "doc", "text").mapInArrow(_open(k, least, threshold), PAIRS)
     return pairs.distinct()
+
+
+def near_groups(files: DataFrame, threshold: float = 0.7, k: int = 5, least: int = 40, group_size: int = 64) -> DataFrame:
+    """repo_name, file_path, hash, group and links of every text file: the groups of contents that are alike, directly or through others.
+
+    ``group`` is the least hash among its contents; a content that is like no
+    other is its own group, and copies share one. ``links``: to how many other
+    contents it is alike, 0 also for contents too short to be compared. Repeated
+    rows come once. Pairs are not expanded to copies.
+    """
+    pairs = durable(near_pairs(contents(files), threshold, k, least, group_size).select(F.col("hash_a").alias("a"), F.col("hash_b").alias("b")))
+    links = pairs.select(F.explode(F.array("a", "b")).alias("hash")).groupBy("hash").agg(F.count("*").alias("links"))
+    known = components(pairs).select(F.col("node").alias("hash"), F.col("component").alias("group")).join(links, "hash")
+    own = files.where((F.col("content_type") == "text") & F.col("content").isNotNull()).select("repo_name", "file_path", F.sha2("content", 256).alias("hash")).distinct()
+    every = own.select("hash").distinct().join(known, "hash", "left").select("hash", F.coalesce("group", "hash").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
+    return split_join(own, every, "hash").select("repo_name", "file_path", "hash", "group", "links")  # a content that very many files hold is split

@@ -38,6 +38,10 @@ def p7_found(spark, d):
     return neardup.near_pairs(neardup.contents(table(spark, d, "files"))).select("hash_a", "hash_b")
 
 
+def p7_groups(spark, d):
+    return neardup.near_groups(table(spark, d, "files"))
+
+
 def p8_ids(spark, d):
     return bpe.encode(table(spark, d, "documents"))
 
@@ -65,16 +69,25 @@ def p10_part(spark, d):
 
 QUERIES = {
     "p2_found": p2_found, "p2_errors": p2_errors, "p2_rates": p2_rates, "p4_found": p4_found, "p4_judged": p4_judged, "p6_found": p6_found, "p6_redacted": p6_redacted,
-    "p7_found": p7_found, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_exact_shares": p9_exact_shares, "p10_found": p10_found, "p10_part": p10_part,
+    "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_exact_shares": p9_exact_shares, "p10_found": p10_found, "p10_part": p10_part,
 }
 
-SQL: dict[str, str] = {
-    "p7_found": """
-WITH texts AS (SELECT DISTINCT sha256(content) AS h, regexp_extract_all(content, '[A-Za-z0-9_]+') AS w FROM files WHERE content_type = 'text' AND content IS NOT NULL),
+_PAIRS = """texts AS (SELECT DISTINCT sha256(content) AS h, regexp_extract_all(content, '[A-Za-z0-9_]+') AS w FROM files WHERE content_type = 'text' AND content IS NOT NULL),
 runs AS (SELECT DISTINCT h, unnest(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM texts WHERE len(w) >= 40),
 sizes AS (SELECT h, count(*) AS n FROM runs GROUP BY h),
-pairs AS (SELECT a.h AS hash_a, b.h AS hash_b, count(*) AS common FROM runs a JOIN runs b ON a.s = b.s AND a.h < b.h GROUP BY 1, 2)
-SELECT hash_a, hash_b FROM pairs JOIN sizes x ON x.h = hash_a JOIN sizes y ON y.h = hash_b WHERE common >= 0.7 * (x.n + y.n - common)
+pairs AS (SELECT a.h AS hash_a, b.h AS hash_b, count(*) AS common FROM runs a JOIN runs b ON a.s = b.s AND a.h < b.h GROUP BY 1, 2),
+alike AS (SELECT hash_a, hash_b FROM pairs JOIN sizes x ON x.h = hash_a JOIN sizes y ON y.h = hash_b WHERE common >= 0.7 * (x.n + y.n - common))"""
+
+SQL: dict[str, str] = {
+    "p7_found": f"WITH {_PAIRS} SELECT hash_a, hash_b FROM alike",
+    "p7_groups": f"""
+WITH RECURSIVE {_PAIRS},
+links AS (SELECT hash_a AS a, hash_b AS b FROM alike UNION ALL SELECT hash_b, hash_a FROM alike),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS hash, least(a, min(b)) AS g FROM reach GROUP BY a),
+counted AS (SELECT a AS hash, count(*) AS n FROM links GROUP BY a),
+own AS (SELECT DISTINCT repo_name, file_path, sha256(content) AS hash FROM files WHERE content_type = 'text' AND content IS NOT NULL)
+SELECT repo_name, file_path, hash, coalesce(g, hash) AS "group", coalesce(n, 0) AS links FROM own LEFT JOIN least USING (hash) LEFT JOIN counted USING (hash)
 """,
     "p10_found": """
 WITH windows AS (SELECT doc_id, unnest(generate_series(1, length(text) - 199)) AS s, text FROM (SELECT DISTINCT doc_id, text FROM documents) WHERE length(text) >= 200),

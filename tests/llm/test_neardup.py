@@ -43,6 +43,35 @@ def test_against_all_pairs(spark):
             assert len(got) == len(set(got)) and set(got) == want and len(want) > 10, (len(got), len(want))
 
 
+def test_groups(spark):
+    c = corpus(4)
+    h = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    df = spark.createDataFrame([(f"r{i % 3}", f"f{i}", x, "text") for i, x in enumerate(c + c[:9])] * 2 + [(None, None, c[0], "text"), ("b", "b", c[0], "binary")], "repo_name string, file_path string, content string, content_type string")
+    pairs, group = brute(c, 0.7, 5, 40), {}
+    for x in {h(t) for t in c if t is not None}:
+        seen, todo = {x}, [x]
+        while todo:
+            y = todo.pop()
+            new = {b if a == y else a for a, b in pairs if y in (a, b)} - seen
+            seen |= new
+            todo += new
+        group[x] = min(seen)
+    rows = neardup.near_groups(df).collect()
+    assert len(rows) == len({(r.repo_name, r.file_path) for r in rows}) == sum(x is not None for x in c + c[:9]) + 1
+    assert all(r.group == group[r.hash] and r.links == sum(r.hash in p for p in pairs) for r in rows)
+
+
+def test_docs_with_one_short_hash_are_not_lost(spark, monkeypatch):
+    """With internal names of one bit every doc collides, and still all pairs are found."""
+    from pyspark.sql import functions as F
+
+    c = corpus(2)[:40]
+    hashed = F.xxhash64
+    monkeypatch.setattr(F, "xxhash64", lambda *x: F.pmod(hashed(*x), F.lit(2)) if x == ("doc",) else hashed(*x))
+    df = spark.createDataFrame([(x, "text") for x in c], "content string, content_type string")
+    assert {(r.hash_a, r.hash_b) for r in neardup.near_pairs(neardup.contents(df)).collect()} == brute(c, 0.7, 5, 40)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "content string, content_type string")
     assert neardup.near_pairs(neardup.contents(df)).count() == 0
