@@ -1,6 +1,7 @@
 """Top N rows of every group, however large a group is.
 
-Hot-cold split: exact counts of the groups decide. Rows of light groups go
+Hot-cold split: exact counts of the groups decide; which groups are heavy is
+told to the rows by a bitmap of one size, however many there are. Rows of light groups go
 through an ordinary window. Rows of heavy groups are range-sorted by (group,
 order), each range keeps its own first N of every group (the range number is
 the salt), and only those survivors meet in one window per group.
@@ -13,12 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.bitmap import marked
 from quern.session import durable, width
 
-#: No more heavy groups than this can exist, whatever the input: a group is
-#: heavy only if it holds over a MOST_HEAVY-th of the rows.
-MOST_HEAVY = 10_000
-
 
 def latest_score(scores: DataFrame) -> DataFrame:
     """One row (repo_name, file_path, normalized_score) of each file: that of its latest analysis.
@@ -37,26 +35,23 @@ def latest_score(scores: DataFrame) -> DataFrame:
     )
 
 
-def top_n(df: DataFrame, group: str, order: Sequence[Column], n: int, heavy_rows: int = 50_000) -> DataFrame:
+def top_n(df: DataFrame, group: str, order: Sequence[Column], n: int, heavy_rows: int = 10_000) -> DataFrame:
     """The first ``n`` rows of every value of ``group`` by ``order``, with their ``rank`` from 1.
 
     ``order`` should be a total order, else rows equal in it come in any
     order. A null group is a group. ``n`` below 1 and an empty table give no
     rows. ``rank`` replaces a column of that name. Groups of more than
-    ``heavy_rows`` rows (and more than a MOST_HEAVY-th of all rows) take the
-    salted path; the result doesn't depend on that.
+    ``heavy_rows`` rows take the salted path; the result doesn't depend on
+    that, so a group that the bitmap takes for heavy by mistake is no fault.
     """
     df = df.drop("rank")
     if n < 1:
         return df.limit(0).withColumn("rank", F.lit(0))
-    counts = durable(df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n")))
-    rows = counts.agg(F.sum("_n")).first()[0] or 0
-    hot = counts.where(F.col("_n") > max(heavy_rows, rows // MOST_HEAVY)).select("_g").withColumn("_hot", F.lit(True))
+    hot = durable(df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n")).where(F.col("_n") > heavy_rows))
     if hot.isEmpty():
         return ranked(df, [group], order, n)
-    # at most MOST_HEAVY rows, by the line above
-    split = df.join(F.broadcast(hot), F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
-    cold = ranked(split.where(F.col("_hot").isNull()), [group], order, n)
+    split = marked(df, hot, group, "_g", name="_hot")
+    cold = ranked(split.where(~F.col("_hot")), [group], order, n)
     ranges = (
         split.where(F.col("_hot"))
         .repartitionByRange(width(df.sparkSession), F.col(group), *order)
@@ -72,7 +67,7 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) ->
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def top_files(scores: DataFrame, n: int = 5, heavy_rows: int = 50_000) -> DataFrame:
+def top_files(scores: DataFrame, n: int = 5, heavy_rows: int = 10_000) -> DataFrame:
     """The ``n`` highest-scoring files of every repository, ties by file_path (code points).
 
     Scores that are null or NaN are left out after the latest analysis was

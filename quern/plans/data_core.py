@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quern.operators import incremental, nested, topn
-from quern.session import table
+from quern.session import own_dir, table
 
 
 def p1_found(spark, d):
@@ -27,7 +29,10 @@ def p3_top(spark, d):
 
 
 def p5_found(spark, d):
-    return incremental.next_crawl(table(spark, d, "search_items"), table(spark, d, "crawled")).select("full_name")
+    """The finished rows of ``crawled`` are published as the crawl's target, and the listings are put against its current version."""
+    target = incremental.Target(spark, f"{own_dir(spark)}/crawl-{uuid.uuid4().hex}")
+    target.publish(incremental.finished(table(spark, d, "crawled")))
+    return incremental.next_crawl(table(spark, d, "search_items"), target).select("full_name")
 
 
 QUERIES = {"p1_found": p1_found, "p1_store": p1_store, "p3_found": p3_found, "p3_top": p3_top, "p5_found": p5_found}

@@ -89,16 +89,13 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 
 def upsert(spark: SparkSession, path: str, rows: DataFrame, key: list[str], version: str) -> None:
-    """Latest row of each key of the table and ``rows``, published as a new version of the table (see incremental.Target)."""
+    """Publishes those of ``rows`` that are later than the table's row of their key, as a new version of the table (see incremental.Target). ``written_at`` says when."""
     from quern.operators.incremental import Target
 
     t = Target(spark, path)
-    old = t.read()
     columns = [c for c in rows.columns if c not in (*key, version)]
-    every = rows if old is None else old.select(*rows.columns).unionByName(rows)
-    latest = labels.latest(every, key, version, columns)
-    name = latest.withColumns({"source_key": F.concat_ws("\x1f", *key), "source_version": F.col(version)})
-    t.publish(name)
+    latest = labels.latest(rows, key, version, columns).withColumns({"source_key": F.to_json(F.struct(*key)), "source_version": F.col(version)})
+    t.publish(t.newer(latest).withColumn("written_at", F.current_timestamp()))
 
 
 class ListingPages(DataSource):

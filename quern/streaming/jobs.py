@@ -49,10 +49,9 @@ def status_table(events: DataFrame, target: str, checkpoint: str) -> StreamingQu
     def batch(df: DataFrame, _: int) -> None:
         t = Target(df.sparkSession, target)
         new = labels.latest(df, ["repo_name"], "last_updated", ["status", "error_message"])
-        old = t.read()
-        every = new if old is None else old.select(*new.columns).unionByName(new)
-        last = labels.latest(every, ["repo_name"], "last_updated", ["status", "error_message"])
-        t.publish(last.withColumns({"source_key": F.col("repo_name"), "source_version": F.col("last_updated")}))
+        rows = t.newer(new.withColumns({"source_key": F.col("repo_name"), "source_version": F.col("last_updated")}))
+        if not rows.isEmpty():
+            t.publish(rows)
 
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

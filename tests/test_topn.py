@@ -24,6 +24,9 @@ def test_hot_equals_cold(spark):
     a = {tuple(r) for r in topn.top_n(df, "g", order, 20, 1000).collect()}
     b = {tuple(r) for r in topn.top_n(df, "g", order, 20, 10**9).collect()}
     assert a == b and len(a) == 51 * 20
+    nulls = df.withColumn("g", F.when(F.col("g") != "hot", F.col("g")))
+    a, b = ({tuple(r) for r in topn.top_n(nulls, "g", order, 20, heavy).collect()} for heavy in (1000, 10**9))
+    assert a == b and len(a) == 51 * 20
 
 
 def test_plan_limits_before_shuffle(spark):
