@@ -34,6 +34,30 @@ def test_squeezed_data_and_a_long_line():
     assert reasons("a.css", ".a{margin:1px;color:#fff}" * 30) == ["squeezed"]
 
 
+def test_small_files():
+    """No size below which a file can't be squeezed or data; constants and docstrings are neither."""
+    assert reasons("a.js", "a=1;b=f(a);c(b);d()") == ["squeezed"] and reasons("a.js", "run(a);") == [] and reasons("a.js", "const total = 1;\nshow(total);\nend();\n") == []
+    assert reasons("a.py", "x = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14]\n") == ["data"] and reasons("a.py", "NAME = 'a name that is not short at all'\n") == []
+    assert reasons("a.py", '# head\n"""' + "What it is for. " * 40 + '"""\n') == [] and reasons("a.py", 'x = """' + "4711 " * 80 + '"""\n') == ["data"]
+    assert reasons("a.css", "") == [] and reasons("a.js", "\n") == []
+
+
+def test_the_models_decide(spark):
+    """Two files of one layout: the one whose names are mangled is squeezed, the other isn't; a corpus of squeezed files is no excuse."""
+    plain = "\n".join(f"function load_report_{i}(path_name) {{\n  return open_file(path_name);\n}}" for i in range(30))
+    flat = lambda a, b: "".join(f"function {a}{i}({b}) {{return {a}_file({b}) }}" for i in range(30))
+    models = hw.Models([])
+    for batch in hw._train(iter([__import__("pyarrow").RecordBatch.from_pydict({"suffix": [".js"] * 40, "content": [plain] * 40})])):
+        models = hw.Models(list(zip(*(batch.column(c).to_pylist() for c in ("language", "ids", "counts")))))
+    judged = {k: hw.judge("a.js", ".js", t, models, None, 0.7) for k, t in {"mangled": flat("zq$", "wx"), "plain": plain}.items()}
+    assert "mangled" in judged["mangled"][1] and judged["plain"][:2] == ([], [])
+    assert judged["mangled"][2] > judged["plain"][2] + 1
+    squeezed = "".join(f"function f{i}(a,b){{return a.x{i}({i})+b[{i}]}}" for i in range(20))
+    rows = [("r", f"a{i}.js", squeezed.replace("x", f"v{i}"), "text") for i in range(6)]
+    files = spark.createDataFrame(rows, "repo_name string, file_path string, content string, content_type string")
+    assert hw.judged(files.limit(1)).first().reasons == ["squeezed"]
+
+
 def test_libraries(spark):
     text = "\n".join(f"line number {i} of the library" for i in range(40))
     lib = spark.createDataFrame([("l", "1.0", "f.js", text), ("l", "1.1", "f.js", text + "\nmore of it"), (None, None, None, None)], "lib_name string, version string, file_name string, content string")
@@ -43,6 +67,8 @@ def test_libraries(spark):
     for most in (10**6, 1):
         got = {(x.repo_name, x.file_path, tuple(x.reasons)) for x in hw.judged(files, lib, most_library=most).collect()}
         assert got == {("r", "a.js", ("library",)), ("r", "b.js", ()), ("r", "d.js", ()), (None, None, ()), ("r", "e", ("library",))}
+        alone = files.selectExpr("nullif(repo_name, 'r') as repo_name", "nullif(file_path, 'e') as file_path", "content", "content_type").where("file_path is null")
+        assert sorted(len(x.reasons) for x in hw.judged(alone, lib, most_library=most).collect()) == [0, 1]
     assert hw.judged(files.limit(0), lib).count() == 0 and hw.judged(files, lib.limit(0)).count() == 6
 
 
