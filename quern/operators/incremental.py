@@ -108,8 +108,8 @@ class Target:
         every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
         if len(folders) == 1:
             return every.drop("__at")
-        last = every.groupBy("source_key").agg(F.max("__at").alias("__last"))
-        return every.join(last, every["source_key"].eqNullSafe(last["source_key"]) & (F.col("__at") == F.col("__last"))).select(*[every[c] for c in every.columns if c != "__at"])
+        last = every.groupBy(F.col("source_key").alias("__key")).agg(F.max("__at").alias("__last"))
+        return every.join(last, F.col("source_key").eqNullSafe(F.col("__key")) & (F.col("__at") == F.col("__last"))).drop("__at", "__key", "__last")
 
     def pending(self, source: DataFrame, key: str, version: str) -> DataFrame:
         """Rows of ``source`` (one for each key: its greatest version) that the target lacks or has in an older version."""
