@@ -34,6 +34,10 @@ def p6_redacted(spark, d):
     return secrets.redacted(table(spark, d, "files"))
 
 
+def p6_steps(spark, d):
+    return secrets.steps(table(spark, d, "files"))
+
+
 def p7_found(spark, d):
     return neardup.near_pairs(neardup.contents(table(spark, d, "files"))).select("hash_a", "hash_b")
 
@@ -68,7 +72,7 @@ def p10_part(spark, d):
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_errors": p2_errors, "p2_rates": p2_rates, "p4_found": p4_found, "p4_judged": p4_judged, "p6_found": p6_found, "p6_redacted": p6_redacted,
+    "p2_found": p2_found, "p2_errors": p2_errors, "p2_rates": p2_rates, "p4_found": p4_found, "p4_judged": p4_judged, "p6_found": p6_found, "p6_redacted": p6_redacted, "p6_steps": p6_steps,
     "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_exact_shares": p9_exact_shares, "p10_found": p10_found, "p10_part": p10_part,
 }
 
