@@ -95,7 +95,8 @@ REFERENCE = re.compile(r"(?i)^(?:os\.|process\.|system\.|env\b|getenv|config[.\[
 #: Names of passwords, whose values may be words.
 PASSWORDS = frozenset("password passwd pwd pw pass passphrase passcode".split())
 #: Quoted values after names of credentials that QUOTED leaves out: short ones, words without digit or sign, and such with blanks.
-WORDED = re.compile(r"""(?i)(?:pass(?:word|wd|phrase|code)?|pwd?|secret|token|jwt|creds?|credentials?|key|id)["'`\]]{0,2}[ \t]*+(?::[ \t]*+[A-Za-z_][\w.<>\[\]|&]{0,30}[ \t]*+=|=>|:=|=|:)[ \t]*+\(?[urbfURBF@]{0,2}(["'`])((?:[^"'`\\\n]|\\.){4,}+)\1""")
+WORDED = re.compile(r"""[=:>][ \t]*+\(?[urbfURBF@]{0,2}(["'`])((?:[^"'`\\\n]|\\.){4,}+)\1""")
+BEFORE = re.compile(r"""(?i)(?:pass(?:word|wd|phrase|code)?|pwd?|secret|token|jwt|creds?|credentials?|key|id)["'`\]]{0,2}[ \t]*+(?::[ \t]*+[A-Za-z_][\w.<>\[\]|&]{0,30}[ \t]*+)?[:=]?\Z""")
 UUID = re.compile(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
 INTEGRITY = re.compile(r"^(?:sha(?:1|256|384|512)|md5)[-:=]")
 
@@ -297,6 +298,8 @@ def literals_of(text: str, config: bool) -> list[tuple[int, int, str, str]]:
         out.append((j.back(a), j.back(b - 1) + 1, v, s))
     taken = {x[0] for x in out}
     for m in WORDED.finditer(t):
+        if not BEFORE.search(t, max(0, m.start() - 80), m.start()):
+            continue
         a, b = m.span(2)
         at = j.back(a)
         if at in taken or (not spaced(m[2]) and len(m[2]) >= 6 and NUMBERED.match(m[2])) or "PRIVATE KEY" in m[2]:
