@@ -22,7 +22,7 @@ def other(token: str) -> str:
     if token[-1] in "\"'":
         if len(token) == 1:
             return BAD
-        return "F" if "{" in token and FSTRING.match(token) else "s"
+        return "F" if ("{" in token or "}" in token) and FSTRING.match(token) else "s"
     if c == "\\":
         return "" if len(token) > 1 else BAD
     if c.isidentifier():
@@ -799,42 +799,69 @@ class Python(Climbing):
                 return
 
 
+PAIRED = {")": "(", "]": "[", "}": "{"}
+
+
 def fstring(token: str) -> bool:
-    """Whether the replacement fields of an f-string hold expressions."""
-    m = re.match(r"""[a-zA-Z]+("\"\"|'''|"|')""", token)
-    body, at = token[m.end() : -len(m[1])], 0
-    while (at := body.find("{", at)) >= 0:
-        if body.startswith("{{", at):
+    """Whether the braces of an f-string pair up and its replacement fields hold expressions."""
+    m = re.match(r"""([a-zA-Z]+)("\"\"|'''|"|')""", token)
+    return literal(token[m.end() : -len(m[2])], 0, "r" not in m[1].lower(), False) >= 0
+
+
+def literal(body: str, at: int, escapes: bool, spec: bool) -> int:
+    """Where the literal part that begins at ``at`` ends: at the end, or a format specification (``spec``) before its brace. -1 if it is wrong."""
+    while at < len(body):
+        c = body[at]
+        if c == "\\" and escapes:
             at += 2
-            continue
-        depth, k = 0, at
-        while k < len(body):
-            if body[k] in "([{":
-                depth += 1
-            elif body[k] in ")]}":
-                depth -= 1
-                if depth == 0:
-                    break
-            elif depth == 1 and ((body[k] == "!" and body[k + 1 : k + 2] != "=") or body[k] == ":"):
-                break
-            k += 1
-        if k >= len(body):
-            return False
-        code = body[at + 1 : k].rstrip().removesuffix("=") if not body[at + 1 : k].rstrip().endswith("==") else body[at + 1 : k]
-        if code.strip():
-            q = Python("(" + code + "\n)")
-            if q.parse():
-                return False
+            if body[at - 1 : at + 1] == "N{" and (end := body.find("}", at)) >= 0:
+                at = end + 1
+        elif c == "}" and spec:
+            return at
+        elif c in "{}" and body[at + 1 : at + 2] == c and not spec:
+            at += 2
+        elif c == "{":
+            if (at := field(body, at + 1, escapes)) < 0:
+                return -1
+        elif c == "}":
+            return -1
         else:
-            return False
-        end = body.find("}", k)
-        if end < 0:
-            return False
-        spec = body.find("{", k + 1)
-        at = end + 1 if not (0 <= spec < end) or body[k] == "}" else spec
-        if body[k] == "}":
-            at = k + 1
-    return True
+            at += 1
+    return -1 if spec else at
+
+
+def field(body: str, at: int, escapes: bool) -> int:
+    """Where the replacement field whose content begins at ``at`` ends, after its brace; -1 if it is wrong."""
+    k, opened = at, []
+    while k < len(body):
+        c = body[k]
+        if c in "\"'":
+            q = c * 3 if body.startswith(c * 3, k) else c
+            if (end := body.find(q, k + len(q))) < 0:
+                return -1
+            k = end + len(q)
+            continue
+        if not opened and (c in "}:" or (c == "!" and body[k + 1 : k + 2] != "=")):
+            break
+        if c in "([{":
+            opened.append(c)
+        elif c in ")]}" and (not opened or opened.pop() != PAIRED[c]):
+            return -1
+        k += 1
+    else:
+        return -1
+    code = body[at:k].rstrip()
+    if code.endswith("=") and not re.search(r"[=!<>]=$", code):
+        code = code[:-1]
+    if not code.strip() or Python("(" + code + "\n)").parse():
+        return -1
+    if body[k] == "!":
+        if not (m := re.compile(r"![ \t]*[rsa]\b\s*").match(body, k)):
+            return -1
+        k = m.end()
+    if body[k : k + 1] == ":":
+        k = literal(body, k + 1, escapes, True)
+    return k + 1 if k >= 0 and body[k : k + 1] == "}" else -1
 
 
 _t = Python.t

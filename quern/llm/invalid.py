@@ -3,19 +3,14 @@
 The language is that which the path's suffix claims. A file's statements are
 parsed by recursive descent, its expressions by precedence climbing; after an
 error the parser skips to where the next statement can begin (panic mode) and
-goes on, so all errors are stored, the first being the cause. Python files
-found wrong are put before the language's own parser as well, which knows
-every corner of it, and JSON texts before json. Texts that nest deeper than the usual stack
-are parsed again in a thread with a larger one.
+goes on, so all errors are stored, the first being the cause. Texts that nest
+deeper than the usual stack are parsed again in a thread with a larger one.
 """
 
 from __future__ import annotations
 
-import ast
-import json
 import sys
 import threading
-import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,25 +34,6 @@ DEPTH = 6_000
 FRAMES, STACK = 60, 512_000_000
 
 
-def confirmed(parser: type, text: str) -> bool:
-    """An exact second look at a text found wrong."""
-    if parser is Python:
-        try:
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(text)
-            return False
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            return True
-    if parser is Json:
-        try:
-            json.loads(text, parse_constant=float.fromhex)
-            return False
-        except (ValueError, RecursionError):
-            return True
-    return True
-
-
 def deeper(parser: type, text: str):
     """The parser and its errors with room for all nesting that a text of this length can hold; None if memory ends."""
     out = []
@@ -88,9 +64,7 @@ def errors_of(text: str, suffix_: str) -> list[tuple[int, str]]:
     errors = p.parse()
     if any(wanted == "less nesting" for _, wanted in errors):
         p, errors = deeper(parser, text) or (p, errors)
-    if not errors or not confirmed(parser, text):
-        return []
-    return p.lines(errors)
+    return p.lines(errors) if errors else []
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
