@@ -8,6 +8,7 @@ shuffled before the rows of a repository are added up.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -146,14 +147,36 @@ def pair_boost(found: Column) -> Column:
     return sum((F.when(F.array_contains(found, a) & F.array_contains(found, b), F.lit(x)).otherwise(0.0) for a, b, x in dims.PAIRS), F.lit(0.0))
 
 
-def rule_matches(found: Column, r: dict) -> Column:
-    c = F.lit(True)
+def condition(tree: dict, found: Column, patterns: Column) -> Column:
+    """A nested condition: {type: keyword or pattern, value} or {type: and or or, conditions}; any other type is false."""
+    kind = tree.get("type")
+    if kind in ("keyword", "pattern"):
+        return F.array_contains(found if kind == "keyword" else patterns, F.lit(tree["value"]))
+    parts = [condition(t, found, patterns) for t in tree.get("conditions", [])]
+    if kind == "and":
+        return reduce(lambda a, b: a & b, parts, F.lit(True))
+    if kind == "or":
+        return reduce(lambda a, b: a | b, parts, F.lit(False))
+    return F.lit(False)
+
+
+def rule_matches(found: Column, r: dict, patterns: Column | None = None, ext: Column | None = None, size: Column | None = None) -> Column:
+    """Whether all groups of a rule hold; a rule without any matches nothing. ``patterns`` (list of conditions), ``file_extensions`` and ``max_file_size`` of a rule are optional."""
+    c, more = F.lit(True), r.get("patterns") or []
     if r["all_of"]:
         c = c & (F.size(F.array_except(strings(r["all_of"]), found)) == 0)
     if r["n_of"]:
         c = c & (F.size(F.array_intersect(strings(r["n_of"]), found)) >= r["n"])
     if r["any_of"]:
         c = c & F.arrays_overlap(found, strings(r["any_of"]))
+    for tree in more:
+        c = c & condition(tree, found, strings([]) if patterns is None else patterns)
+    if not (r["all_of"] or r["n_of"] or r["any_of"] or more):
+        return F.lit(False)
+    if r.get("file_extensions"):
+        c = c & (F.lit(False) if ext is None else ext.isin(r["file_extensions"]))
+    if r.get("max_file_size") and size is not None:
+        c = c & (F.coalesce(size, F.lit(0)) <= r["max_file_size"])
     return F.coalesce(c, F.lit(False))
 
 

@@ -97,8 +97,9 @@ def language_votes(files: DataFrame) -> DataFrame:
     return by.select("repo_name", F.when(most > 0, winner).otherwise("unknown").alias("language"), most.alias("votes"))
 
 
-def entry_points(files: DataFrame) -> DataFrame:
-    """repo_name, file_path, kind of the files in which the repository's programs begin, by its voted language."""
+def entry_points(files: DataFrame, chars: int = 0) -> DataFrame:
+    """repo_name, file_path, kind of the files in which the repository's programs begin, by its voted language; with ``chars`` also the first characters of the file that says so (snippet)."""
+    more = [F.substring("content", 1, chars).alias("snippet")] if chars else []
     langs = language_votes(files).select("repo_name", "language")
     f = files.where((F.col("content_type") == "text") & F.col("content").isNotNull()).select(*KEYS, "content").distinct().join(langs, "repo_name")
     p, c, lang = F.lower("file_path"), F.col("content"), F.col("language")
@@ -114,9 +115,9 @@ def entry_points(files: DataFrame) -> DataFrame:
         F.when((lang == "ruby") & p.endswith(".rb") & has("__FILE__ == $0", "if __FILE__ == $PROGRAM_NAME"), "main"),
         F.when((lang == "rust") & p.endswith(".rs") & has("fn main()"), "main"),
     ]
-    rows = f.select(*KEYS, F.explode(F.array_compact(F.array(*kinds))).alias("kind"))
-    main = f.where(js & (F.col("file_path") == "package.json")).select("repo_name", F.coalesce(F.get_json_object("content", "$.main"), F.lit("index.js")).alias("file_path"), F.lit("main").alias("kind"))
+    rows = f.select(*KEYS, F.explode(F.array_compact(F.array(*kinds))).alias("kind"), *more)
+    main = f.where(js & (F.col("file_path") == "package.json")).select("repo_name", F.coalesce(F.get_json_object("content", "$.main"), F.lit("index.js")).alias("file_path"), F.lit("main").alias("kind"), *more)
     from pyspark.sql import Window
 
-    php = f.where((lang == "php") & p.endswith(".php")).select(*KEYS).withColumn("n", F.row_number().over(Window.partitionBy("repo_name").orderBy("file_path"))).where("n <= 5").select(*KEYS, F.lit("script").alias("kind"))
+    php = f.where((lang == "php") & p.endswith(".php")).select(*KEYS, *more).withColumn("n", F.row_number().over(Window.partitionBy("repo_name").orderBy("file_path"))).where("n <= 5").select(*KEYS, F.lit("script").alias("kind"), *(["snippet"] if chars else []))
     return rows.unionByName(main).unionByName(php)

@@ -67,6 +67,12 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) ->
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def first_values(df: DataFrame, group: str, value: str, n: int, name: str = "first") -> DataFrame:
+    """``group`` and an array of its least ``n`` different values, sorted; groups of nulls alone are left out. No group is collected beyond its first ``n``."""
+    one = df.select(group, value).where(F.col(value).isNotNull()).distinct()
+    return ranked(one, [group], [F.col(value).asc()], n).groupBy(group).agg(F.array_sort(F.collect_list(value)).alias(name))
+
+
 def top_files(scores: DataFrame, n: int = 5, heavy_rows: int = 10_000) -> DataFrame:
     """The ``n`` highest-scoring files of every repository, ties by file_path (code points).
 

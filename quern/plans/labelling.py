@@ -10,6 +10,7 @@ from quern.functions import text
 from quern.operators import keywords as kw
 from quern.operators import labels as lb
 from quern.operators import languages as lg
+from quern.operators import topn
 from quern.plans import scoring
 from quern.plans import sql as S
 from quern.session import table
@@ -168,14 +169,14 @@ def report_repo_detail(spark, d):
     return l.join(top, "repo_name", "left_semi").select("repo_name", F.substring("file_path", 1, 50).alias("file"), "vt_malicious_count", "vt_suspicious_count", F.col("vt_malicious_count").cast("string").alias("shown")).orderBy(F.desc("vt_malicious_count"), "file")
 
 
-def report_top_files(spark, d):
-    """The 20 files with the highest total score of their latest analysis."""
-    return scores(spark, d).where(F.col("total_score").isNotNull()).orderBy(F.desc("total_score"), "repo_name", "file_path").limit(20).select(*KEYS, "total_score", "severity_level")
+def report_top_files(spark, d, n: int = 20):
+    """The ``n`` files with the highest total score of their latest analysis."""
+    return scores(spark, d).where(F.col("total_score").isNotNull()).orderBy(F.desc("total_score"), "repo_name", "file_path").limit(n).select(*KEYS, "total_score", "severity_level")
 
 
-def report_top_detected(spark, d):
-    """The 20 files that most engines call malicious."""
-    return labels(spark, d).where("is_malicious").orderBy(F.desc("vt_malicious_count"), "repo_name", "file_path").limit(20).select(*KEYS, "vt_malicious_count", "total_engines")
+def report_top_detected(spark, d, n: int = 20):
+    """The ``n`` files that most engines call malicious."""
+    return labels(spark, d).where("is_malicious").orderBy(F.desc("vt_malicious_count"), "repo_name", "file_path").limit(n).select(*KEYS, "vt_malicious_count", "total_engines")
 
 
 def report_status(spark, d):
@@ -194,14 +195,57 @@ def report_export(spark, d):
 
 
 def report_prompt(spark, d):
-    """A repository's totals and its first ten malicious files with three detections each, as text."""
-    t = lb.latest(table(spark, d, "file_labels"), KEYS, "scan_date", ["is_malicious", "detection_names"]).where("is_malicious")
-    line = F.concat(F.col("file_path"), F.lit(": "), F.array_join(F.slice(F.array_sort(F.coalesce("detection_names", F.array().cast("array<string>"))), 1, 3), ", "))
-    g = t.groupBy("repo_name").agg(F.count("*").alias("malicious_files"), F.slice(F.array_sort(F.collect_set(line)), 1, 10).alias("l"))
-    return g.select("repo_name", "malicious_files", F.array_join("l", "\n").alias("lines"))
+    """What reviewers are told of a repository: files scanned, malicious files, and of the first ten (by path) their detections, three named."""
+    t = lb.latest(table(spark, d, "file_labels"), KEYS, "scan_date", ["is_malicious", "vt_malicious_count", "detection_names"])
+    bad = t.where("is_malicious").withColumn("n", F.coalesce("vt_malicious_count", F.lit(0)))
+    names = F.array_join(F.slice(F.array_sort(F.coalesce("detection_names", F.array().cast("array<string>"))), 1, 3), ", ")
+    line = F.concat(F.lit("- "), F.col("file_path"), F.lit(": "), F.col("n"), F.lit(" detections\n"), F.when(names != "", F.concat(F.lit("  Detections: "), names, F.lit("\n"))).otherwise(""))
+    ten = topn.ranked(bad, ["repo_name"], [F.col("file_path").asc()], 10).groupBy("repo_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "").alias("lines"))
+    g = t.groupBy("repo_name").agg(F.count("*").alias("files"), F.count_if("is_malicious").alias("malicious_files")).join(ten, "repo_name", "left")
+    text_ = F.concat(F.lit("Repository Analysis Data:\nTotal files scanned: "), F.col("files"), F.lit("\nMalicious files: "), F.col("malicious_files"), F.lit("\n\n"), F.when(F.col("malicious_files") > 0, F.concat(F.lit("Malicious file details:\n"), F.coalesce("lines", F.lit("")))).otherwise(""))
+    return g.select("repo_name", "malicious_files", text_.alias("prompt"))
 
 
-QUERIES = {f.__name__: f for f in (report_parse, file_verdict, hash_lookup, file_selection, repo_label, skip_savings, llm_reply_parse, consensus, behavioral_override, behavioral_ladder, status_latest, resume_anti_join, prescreen_short_circuit, report_summary, report_all_repos, report_malicious, report_repo_detail, report_top_files, report_top_detected, report_status, report_failures, report_export, report_prompt)}
+def report_progress(spark, d):
+    """How many repositories there are, have succeeded, have failed and are done."""
+    good = F.count_if(F.col("status").isin("completed", "completed_keyword_filter"))
+    return statuses(spark, d).agg(F.count("*").alias("total"), good.alias("successful"), F.count_if(F.col("status") == "failed").alias("failed")).withColumn("completed", F.col("successful") + F.col("failed"))
+
+
+def label_batch(spark, d, most: int = 100):
+    """The first ``most`` repositories by name: what one labelling run takes."""
+    return table(spark, d, "files").select("repo_name").distinct().orderBy("repo_name").limit(most)
+
+
+#: The repository that the look-ups of one repository are shown with.
+ONE = "hearthmoss_monorepo"
+
+
+def lookup_file_scores(spark, d, repo: str = ONE):
+    """The latest score of each file of one repository, highest first; null lists are empty."""
+    s = lb.latest(table(spark, d, "file_malicious_scores").where(F.col("repo_name") == repo), KEYS, "analysis_date", ["total_score", "normalized_score", "severity_level", "malicious_keywords", "critical_keywords", "is_malicious"])
+    lists = lambda c: F.coalesce(F.array_join(c, ","), F.lit("")).alias(c)
+    return s.select("file_path", "total_score", "normalized_score", "severity_level", lists("malicious_keywords"), lists("critical_keywords"), F.coalesce("is_malicious", F.lit(False)).alias("is_malicious")).orderBy(F.desc("total_score"), "file_path")
+
+
+def lookup_file_labels(spark, d, repo: str = ONE):
+    """The latest label of each file of one repository."""
+    l = lb.latest(table(spark, d, "file_labels").where(F.col("repo_name") == repo), KEYS, "scan_date", ["file_hash", "is_malicious", "vt_malicious_count", "vt_suspicious_count", "detection_names"])
+    return l.select("file_path", "file_hash", "is_malicious", "vt_malicious_count", "vt_suspicious_count", F.coalesce(F.array_join("detection_names", ","), F.lit("")).alias("detection_names"))
+
+
+def lookup_analysis(spark, d):
+    """Of every repository whether it is analysed, what its analysis says (nulls without one), whether it is suspicious and whether it is labelled."""
+    r = scoring.kw.repo_scores(scoring.features(spark, d)).select("repo_name", F.lit(True).alias("is_analyzed"), F.round("combined_score", 4).alias("combined_score"), "is_suspicious", "pattern_count")
+    k = scoring.repo_keywords(spark, d).select("repo_name", F.col("n").alias("malicious_keywords_count"), F.col("keywords").alias("malicious_keywords"))
+    labelled = table(spark, d, "file_labels").select("repo_name").distinct().withColumn("is_labeled", F.lit(True))
+    every = table(spark, d, "files").select("repo_name").distinct().join(r, "repo_name", "left").join(k, "repo_name", "left").join(labelled, "repo_name", "left")
+    no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    some = F.col("combined_score").isNotNull()
+    return every.select("repo_name", no("is_analyzed"), "combined_score", no("is_suspicious"), "pattern_count", F.when(some, F.coalesce("malicious_keywords_count", F.lit(0))).alias("malicious_keywords_count"), F.when(some, F.coalesce("malicious_keywords", F.lit(""))).alias("malicious_keywords"), no("is_labeled"))
+
+
+QUERIES = {f.__name__: f for f in (report_parse, file_verdict, hash_lookup, file_selection, repo_label, skip_savings, llm_reply_parse, consensus, behavioral_override, behavioral_ladder, status_latest, resume_anti_join, prescreen_short_circuit, report_summary, report_all_repos, report_malicious, report_repo_detail, report_top_files, report_top_detected, report_status, report_failures, report_export, report_prompt, report_progress, label_batch, lookup_file_scores, lookup_file_labels, lookup_analysis)}
 
 _LABELS = "labels AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_name, file_path ORDER BY scan_date DESC NULLS LAST, file_hash DESC NULLS LAST, is_malicious DESC NULLS LAST, vt_malicious_count DESC NULLS LAST, vt_suspicious_count DESC NULLS LAST, vt_harmless_count DESC NULLS LAST, vt_undetected_count DESC NULLS LAST, total_engines DESC NULLS LAST) AS v FROM file_labels) WHERE v = 1)"
 _REPORTS = """reports AS (SELECT lower(file_hash) AS file_hash, max('{"data": {"attributes": {"stats": {"malicious": ' || coalesce(vt_malicious_count, 0) || ', "suspicious": ' || coalesce(vt_suspicious_count, 0) || ', "undetected": ' || coalesce(vt_undetected_count, 0) || '}, "results": {' ||
@@ -251,5 +295,14 @@ SELECT file_hash, malicious, suspicious, 0 AS harmless, undetected, malicious +
     "report_status": f"WITH {_STATUS} SELECT status, count(*) AS repos FROM statuses GROUP BY 1",
     "report_failures": f"WITH {_STATUS} SELECT repo_name, error_message[1:80] AS error FROM statuses WHERE status = 'failed' AND error_message IS NOT NULL ORDER BY repo_name LIMIT 10",
     "report_export": f"WITH {_REPO} SELECT repo_name AS \"Repository\", total_files AS \"Total Files\", malicious_files AS \"Malicious\", suspicious_files AS \"Suspicious\", clean_files AS \"Clean\", file_level_score AS \"Score\", file_level_score >= 5 AS \"Is Malicious\", CASE WHEN file_level_score >= 5 THEN 'file_level' ELSE '' END AS \"Reason\" FROM repo",
-    "report_prompt": "WITH t AS (SELECT * FROM (SELECT repo_name, file_path, is_malicious, detection_names, row_number() OVER (PARTITION BY repo_name, file_path ORDER BY scan_date DESC NULLS LAST, is_malicious DESC NULLS LAST, detection_names DESC NULLS LAST) AS v FROM file_labels) WHERE v = 1 AND is_malicious) SELECT repo_name, count(*) AS malicious_files, array_to_string(list_sort(list(DISTINCT file_path || ': ' || coalesce(array_to_string(list_sort(detection_names)[1:3], ', '), '')))[1:10], chr(10)) AS lines FROM t GROUP BY 1",
+    "report_prompt": """WITH t AS (SELECT * FROM (SELECT repo_name, file_path, is_malicious, coalesce(vt_malicious_count, 0) AS n, list_sort(coalesce(detection_names, []))[1:3] AS names, row_number() OVER (PARTITION BY repo_name, file_path ORDER BY scan_date DESC NULLS LAST, is_malicious DESC NULLS LAST, vt_malicious_count DESC NULLS LAST, detection_names DESC NULLS LAST) AS v FROM file_labels) WHERE v = 1),
+b AS (SELECT *, row_number() OVER (PARTITION BY repo_name ORDER BY file_path) AS k FROM t WHERE is_malicious),
+l AS (SELECT repo_name, string_agg('- ' || file_path || ': ' || n || ' detections' || chr(10) || CASE WHEN array_to_string(names, ', ') <> '' THEN '  Detections: ' || array_to_string(names, ', ') || chr(10) ELSE '' END, '' ORDER BY k) AS lines FROM b WHERE k <= 10 GROUP BY 1),
+g AS (SELECT repo_name, count(*) AS files, count(*) FILTER (is_malicious) AS m FROM t GROUP BY 1)
+SELECT repo_name, m AS malicious_files, 'Repository Analysis Data:' || chr(10) || 'Total files scanned: ' || files || chr(10) || 'Malicious files: ' || m || chr(10) || chr(10) || CASE WHEN m > 0 THEN 'Malicious file details:' || chr(10) || coalesce(lines, '') ELSE '' END AS prompt FROM g LEFT JOIN l USING (repo_name)""",
+    "report_progress": f"WITH {_STATUS} SELECT count(*) AS total, count(*) FILTER (status IN ('completed', 'completed_keyword_filter')) AS successful, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status IN ('completed', 'completed_keyword_filter', 'failed')) AS completed FROM statuses",
+    "label_batch": "SELECT DISTINCT repo_name FROM files ORDER BY repo_name LIMIT 100",
+    "lookup_file_scores": f"WITH l AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY analysis_date DESC NULLS LAST, total_score DESC NULLS LAST, normalized_score DESC NULLS LAST, severity_level DESC NULLS LAST, malicious_keywords DESC NULLS LAST, critical_keywords DESC NULLS LAST, is_malicious DESC NULLS LAST) AS v FROM file_malicious_scores WHERE repo_name = '{ONE}') SELECT file_path, total_score, normalized_score, severity_level, coalesce(array_to_string(malicious_keywords, ','), '') AS malicious_keywords, coalesce(array_to_string(critical_keywords, ','), '') AS critical_keywords, coalesce(is_malicious, false) AS is_malicious FROM l WHERE v = 1",
+    "lookup_file_labels": f"WITH l AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY scan_date DESC NULLS LAST, file_hash DESC NULLS LAST, is_malicious DESC NULLS LAST, vt_malicious_count DESC NULLS LAST, vt_suspicious_count DESC NULLS LAST, detection_names DESC NULLS LAST) AS v FROM file_labels WHERE repo_name = '{ONE}') SELECT file_path, file_hash, is_malicious, vt_malicious_count, vt_suspicious_count, coalesce(array_to_string(detection_names, ','), '') AS detection_names FROM l WHERE v = 1",
+    "lookup_analysis": f"WITH {scoring._REPO}, t AS (SELECT DISTINCT repo_name, token FROM found), k AS (SELECT repo_name, count(*) AS n, array_to_string(list_sort(list(token))[1:50], chr(10)) AS keywords FROM t GROUP BY repo_name), every AS (SELECT DISTINCT repo_name FROM files) SELECT repo_name, weighted_score IS NOT NULL AS is_analyzed, CASE WHEN weighted_score IS NOT NULL THEN round(least(weighted_score / 200, 1.0), 4) END AS combined_score, coalesce(is_suspicious, false) AS is_suspicious, pattern_count::BIGINT AS pattern_count, CASE WHEN weighted_score IS NOT NULL THEN coalesce(n, 0) END AS malicious_keywords_count, CASE WHEN weighted_score IS NOT NULL THEN coalesce(keywords, '') END AS malicious_keywords, repo_name IN (SELECT repo_name FROM file_labels WHERE repo_name IS NOT NULL) AS is_labeled FROM every LEFT JOIN verdict USING (repo_name) LEFT JOIN k USING (repo_name)",
 }

@@ -9,7 +9,7 @@ from quern import dims
 from quern.functions import text
 from quern.operators import incremental
 from quern.operators import languages as lg
-from quern.operators import nested
+from quern.operators import nested, topn
 from quern.plans import sql as S
 from quern.session import table
 
@@ -71,6 +71,18 @@ def language_filter(spark, d):
     return r.select("repo_name", "language", kept(dims.SUPPORTED_LANGUAGES).alias("supported"), kept(dims.CRAWL_LANGUAGES).alias("crawled"))
 
 
+def language_counters(spark, d):
+    """How many repositories each of the two lists keeps and leaves out."""
+    f = language_filter(spark, d)
+    return f.agg(F.count("*").alias("repos"), *[x for c in ("supported", "crawled") for x in (F.count_if(c).alias(f"{c}_kept"), F.count_if(~F.col(c)).alias(f"{c}_left_out"))])
+
+
+def name_forms(spark, d):
+    """Folder names of listed repositories, and back, where every ``_`` becomes a slash."""
+    folder = F.replace(F.col("full_name"), F.lit("/"), F.lit("_"))
+    return table(spark, d, "search_items").select("full_name", folder.alias("folder"), F.replace(folder, F.lit("_"), F.lit("/")).alias("back")).distinct()
+
+
 def language_vote(spark, d):
     return lg.language_votes(files(spark, d))
 
@@ -88,6 +100,13 @@ def entry_points(spark, d):
     return lg.entry_points(files(spark, d).withColumn("content", c))
 
 
+def entry_previews(spark, d, n: int = 3, chars: int = 500):
+    """The first ``n`` entry points of each repository, by path and kind, with the first ``chars`` characters of the file that names them."""
+    c = F.concat("content", F.lit("\n"), F.array(*map(F.lit, MAINS))[F.length("content") % len(MAINS)])
+    e = lg.entry_points(files(spark, d).withColumn("content", c), chars)
+    return topn.ranked(e, ["repo_name"], [F.col("file_path").asc(), F.col("kind").asc(), F.col("snippet").asc()], n).select(*KEYS, "kind", F.col("rank").alias("place"), F.md5("snippet").alias("snippet_md5"))
+
+
 #: Members of the metadata's text that say what a column holds, by the names the source gives them.
 INFO = {"language": ("language",), "stars": ("stars", "stargazers_count"), "forks": ("forks", "forks_count"), "size": ("size",), "repo_created_at": ("created_at",), "repo_updated_at": ("updated_at",)}
 
@@ -140,6 +159,16 @@ def crawl_candidates(spark, d):
     return table(spark, d, "search_items").groupBy(incremental.full_name("full_name").alias("full_name")).agg(F.min("page").alias("first_page"), F.count("*").alias("listings")).join(seen, "full_name", "left_anti")
 
 
+#: What a crawl takes at most in one batch, and in all (fixed values).
+CRAWL_BATCH, CRAWL_TARGET = 5_000, 15_000
+
+
+def crawl_batch(spark, d):
+    """The repositories of the next batch: of those never crawled the first by name, as many as the batch and the crawl's target leave room for."""
+    done = table(spark, d, "crawled").select(incremental.full_name("repo_name").alias("n")).where("n is not null").distinct().count()
+    return crawl_candidates(spark, d).select("full_name").orderBy("full_name").limit(max(0, min(CRAWL_BATCH, CRAWL_TARGET - done)))
+
+
 def crawl_pages(spark, d):
     """Per slice: pages, listings and whether the last page was full."""
     p = table(spark, d, "search_items").groupBy("slice_start", "slice_end").agg(F.count_distinct("page").alias("pages"), F.count_distinct("item_id").alias("items"), F.max("page").alias("last_page"))
@@ -162,7 +191,7 @@ def insert_ignore(spark, d):
     return insert_ignore(old, new, "name")
 
 
-QUERIES = {f.__name__: f for f in (path_parts, scannable_files, code_file_filter, size_guard, content_classify, safe_name_dedup, content_hashes, repo_language, language_distribution, language_filter, language_vote, extension_counts, entry_points, repo_metadata, commit_dedup, commit_totals, crawl_slices, crawl_candidates, crawl_pages, upsert_latest_wins, insert_ignore)}
+QUERIES = {f.__name__: f for f in (path_parts, scannable_files, code_file_filter, size_guard, content_classify, safe_name_dedup, content_hashes, repo_language, language_distribution, language_filter, language_counters, name_forms, entry_previews, crawl_batch, language_vote, extension_counts, entry_points, repo_metadata, commit_dedup, commit_totals, crawl_slices, crawl_candidates, crawl_pages, upsert_latest_wins, insert_ignore)}
 
 EXT, BASE = S.ext(), S.base()
 _SAFE = r"replace(replace(replace(replace(file_path, '/', '_'), '\', '_'), '.', '_dot_'), ' ', '_')"
@@ -211,6 +240,7 @@ UNION ALL SELECT repo_name, file_path, 'main' FROM f WHERE language = 'ruby' AND
 UNION ALL SELECT repo_name, file_path, 'main' FROM f WHERE language = 'rust' AND lower(file_path) LIKE '%.rs' AND {_has('fn main()')}
 UNION ALL SELECT repo_name, coalesce(json_extract_string(CASE WHEN json_valid(content) THEN content END, '$.main'), 'index.js'), 'main' FROM f WHERE language IN ('javascript', 'typescript') AND file_path = 'package.json'
 UNION ALL SELECT repo_name, file_path, 'script' FROM (SELECT *, row_number() OVER (PARTITION BY repo_name ORDER BY file_path) AS n FROM f WHERE language = 'php' AND lower(file_path) LIKE '%.php') WHERE n <= 5"""
+_PREVIEWS = _ENTRY.replace(" FROM f WHERE", ", content[1:500] AS snippet FROM f WHERE").replace("'script' FROM (", "'script', snippet FROM (")
 _COMMITS = """dumps AS (SELECT DISTINCT record_id, repo_name, CASE WHEN json_type(commits_data) = 'VARCHAR' THEN json_extract_string(commits_data, '$')::JSON ELSE commits_data::JSON END AS j FROM commit_dumps WHERE json_valid(commits_data)),
 lists AS (SELECT record_id, repo_name, CASE json_type(j) WHEN 'OBJECT' THEN json_extract(j, '$.commits') ELSE j END AS j FROM dumps),
 items AS (SELECT record_id, repo_name, i - 1 AS ord, json_extract(j, '$[' || (i - 1) || ']') AS c FROM (SELECT *, unnest(generate_series(1, json_array_length(j)::BIGINT)) AS i FROM lists WHERE json_type(j) = 'ARRAY')),
@@ -236,6 +266,10 @@ SELECT repo_name, file_path, kind, length(s)::INT AS stored_length, md5(s) AS di
     "language_vote": f"WITH {_votes()} SELECT * FROM votes",
     "extension_counts": f"SELECT repo_name, {EXT} AS ext, count(*) AS files FROM {_PATHS} GROUP BY 1, 2",
     "entry_points": _ENTRY,
+    "entry_previews": f"SELECT repo_name, file_path, kind, place, md5(snippet) AS snippet_md5 FROM (SELECT *, row_number() OVER (PARTITION BY repo_name ORDER BY file_path, kind, snippet)::INT AS place FROM ({_PREVIEWS})) WHERE place <= 3",
+    "language_counters": f"WITH {_LANGS}, f AS (SELECT coalesce(language IN {S.values(dims.SUPPORTED_LANGUAGES)}, false) AS s, coalesce(language IN {S.values(dims.CRAWL_LANGUAGES)}, false) AS c FROM langs) SELECT count(*) AS repos, count(*) FILTER (s) AS supported_kept, count(*) FILTER (NOT s) AS supported_left_out, count(*) FILTER (c) AS crawled_kept, count(*) FILTER (NOT c) AS crawled_left_out FROM f",
+    "name_forms": "SELECT DISTINCT full_name, replace(full_name, '/', '_') AS folder, replace(replace(full_name, '/', '_'), '_', '/') AS back FROM search_items",
+    "crawl_batch": f"WITH seen AS (SELECT DISTINCT {_full('repo_name')} AS n FROM crawled), c AS (SELECT DISTINCT {_full('full_name')} AS full_name FROM search_items WHERE {_full('full_name')} NOT IN (SELECT n FROM seen WHERE n IS NOT NULL)), r AS (SELECT full_name, row_number() OVER (ORDER BY full_name) AS k FROM c) SELECT full_name FROM r WHERE k <= least({CRAWL_BATCH}, {CRAWL_TARGET} - (SELECT count(n) FROM seen))",
     "repo_metadata": f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY repo_name ORDER BY created_at DESC NULLS LAST, language DESC NULLS LAST, stars DESC NULLS LAST, forks DESC NULLS LAST, size DESC NULLS LAST, repo_created_at DESC NULLS LAST, repo_updated_at DESC NULLS LAST, repo_info DESC NULLS LAST) AS v FROM repos),
 i AS (SELECT *, CASE WHEN json_valid(repo_info) THEN CASE WHEN json_type(repo_info) = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string(repo_info, '$')) THEN json_extract_string(repo_info, '$')::JSON END ELSE repo_info::JSON END END AS j FROM l WHERE v = 1),
 t AS (SELECT *, CASE WHEN json_type(j, '$.topics') = 'ARRAY' THEN json_extract(j, '$.topics[*]') WHEN json_type(j, '$.topics') IN ('OBJECT', 'VARCHAR') THEN [json_extract(j, '$.topics')] ELSE [] END AS ts FROM i)

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from quern import dims
 from quern.functions import signatures as sig
 from quern.operators import keywords as kw
+from quern.operators import topn
 from quern.plans import SNIPPETS
 from quern.plans import sql as S
-from quern.session import table
+from quern.session import durable, table
 
 KEYS = kw.KEYS
 
@@ -74,8 +75,16 @@ def suspicious_patterns(spark, d):
 
 
 def pattern_counts_repo(spark, d):
-    f = patterned(spark, d).groupBy("repo_name").agg(F.sum(F.size("patterns")).alias("pattern_count"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_set("patterns")))), 1, 50).alias("p"))
-    return f.select("repo_name", "pattern_count", joined("p").alias("first_patterns"))
+    """Of each repository the number of matched expressions and the first 50 of them, sorted."""
+    p = durable(patterned(spark, d).select("repo_name", "patterns"))
+    first = topn.first_values(p.select("repo_name", F.explode("patterns").alias("p")), "repo_name", "p", 50)
+    return p.groupBy("repo_name").agg(F.sum(F.size("patterns")).alias("pattern_count")).join(first, "repo_name", "left").select("repo_name", "pattern_count", F.coalesce(joined("first"), F.lit("")).alias("first_patterns"))
+
+
+def repo_keywords(spark, d):
+    """Of each repository with found keywords their number and the first 50, sorted (none counts more than once)."""
+    f = durable(kw.found_keywords(features(spark, d)).select("repo_name", "token").distinct())
+    return f.groupBy("repo_name").agg(F.count("*").alias("n")).join(topn.first_values(f, "repo_name", "token", 50), "repo_name").select("repo_name", "n", joined("first").alias("keywords"))
 
 
 def repo_token_counts(spark, d):
@@ -176,16 +185,28 @@ def repo_prescreen(spark, d):
     return every.join(r, "repo_name", "left").select("repo_name", F.coalesce("combined_score", F.lit(0.0)).alias("combined_score"), "pattern_count", F.coalesce("is_suspicious", F.lit(False)).alias("is_suspicious"))
 
 
+def risks(s):
+    """Per repository: malicious files, and of the CRITICAL and HIGH ones their number and the first ten by path."""
+    high = s.where(F.col("severity_level").isin("CRITICAL", "HIGH"))
+    first = topn.first_values(high, "repo_name", "file_path", 10)
+    g = s.groupBy("repo_name").agg(F.count_if("is_malicious").alias("malicious_files")).join(high.groupBy("repo_name").agg(F.count_distinct("file_path").alias("high_risk")), "repo_name", "left").join(first, "repo_name", "left")
+    return g.select("repo_name", "malicious_files", F.coalesce("high_risk", F.lit(0)).cast("int").alias("high_risk"), F.coalesce(joined("first"), F.lit("")).alias("first_paths"))
+
+
 def high_risk_files(spark, d):
-    """Per repository: malicious files and the CRITICAL and HIGH ones by path, from the stored scores (latest analysis)."""
+    """The risks by the stored scores (latest analysis)."""
     from quern.operators.labels import latest
 
-    s = latest(table(spark, d, "file_malicious_scores").where(F.col("repo_name").isNotNull()), ["repo_name", "file_path"], "analysis_date", ["total_score", "severity_level", "is_malicious"])
-    g = s.groupBy("repo_name").agg(F.count_if("is_malicious").alias("malicious_files"), F.array_sort(F.collect_set(F.when(F.col("severity_level").isin("CRITICAL", "HIGH"), F.col("file_path")))).alias("p"))
-    return g.select("repo_name", "malicious_files", F.size("p").alias("high_risk"), joined(F.slice("p", 1, 10)).alias("first_paths"))
+    return risks(latest(table(spark, d, "file_malicious_scores").where(F.col("repo_name").isNotNull()), ["repo_name", "file_path"], "analysis_date", ["total_score", "severity_level", "is_malicious"]))
+
+
+def high_risk_computed(spark, d):
+    """The risks by scores computed from the files."""
+    s = kw.file_scores(features(spark, d)).select(*KEYS, "content_hash", "severity_level", "is_malicious")
+    return risks(durable(kw.once(s)))
 
 
-QUERIES = {f.__name__: f for f in (token_counts, file_keyword_score, context_names, keyword_match_exact, keyword_match_partial, keyword_match_weighted, critical_keywords, keyword_weight_lookup, suspicious_patterns, pattern_counts_repo, repo_token_counts, cooccurrence_boost, rule_match_file, rule_match_repo, cross_file_boost, cross_file_tokens, signature_match, signature_counts, signature_severity, signature_summary, file_malicious_score, file_score_boosted, suspicion_reasons, repo_reasons, repo_score, repo_prescreen, high_risk_files)}
+QUERIES = {f.__name__: f for f in (token_counts, file_keyword_score, context_names, keyword_match_exact, keyword_match_partial, keyword_match_weighted, critical_keywords, keyword_weight_lookup, suspicious_patterns, pattern_counts_repo, repo_token_counts, cooccurrence_boost, rule_match_file, rule_match_repo, cross_file_boost, cross_file_tokens, signature_match, signature_counts, signature_severity, signature_summary, file_malicious_score, file_score_boosted, suspicion_reasons, repo_reasons, repo_score, repo_prescreen, high_risk_files, high_risk_computed, repo_keywords)}
 
 NL = "chr(10)"
 _BOOST = S.MATCHES + "," + S.SCANNED.replace(S.CODE + ",", "") + ", src AS (SELECT * FROM file_found JOIN scanned USING (repo_name, file_path)), " + S.scores(f"list_concat({S.rule_names('found')}, list_filter(signatures, lambda x: NOT list_contains({S.rule_names('found')}, x)))", "src")
@@ -240,5 +261,7 @@ SELECT repo_name, is_suspicious, concat_ws('; ', CASE WHEN len(c.critical) > 0 T
   CASE WHEN pattern_count >= 3 THEN 'Suspicious patterns: ' || pattern_count END) AS reasons FROM verdict JOIN crit c USING (repo_name) LEFT JOIN seen s USING (repo_name)""",
     "repo_score": f"WITH {_REPO} SELECT repo_name, analyzed_files, pattern_count::BIGINT AS pattern_count, critical_count::INT AS critical_count, rule_count::INT AS rule_count, {', '.join(f'round({c}, 4) AS {c}' for c in REPO[:-1])}, round(least(weighted_score / 200, 1.0), 4) AS combined_score, is_suspicious FROM verdict",
     "repo_prescreen": f"WITH {_REPO}, every AS (SELECT DISTINCT repo_name FROM files) SELECT repo_name, (CASE WHEN weighted_score IS NULL THEN 0.0 ELSE round(least(weighted_score / 200, 1.0), 4) END)::DOUBLE AS combined_score, pattern_count::BIGINT AS pattern_count, coalesce(is_suspicious, false) AS is_suspicious FROM every LEFT JOIN verdict USING (repo_name)",
+    "repo_keywords": f"WITH {S.MATCHES}, t AS (SELECT DISTINCT repo_name, token FROM found) SELECT repo_name, count(*) AS n, array_to_string(list_sort(list(token))[1:50], {NL}) AS keywords FROM t GROUP BY repo_name",
+    "high_risk_computed": f"WITH {S.MATCHES}, {S.scores(S.rule_names('found'))}, l AS (SELECT repo_name, file_path, {S.LEVEL.format(s='normalized_score')} AS severity_level, normalized_score >= 40 OR len(critical) >= 2 AS is_malicious FROM scored), g AS (SELECT repo_name, count(*) FILTER (is_malicious) AS malicious_files, list_sort(list(DISTINCT file_path) FILTER (severity_level IN ('CRITICAL', 'HIGH'))) AS p FROM l GROUP BY repo_name) SELECT repo_name, malicious_files, coalesce(len(p), 0)::INT AS high_risk, coalesce(array_to_string(p[1:10], {NL}), '') AS first_paths FROM g",
     "high_risk_files": f"WITH l AS (SELECT *, row_number() OVER (PARTITION BY repo_name, file_path ORDER BY analysis_date DESC NULLS LAST, total_score DESC NULLS LAST, severity_level DESC NULLS LAST, is_malicious DESC NULLS LAST) AS v FROM file_malicious_scores WHERE repo_name IS NOT NULL), g AS (SELECT repo_name, count(*) FILTER (is_malicious) AS malicious_files, list_sort(list(DISTINCT file_path) FILTER (severity_level IN ('CRITICAL', 'HIGH'))) AS p FROM l WHERE v = 1 GROUP BY repo_name) SELECT repo_name, malicious_files, coalesce(len(p), 0)::INT AS high_risk, coalesce(array_to_string(p[1:10], {NL}), '') AS first_paths FROM g",
 }

@@ -87,3 +87,28 @@ def test_latest_and_insert_ignore(spark):
     old = spark.createDataFrame([("a", 0)], "k string, v int")
     new = spark.createDataFrame([("a", 5), ("b", 3), ("b", 2)], "k string, v int")
     assert {tuple(r) for r in lb.insert_ignore(old, new, "k").collect()} == {("a", 0), ("b", 2)}
+
+
+def test_nested_conditions_and_guards(spark):
+    word, pattern = lambda v: {"type": "keyword", "value": v}, lambda v: {"type": "pattern", "value": v}
+    rule = {"rule": "own", "all_of": [], "n": 0, "n_of": [], "any_of": [], "patterns": [{"type": "or", "conditions": [{"type": "and", "conditions": [word("a"), pattern("p(")]}, word("b")]}], "file_extensions": [".py"], "max_file_size": 10}
+    df = spark.createDataFrame([(["a"], ["p("], ".py", 5), (["a"], [], ".py", 5), (["b"], None, ".py", 5), (["b"], [], ".js", 5), (["b"], [], ".py", 11), (None, [], ".py", 5)], "found array<string>, patterns array<string>, ext string, size int")
+    assert [r[0] for r in df.select(kw.rule_matches(F.col("found"), rule, F.col("patterns"), F.col("ext"), F.col("size"))).collect()] == [True, False, True, False, False, False]
+    none = {"rule": "none", "all_of": [], "n": 0, "n_of": [], "any_of": []}
+    assert not any(r[0] for r in df.select(kw.rule_matches(F.col("found"), none)).collect())
+    assert not any(r[0] for r in df.select(kw.condition({"type": "other"}, F.col("found"), F.col("patterns"))).collect())
+
+
+def test_first_values(spark):
+    from quern.operators.topn import first_values
+
+    df = spark.createDataFrame([("a", x) for x in "dcbacba"] + [("b", None), (None, "z")], "g string, v string")
+    assert {r.g: r.first for r in first_values(df, "g", "v", 2).collect()} == {"a": ["a", "b"], None: ["z"]}
+
+
+def test_repeated_rows_and_other_content_under_one_key(spark):
+    """A file's row counts once, however often it stands; two contents under one key are two rows."""
+    one = files(spark, "backdoor = 1")
+    both = one.union(one).union(one.selectExpr("repo_name", "file_path", "'keylogger = 1' as content", "content_type"))
+    assert kw.repo_scores(kw.features(both)).first().analyzed_files == 2
+    assert sorted(r.token for r in kw.found_keywords(kw.features(both)).collect()) == ["backdoor", "keylogger"]
