@@ -82,6 +82,14 @@ sizes AS (SELECT h, count(*) AS n FROM runs GROUP BY h),
 pairs AS (SELECT a.h AS hash_a, b.h AS hash_b, count(*) AS common FROM runs a JOIN runs b ON a.s = b.s AND a.h < b.h GROUP BY 1, 2),
 alike AS (SELECT hash_a, hash_b FROM pairs JOIN sizes x ON x.h = hash_a JOIN sizes y ON y.h = hash_b WHERE common >= 0.7 * (x.n + y.n - common))"""
 
+_SPANS = """windows AS (SELECT doc_id, unnest(generate_series(1, length(text) - 199)) AS s, text FROM (SELECT DISTINCT doc_id, text FROM documents) WHERE length(text) >= 200),
+hashed AS (SELECT doc_id, s - 1 AS s, md5_number(substring(text, s, 200)) AS h FROM windows),
+shared AS (SELECT h FROM hashed GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+hits AS (SELECT doc_id, s FROM hashed WHERE h IN (SELECT h FROM shared)),
+marked AS (SELECT *, CASE WHEN s <= max(s + 200) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM hits),
+parts AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS part FROM marked),
+spans AS (SELECT doc_id, min(s)::INT AS span_start, (max(s) + 200)::INT AS span_end FROM parts GROUP BY doc_id, part)"""
+
 SQL: dict[str, str] = {
     "p7_found": f"WITH {_PAIRS} SELECT hash_a, hash_b FROM alike",
     "p7_groups": f"""
@@ -93,13 +101,7 @@ counted AS (SELECT a AS hash, count(*) AS n FROM links GROUP BY a),
 own AS (SELECT DISTINCT repo_name, file_path, sha256(content) AS hash FROM files WHERE content_type = 'text' AND content IS NOT NULL)
 SELECT repo_name, file_path, hash, coalesce(g, hash) AS "group", coalesce(n, 0) AS links FROM own LEFT JOIN least USING (hash) LEFT JOIN counted USING (hash)
 """,
-    "p10_found": """
-WITH windows AS (SELECT doc_id, unnest(generate_series(1, length(text) - 199)) AS s, text FROM (SELECT DISTINCT doc_id, text FROM documents) WHERE length(text) >= 200),
-hashed AS (SELECT doc_id, s - 1 AS s, md5_number(substring(text, s, 200)) AS h FROM windows),
-shared AS (SELECT h FROM hashed GROUP BY h HAVING min(doc_id) <> max(doc_id)),
-hits AS (SELECT doc_id, s FROM hashed WHERE h IN (SELECT h FROM shared)),
-marked AS (SELECT *, CASE WHEN s <= max(s + 200) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM hits),
-parts AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS part FROM marked)
-SELECT doc_id, min(s)::INT AS span_start, (max(s) + 200)::INT AS span_end FROM parts GROUP BY doc_id, part
-""",
+    "p10_found": f"WITH {_SPANS} SELECT doc_id, span_start, span_end FROM spans",
+    "p10_part": f"""WITH {_SPANS}, part AS (SELECT doc_id, sum(span_end - span_start)::BIGINT AS shared_chars FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(length(text), 0)::INT AS n_chars, coalesce(shared_chars, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(shared_chars, 0) / length(text) ELSE 0.0 END::DOUBLE AS shared_part FROM documents LEFT JOIN part USING (doc_id)""",
 }
