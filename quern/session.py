@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -62,9 +63,20 @@ def clean(spark: SparkSession) -> None:
 
 
 def own_dir(spark: SparkSession) -> str:
+    """The application's part of the shared folder. It is deleted when the driver's Python ends; what a lost driver leaves lies under its application's id."""
+    if not getattr(spark, "_quern_cleans", False):
+        spark._quern_cleans = True
+        atexit.register(_clean_at_exit, spark)
     return f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}"
 
 
+def _clean_at_exit(spark: SparkSession) -> None:
+    try:
+        clean(spark)
+    except Exception:  # the session was stopped before: nothing can be deleted through it
+        pass
+
+
 def width(spark: SparkSession, at_least: int = 12) -> int:
     """Partitions for work spread by hand: those of a shuffle, at least ``at_least``."""
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
