@@ -9,25 +9,6 @@ def _modules():
     return [data_core, scoring, repositories, labelling, streams]
 
 
-#: The tables' own texts hold hardly any of the rules' words, so the scoring queries append one of
-#: these to every file, by its length. The data stays whole.
-SNIPPETS = [
-    "def backdoor(x):\n    keylogger = x\n    return keylogger\n",
-    "import subprocess\n# download the payload\ndownload(url)\nexecute(payload)\neval(x)\neval (x)\n",
-    "class Stealer:\n    def run(self):\n        password = steal(browser)\n        token = credential\n        send(data)\n",
-    "function inject(process) { memory.write(process); shell(cmd); }\nsocket.connect(host); exec(bash);\n",
-    "encrypt(file); ransom = bitcoin; decrypt(victim); payment(glob);\n",
-    "# connect and listen\nsocket(a); bind(b); listen(c); connect (d); os.system(e)\n",
-    "def exploit_test():\n    exploit = demo\n    shellcode = base64_decode(x)\n    shell_exec(shellcode)\n",
-    "SELECT a UNION SELECT b\nxp_cmdshell = 1\ncrontab = stratum\n",
-    "int f() { char b[9]; gets(b); strcpy(b, x); sprintf(b, y); system(b); ptrace(0); LD_PRELOAD; }\n",
-    "reverse_shell = 1\nbypass(firewall)\npersistence(registry)\nhook(keyboard)\ncapture = log\n",
-    "Runtime.getRuntime().exec(cmd); new ProcessBuilder(x).start(); OpenProcess(a); CreateRemoteThread(b); WriteProcessMemory(c);\n",
-    "const x = require('https://beacon.example/upload'); // rootkit exfiltrate\nmine(crypto); miner.pool(hashrate);\n",
-    "nothing_here = 1\n",
-]
-
-
 def all_queries() -> dict:
     return {k: f for m in _modules() for k, f in m.QUERIES.items()}
 

@@ -91,19 +91,13 @@ def extension_counts(spark, d):
     return files(spark, d).select(*KEYS).distinct().groupBy("repo_name", text.suffix("file_path").alias("ext")).agg(F.count("*").alias("files"))
 
 
-#: Appended by the length of a text, so that programs begin somewhere (see plans.SNIPPETS).
-MAINS = ["if __name__ == '__main__':\n", "def main():\n", "func main() {}\n", "public static void main(String[] a) {}\n", "int main(void) {}\n", "export default x\n", "pass\n"]
-
-
 def entry_points(spark, d):
-    c = F.concat("content", F.lit("\n"), F.array(*map(F.lit, MAINS))[F.length("content") % len(MAINS)])
-    return lg.entry_points(files(spark, d).withColumn("content", c))
+    return lg.entry_points(files(spark, d))
 
 
 def entry_previews(spark, d, n: int = 3, chars: int = 500):
     """The first ``n`` entry points of each repository, by path and kind, with the first ``chars`` characters of the file that names them."""
-    c = F.concat("content", F.lit("\n"), F.array(*map(F.lit, MAINS))[F.length("content") % len(MAINS)])
-    e = lg.entry_points(files(spark, d).withColumn("content", c), chars)
+    e = lg.entry_points(files(spark, d), chars)
     return topn.ranked(e, ["repo_name"], [F.col("file_path").asc(), F.col("kind").asc(), F.col("snippet").asc()], n).select(*KEYS, "kind", F.col("rank").alias("place"), F.md5("snippet").alias("snippet_md5"))
 
 
@@ -228,8 +222,7 @@ def _said(column: str, names) -> str:
     return f"coalesce({f'nullif({column}, {chr(39) * 2})' if text_ else column}, {', '.join(x if text_ else f'try_cast({x} AS BIGINT)' for x in said)}) AS {column}"
 
 
-_MAIN = "CASE length(content) % {n} {w} END".format(n=len(MAINS), w=" ".join(f"WHEN {i} THEN {S.q(x)}" for i, x in enumerate(MAINS)))
-_ENTRY = f"""WITH {_votes()}, f AS (SELECT * FROM (SELECT DISTINCT repo_name, file_path, content || chr(10) || {_MAIN} AS content FROM files WHERE content_type = 'text' AND content IS NOT NULL) JOIN (SELECT repo_name, language FROM votes) USING (repo_name))
+_ENTRY = f"""WITH {_votes()}, f AS (SELECT * FROM (SELECT DISTINCT repo_name, file_path, content FROM files WHERE content_type = 'text' AND content IS NOT NULL) JOIN (SELECT repo_name, language FROM votes) USING (repo_name))
 SELECT repo_name, file_path, 'main' AS kind FROM f WHERE language = 'go' AND lower(file_path) LIKE '%.go' AND {_has('func main()')}
 UNION ALL SELECT repo_name, file_path, CASE WHEN {_has('__main__', 'if __name__')} THEN 'main' ELSE 'function' END FROM f WHERE language = 'python' AND lower(file_path) LIKE '%.py' AND {_has('__main__', 'if __name__', 'def main(')}
 UNION ALL SELECT repo_name, file_path, 'setup' FROM f WHERE language = 'python' AND file_path = 'setup.py'

@@ -52,10 +52,9 @@ QUERIES = {f.__name__: f for f in (stream_new_repositories, stream_file_scores,
 from quern.plans.data_core import _full  # noqa: E402
 from quern.plans import sql as S  # noqa: E402
 
-_PLAIN = S.MATCHES.replace(f"content || chr(10) || {S.SNIPPET} AS content", "content")
 SQL = {
     "stream_new_repositories": f"SELECT DISTINCT {_full('full_name')} AS full_name FROM search_items WHERE {_full('full_name')} LIKE '%/%'",
-    "stream_file_scores": f"WITH {_PLAIN}, {S.scores(S.rule_names('found'))} SELECT repo_name, file_path, round(total_score, 4) AS total_score, {S.LEVEL.format(s='normalized_score')} AS severity_level, normalized_score >= 40 OR len(critical) >= 2 AS is_malicious FROM scored",
+    "stream_file_scores": f"WITH {S.MATCHES}, {S.scores(S.rule_names('found'))} SELECT repo_name, file_path, round(total_score, 4) AS total_score, {S.LEVEL.format(s='normalized_score')} AS severity_level, normalized_score >= 40 OR len(critical) >= 2 AS is_malicious FROM scored",
     "stream_status_table": labelling.SQL["status_latest"],
     # windows that the watermark, ten minutes behind the last event, has passed
     "stream_status_windows": f"WITH {labelling._STATUS} SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS \"end\", status, count(*) AS changes FROM log WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM log) GROUP BY ALL",
