@@ -52,9 +52,9 @@ def rule_words() -> list[str]:
     return sorted({*of_rules, *of_keywords, *(w for words, _ in dims.CROSS_FILE for w in words)})
 
 
-def among(array: Column, words: list[str]) -> Column:
-    """The members of ``array`` that are among the words; their hash set is built once for the plan, not for each row."""
-    return F.filter(array, lambda t: t.isin(words))
+def among(column: str, words: list[str]) -> Column:
+    """The members of an array that are among the words; their hash set is built once for the plan, not for each row."""
+    return F.expr(f"filter({column}, t -> t in ({', '.join(map(quoted, words))}))")
 
 
 def features(files: DataFrame) -> DataFrame:
@@ -63,32 +63,22 @@ def features(files: DataFrame) -> DataFrame:
     f = fenced(code_files(files), all_tokens=text.tokens(c), functions=text.function_names(c), classes=text.class_names(c), imports=text.import_names(c), comments=text.comment_words(c))
     f = fenced(f, tokens=F.array_distinct("all_tokens"))
     words, names = rule_words(), [k["keyword"] for k in reachable()]
-    f = fenced(f, seen=among(F.col("tokens"), words), **{f"in_{n}": among(F.col(n), names) for n in ("functions", "classes", "imports", "comments")})
+    f = fenced(f, seen=among("tokens", words), **{f"in_{n}": among(n, names) for n in ("functions", "classes", "imports", "comments")})
     return f.withColumns({"n_tokens": F.size("all_tokens"), "patterns": text.suspicious(c)}).drop("all_tokens")
 
 
-def related(token: Column) -> Column:
-    """ord of the first keyword that contains the token or is contained in it; null without one."""
-    return F.coalesce(*[F.when(F.contains(token, F.lit(k["keyword"])) | F.contains(F.lit(k["keyword"]), token), F.lit(k["ord"])) for k in dims.keywords()])
+def quoted(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def exact_weight(k: dict) -> Column:
-    """Weight of a keyword that is one of the row's tokens; null if an excluding word stands beside it."""
-    kw = F.lit(k["keyword"])
-    times = (
-        F.when(F.array_contains("in_functions", kw), k["fn"]).when(F.array_contains("in_classes", kw), k["cls"]).when(F.array_contains("in_comments", kw), k["cmt"]).when(F.array_contains("in_imports", kw), k["imp"]).otherwise(k["var"])
-    )
-    w = F.lit(k["base"]) * times
-    if k["requires"]:
-        w = F.when(F.arrays_overlap("seen", strings(k["requires"])), w).otherwise(k["base"] * 0.3)
-    if k["excludes"]:
-        w = F.when(~F.arrays_overlap("seen", strings(k["excludes"])), w)
-    return F.when(F.array_contains("seen", kw), w)
+def listed(xs) -> str:
+    return f"cast(array({', '.join(map(quoted, xs))}) as array<string>)"
 
 
-def context(k: dict) -> Column:
-    kw = F.lit(k["keyword"])
-    return F.when(F.array_contains("in_functions", kw), "FUNCTION_NAME").when(F.array_contains("in_classes", kw), "CLASS_NAME").when(F.array_contains("in_comments", kw), "COMMENT").when(F.array_contains("in_imports", kw), "IMPORT").otherwise("VARIABLE_NAME")
+def keyword_table(keywords: list[dict]) -> Column:
+    """The keywords in order as one constant of the plan: array<struct<keyword, severity, base, multipliers, requires, excludes>>."""
+    rows = (f"named_struct('keyword', {quoted(k['keyword'])}, 'severity', {quoted(k['severity'])}, " + ", ".join(f"'{c}', {k[c]}D" for c in ("base", "fn", "cls", "var", "cmt", "imp")) + f", 'requires', {listed(k['requires'])}, 'excludes', {listed(k['excludes'])})" for k in keywords)
+    return F.expr(f"array({', '.join(rows)})")
 
 
 def reachable() -> list[dict]:
@@ -97,10 +87,20 @@ def reachable() -> list[dict]:
 
 
 def exact_hits(contexts: bool = False) -> Column:
-    """array<struct<token, weight>> of the keywords that are tokens, with context and severity if asked for; no test is made for a row without any."""
-    more = lambda k: [context(k).alias("context"), F.lit(k["severity"]).alias("severity")] if contexts else []
-    every = F.array(*[F.struct(F.lit(k["keyword"]).alias("token"), exact_weight(k).alias("weight"), *more(k)) for k in reachable()])
-    return F.filter(F.when(F.size("seen") > 0, every).otherwise(F.slice(every, 1, 0)), lambda m: m["weight"].isNotNull())
+    """array<struct<token, weight>> of the keywords that are tokens, in order, with context and severity if asked for. A keyword beside an excluding word is none; one without any of the words it requires weighs 0.3."""
+    table = keyword_table(reachable())
+
+    def hit(k: Column) -> Column:
+        kw = k["keyword"]
+        inside = lambda c, then, other: F.when(F.array_contains(F.col(c), kw), then).otherwise(other)
+        times = inside("in_functions", k["fn"], inside("in_classes", k["cls"], inside("in_comments", k["cmt"], inside("in_imports", k["imp"], k["var"]))))
+        weight = k["base"] * F.when((F.size(k["requires"]) > 0) & ~F.arrays_overlap("seen", k["requires"]), 0.3).otherwise(times)
+        if not contexts:
+            return F.struct(kw.alias("token"), weight.alias("weight"))
+        context = inside("in_functions", F.lit("FUNCTION_NAME"), inside("in_classes", F.lit("CLASS_NAME"), inside("in_comments", F.lit("COMMENT"), inside("in_imports", F.lit("IMPORT"), F.lit("VARIABLE_NAME")))))
+        return F.struct(kw.alias("token"), weight.alias("weight"), context.alias("context"), k["severity"].alias("severity"))
+
+    return F.transform(F.filter(table, lambda k: F.array_contains("seen", k["keyword"]) & ~F.arrays_overlap("seen", k["excludes"])), hit)
 
 
 def exact_matches(f: DataFrame) -> DataFrame:
@@ -117,15 +117,19 @@ def _parts() -> list[str]:
 def partial_candidates() -> Column:
     """Tokens of the row that lie within a keyword or hold one, without those that are one: a hash test and one expression, so that the 63 tests of ``related`` see few tokens."""
     own, holding = [k["keyword"] for k in dims.keywords()], "|".join(k["keyword"] for k in reachable())
-    return F.filter("tokens", lambda t: (t.isin(_parts()) | F.rlike(t, F.lit(holding))) & ~t.isin(own))
+    among_ = lambda words: ", ".join(map(quoted, words))
+    return F.expr(f"filter(tokens, t -> (t in ({among_(_parts())}) or rlike(t, {quoted(holding)})) and t not in ({among_(own)}))")
 
 
 def partial_hits() -> Column:
     """array<struct<token, weight, keyword>>: tokens that share only a part with a keyword, the first in order."""
-    names = F.array(*[F.lit(k["keyword"]) for k in dims.keywords()])
-    weights = F.array(*[F.lit(k["base"] * k["var"] * 0.5) for k in dims.keywords()])
-    at = F.transform(partial_candidates(), lambda t: F.struct(t.alias("token"), related(t).alias("i")))
-    return F.transform(at, lambda x: F.struct(x["token"].alias("token"), weights[x["i"]].alias("weight"), names[x["i"]].alias("keyword")))
+    table = keyword_table(dims.keywords())
+
+    def hit(t: Column) -> Column:
+        k = F.element_at(F.filter(table, lambda k: F.contains(t, k["keyword"]) | F.contains(k["keyword"], t)), 1)
+        return F.struct(t.alias("token"), k.alias("k"))
+
+    return F.transform(F.transform(partial_candidates(), hit), lambda x: F.struct(x["token"].alias("token"), (x["k"]["base"] * x["k"]["var"] * 0.5).alias("weight"), x["k"]["keyword"].alias("keyword")))
 
 
 def partial_matches(f: DataFrame) -> DataFrame:
@@ -144,7 +148,9 @@ def found_keywords(f: DataFrame) -> DataFrame:
 
 
 def pair_boost(found: Column) -> Column:
-    return sum((F.when(F.array_contains(found, a) & F.array_contains(found, b), F.lit(x)).otherwise(0.0) for a, b, x in dims.PAIRS), F.lit(0.0))
+    """The boosts of the pairs whose words are both found, added up in order."""
+    table = F.expr(f"array({', '.join(f'named_struct({chr(39)}a{chr(39)}, {quoted(a)}, {chr(39)}b{chr(39)}, {quoted(b)}, {chr(39)}boost{chr(39)}, {x}D)' for a, b, x in dims.PAIRS)})")
+    return F.aggregate(F.filter(table, lambda p: F.array_contains(found, p["a"]) & F.array_contains(found, p["b"])), F.lit(0.0), lambda s, p: s + p["boost"])
 
 
 def condition(tree: dict, found: Column, patterns: Column) -> Column:
@@ -180,12 +186,19 @@ def rule_matches(found: Column, r: dict, patterns: Column | None = None, ext: Co
     return F.coalesce(c, F.lit(False))
 
 
+def matching_rules(found: Column) -> Column:
+    """The built-in rules that match, in order: array<struct<rule, score>>, by one constant of the plan. Rules with nested conditions or guards: see ``rule_matches``."""
+    rows = (f"named_struct('rule', {quoted(r['rule'])}, 'score', {r['score']}D, 'all_of', {listed(r['all_of'])}, 'n', {r['n']}, 'n_of', {listed(r['n_of'])}, 'any_of', {listed(r['any_of'])})" for r in dims.rules())
+    table = F.expr(f"array({', '.join(rows)})")
+    return F.filter(table, lambda r: (F.size(F.array_except(r["all_of"], found)) == 0) & (F.size(F.array_intersect(r["n_of"], found)) >= r["n"]) & ((F.size(r["any_of"]) == 0) | F.arrays_overlap(found, r["any_of"])))
+
+
 def rule_names(found: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(rule_matches(found, r), F.lit(r["rule"])) for r in dims.rules()]))
+    return F.transform(matching_rules(found), lambda r: r["rule"])
 
 
 def rule_score(found: Column) -> Column:
-    return sum((F.when(rule_matches(found, r), F.lit(r["score"])).otherwise(0.0) for r in dims.rules()), F.lit(0.0))
+    return F.aggregate(matching_rules(found), F.lit(0.0), lambda s, r: s + r["score"])
 
 
 def file_found(f: DataFrame) -> DataFrame:
@@ -242,7 +255,7 @@ def repo_scores(f: DataFrame) -> DataFrame:
     """Per repository: sums over its files, the 12 rules on all its tokens, the cross-file boost and the verdict, by one aggregation."""
     of_rules = sorted({w for r in dims.rules() for w in r["all_of"] + r["n_of"] + r["any_of"]})
     d = file_found(f)
-    d = once(d.select(*KEYS, "content_hash", "found", "keyword_score", "critical", F.size("patterns").alias("n_patterns"), among(F.col("seen"), of_rules).alias("of_rules")))
+    d = once(d.select(*KEYS, "content_hash", "found", "keyword_score", "critical", F.size("patterns").alias("n_patterns"), among("seen", of_rules).alias("of_rules")))
     flags = [F.max(F.array_contains("of_rules", w).cast("int")).alias(f"w_{w}") for w in of_rules]
     by = d.groupBy("repo_name").agg(F.count("*").alias("analyzed_files"), F.sum(F.col("keyword_score").cast("decimal(18,6)")).cast("double").alias("keyword_sum"), F.sum("n_patterns").alias("pattern_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("critical")))).alias("critical"), cross_parts().alias("cross_file_score"), *flags)
     seen = F.array_compact(F.array(*[F.when(F.col(f"w_{w}") == 1, F.lit(w)) for w in of_rules]))
