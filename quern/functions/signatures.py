@@ -130,7 +130,7 @@ def load(*folders: str) -> list[dict]:
 
 def fold(c: Column) -> Column:
     """ASCII letters to lower case, all else as it is: the scanner's idea of nocase."""
-    return F.translate(c, UPPER, LOWER)
+    return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))  # the former is the faster and the same for ASCII
 
 
 def matches(content: Column, folded: Column, rule: dict) -> Column:

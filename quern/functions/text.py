@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,8 +64,14 @@ def comment_words(c: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(comments, words)))
 
 
+def literal_of(expression: str) -> str:
+    """The longest run of word characters that a match of one of the suspicious expressions must hold, in lower case."""
+    return max(re.findall(r"\w+", re.sub(r"\\[sb][*+]?|\\.|\.\*", " ", expression)), key=len).lower()
+
+
 def suspicious(c: Column) -> Column:
-    """Distinct matched strings of the suspicious expressions, sorted. One test tells whether any of them occurs at all."""
-    some = F.rlike(c, F.lit("(?id)" + "|".join(dims.PATTERNS)))
-    each = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(c, F.lit("(?id)" + p), F.lit(0)) for p in dims.PATTERNS]))))
-    return F.when(some, each).otherwise(F.array().cast("array<string>"))
+    """Distinct matched strings of the suspicious expressions, sorted. An expression is tried only where its literal stands in the lowered text."""
+    none = F.array().cast("array<string>")
+    each = lambda low: F.array(*[F.when(F.contains(low, F.lit(literal_of(p))), F.regexp_extract_all(c, F.lit("(?id)" + p), F.lit(0))).otherwise(none) for p in dims.PATTERNS])
+    found = F.transform(F.array(F.lower(c)), lambda low: F.flatten(each(low)))
+    return F.array_sort(F.array_distinct(F.coalesce(F.element_at(found, 1), none)))
