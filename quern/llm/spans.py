@@ -261,28 +261,27 @@ def equal_windows(c: np.ndarray, at: np.ndarray, other: np.ndarray, length: int)
 def _compare(length: int):
     """Rows sorted by key: of each, the windows that another document has as well."""
 
-    def shared(keys, docs, starts, texts):
+    def shared(keys, docs, least_, greatest, starts, texts):
         cs = [codes(t) for t in texts]
         ends, c = np.cumsum([len(x) for x in cs]), np.concatenate(cs)
         h = stretch(grams(c, 128), length)
         at = np.concatenate([np.arange(e - len(x), e - length + 1) for x, e in zip(cs, ends)])
-        count = np.array([len(x) - length + 1 for x in cs])
-        row = np.repeat(np.arange(len(cs)), count)
-        h, doc = mix(h[at], np.array(keys, np.int64).view(np.uint64)[row]), np.array(docs, np.int64)[row]
-        order = np.lexsort((doc, h))
-        h, doc, row, at = h[order], doc[order], row[order], at[order]
+        row = np.repeat(np.arange(len(cs)), [len(x) - length + 1 for x in cs])
+        h = mix(h[at], np.array(keys, np.int64).view(np.uint64)[row])
+        order = np.argsort(h, kind="stable")
+        h, row, at = h[order], row[order], at[order]
+        low, high = np.array(least_, np.int64)[row], np.array(greatest, np.int64)[row]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        last = np.concatenate([first[1:], [len(h)]]) - 1
-        size = last - first + 1
-        many = np.repeat(doc[first] != doc[last], size)
+        size = np.diff(np.concatenate([first, [len(h)]]))
+        many = np.repeat(np.minimum.reduceat(low, first) != np.maximum.reduceat(high, first), size)
         if not many.any():
             return None
         if not equal_windows(c, at[many], np.repeat(at[first], size)[many], length):
             # different windows with one hash: by their characters alone
             met: dict[tuple, set] = {}
             same = [(key, c[a : a + length].tobytes()) for key, a in zip(np.array(keys)[row], at)]
-            for x, d in zip(same, doc):
-                met.setdefault(x, set()).add(d)
+            for x, a, b in zip(same, low, high):
+                met.setdefault(x, set()).update((a, b))
             many = np.array([len(met[x]) > 1 for x in same])
         row, at = row[many], at[many]
         if not len(row):
@@ -295,15 +294,15 @@ def _compare(length: int):
         return pa.RecordBatch.from_arrays([pa.array(np.array(docs, np.int64)[hit]), pa.array(lo[hit].astype(np.int32)), pa.array((hi[hit] + length).astype(np.int32))], ["doc_id", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list, list, list] = ([], [], [], [])
+        held: tuple = ([], [], [], [], [], [])
         size = 0
         for b in batches:
-            for key, d, s, t in zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "start", "text"))):
+            for key, d, low, high, s, t in zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "a", "b", "start", "text"))):
                 if size > CHUNK and held[0][-1] != key:
                     if (out := shared(*held)) is not None:
                         yield out
-                    held, size = ([], [], [], []), 0
-                for x, v in zip(held, (key, d, s, t)):
+                    held, size = ([], [], [], [], [], []), 0
+                for x, v in zip(held, (key, d, low, high, s, t)):
                     x.append(v)
                 size += len(t)
         if size and (out := shared(*held)) is not None:
@@ -326,27 +325,36 @@ def shared_spans(documents: DataFrame, length: int = 200, hot: int = 5_000) -> D
     Every character of a span lies in some stretch of at least ``length``
     (100 or more) characters that occurs, exactly equal, in a document with
     another doc_id. Spans don't touch. Documents with a null id or text, or a
-    text shorter than ``length``, have none. Repeated rows count once; of
-    several texts under one doc_id only that with the greatest hash counts.
+    text shorter than ``length``, have none. Repeated rows count once. Several
+    texts under one doc_id are texts of one document: each has its own spans,
+    which other documents must have as well.
     """
     if length < GRAM + CHOOSE + 12:
         raise ValueError("length is too small for the grams")
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") >= length))
-    texts = rows.select("doc_id", F.unhex(F.sha2("text", 256)).alias("t"), F.length("text").alias("n"))
-    clash = texts.groupBy("doc_id").agg(F.max("t").alias("t"), F.min("t").alias("u")).where("t <> u").select("doc_id", "t")
-    if not clash.isEmpty():
-        rows = rows.join(clash, "doc_id", "left").where(F.col("t").isNull() | (F.unhex(F.sha2("text", 256)) == F.col("t"))).drop("t")
-        texts = rows.select("doc_id", F.unhex(F.sha2("text", 256)).alias("t"), F.length("text").alias("n"))
+    hashed = F.unhex(F.sha2("text", 256))
+    texts = rows.select("doc_id", hashed.alias("t"), F.length("text").alias("n"))
+    owners = None
+    if not texts.groupBy("doc_id").agg(F.min("t").alias("t"), F.max("t").alias("u")).where("t <> u").isEmpty():
+        # every text gets a number of its own and takes the place of its document, whose id stays in ``owners``
+        owners = durable(texts.distinct().withColumnRenamed("doc_id", "owner").withColumn("doc_id", F.monotonically_increasing_id()))
+        numbered = rows.withColumnRenamed("doc_id", "owner").withColumn("t", hashed).join(owners.select("owner", "t", "doc_id"), ["owner", "t"])
+        rows, texts = durable(numbered.select("doc_id", "text")), owners.select("doc_id", "t", "n")
     classes = durable(texts.groupBy("t", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")))
     copied = classes.where("rep <> other")
     whole = texts.join(copied.select("t", "n"), ["t", "n"]).select("doc_id", F.lit(0).alias("start"), F.col("n").alias("stop")).distinct()
+    # a, b: the least and the greatest document that has a row's text; for all classes but those of several texts a document the row itself
+    both = lambda df: df.withColumns({"a": F.col("doc_id"), "b": F.col("doc_id")})
+    if owners is not None:
+        held = durable(owners.groupBy("t", "n").agg(F.min("owner").alias("a"), F.max("owner").alias("b"), F.min("doc_id").alias("rep")).join(owners.select("t", "n", "doc_id"), ["t", "n"]).select("doc_id", "a", "b"))
+        both = lambda df: df.join(held, "doc_id")
     # step 1: one text of each class
     extra = texts.join(copied, ["t", "n"]).where("doc_id <> rep").select("doc_id").distinct()
     found = durable(spread(rows).mapInArrow(_anchors(length), FOUND))
     one = found.join(extra, "doc_id", "left_anti")
     chosen = one.select("doc_id", F.posexplode(F.arrays_zip("keys", "ways")).alias("i", "x")).select("doc_id", "i", F.col("x.keys").alias("key"), F.col("x.ways").alias("way"))
     onward = (F.min("way") == F.max("way")) & (F.min("way") != 0)
-    graph = chosen.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), onward.alias("out"), F.count("*").alias("times")).where("a <> b").drop("a", "b")
+    graph = both(chosen).groupBy("key").agg(F.min("a").alias("a"), F.max("b").alias("b"), onward.alias("out"), F.count("*").alias("times")).where("a <> b").drop("a", "b")
     # step 2: back to the documents, whose rows it decides
     flags = chosen.select("doc_id", "i", "key").join(graph, "key").groupBy("doc_id").agg(F.collect_set(F.struct("i", "key", "out", "times")).alias("flags"))
     flags = durable(flags)
@@ -354,9 +362,9 @@ def shared_spans(documents: DataFrame, length: int = 200, hot: int = 5_000) -> D
     known = flags.join(few(found.select("doc_id", "n", "pos", "low")), "doc_id").join(few(rows), "doc_id")
     pieces = durable(known.mapInArrow(_pieces(length, hot), PIECES))
     # step 3
-    compare = pieces.where("kind = 'compare'").select("key", "doc_id", "start", "text").repartition(width(documents.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_compare(length), "doc_id bigint, start int, stop int")
+    compare = both(pieces.where("kind = 'compare'").select("key", "doc_id", "start", "text")).repartition(width(documents.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_compare(length), "doc_id bigint, start int, stop int")
     exact = pieces.where("kind <> 'compare'").select("kind", "digest", "doc_id", "start", "stop")
-    seen = lambda df: df.groupBy("digest").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    seen = lambda df: both(df).groupBy("digest").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     counted = durable(seen(exact))
     failed = exact.where("kind = 'span'").join(counted.where("a = b"), "digest", "left_semi")
     if not failed.isEmpty():  # merged by a collision
@@ -366,7 +374,10 @@ def shared_spans(documents: DataFrame, length: int = 200, hot: int = 5_000) -> D
     spans = exact.join(counted.where("a <> b"), "digest", "left_semi").select("doc_id", "start", "stop").unionByName(compare)
     # other documents' parts of a text with copies don't matter: it is shared as a whole
     alone = spans.join(copied.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
-    return merged(alone.unionByName(whole)).select("doc_id", F.col("start").alias("span_start"), F.col("stop").alias("span_end"))
+    spans = merged(alone.unionByName(whole))
+    if owners is not None:
+        spans = spans.join(owners.select("doc_id", "owner"), "doc_id").select(F.col("owner").alias("doc_id"), "start", "stop").distinct()
+    return spans.select("doc_id", F.col("start").alias("span_start"), F.col("stop").alias("span_end"))
 
 
 def shared_part(documents: DataFrame, length: int = 200) -> DataFrame:

@@ -77,12 +77,22 @@ def test_windows_are_compared_by_their_characters(monkeypatch):
     r = random.Random(6)
     text = lambda k: "".join(r.choice("abcd") for _ in range(k))
     same = text(230)
-    rows = [(5, 1, 0, same), (5, 2, 10, "x" + same), (5, 3, 0, text(250)), (6, 4, 0, same)]
-    batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int64(), pa.int64(), pa.int32(), pa.string()])], ["key", "doc_id", "start", "text"])
+    rows = [(5, 1, 1, 1, 0, same), (5, 2, 2, 2, 10, "x" + same), (5, 3, 3, 3, 0, text(250)), (6, 4, 4, 4, 0, same)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int64()] * 4 + [pa.int32(), pa.string()])], ["key", "doc_id", "a", "b", "start", "text"])
     (out,) = spans._compare(200)(iter([batch]))
     assert sorted(zip(*(out.column(c).to_pylist() for c in ("doc_id", "start", "stop")))) == [(1, 0, 230), (2, 11, 241)]
 
 
+def test_several_texts_of_one_document(spark):
+    """What two texts of one document share isn't shared; what each shares with others is, also through a copy."""
+    r = random.Random(11)
+    text = lambda k: "".join(r.choice("abcdefgh ") for _ in range(k))
+    p, q, w, z = text(300), text(250), text(260), text(400)
+    docs = [(1, "x" + p + "y" + w), (1, "u" + w + "v" + q), (2, "k" + p + "l"), (3, "m" + q + "n"), (3, "m" + q + "n"), (4, z + "1"), (4, z), (5, z), (6, text(500))]
+    got = {tuple(x) for hot in (3, 5000) for x in spans.shared_spans(spark.createDataFrame(docs, "doc_id bigint, text string"), hot=hot).collect()}
+    assert got == {(1, 1, 301), (2, 1, 301), (1, 262, 512), (3, 1, 251), (4, 0, 400), (5, 0, 400)}
+
+
 def test_part_and_empty(spark):
     df = spark.createDataFrame(corpus(1), "doc_id bigint, text string")
     rows = {r.doc_id: r for r in spans.shared_part(df).collect()}
