@@ -11,6 +11,7 @@ from quern import dims
 
 #: Suffix of a path as splitext has it: leading dots belong to the name.
 SUFFIX = r"(?s)(?:^|/)\.*[^./][^/]*(\.[^./]*)\z"
+#: Fixed values, needed for equal results: what is stripped in this order, identifiers, and the expressions of names in context below.
 STRIPPED = [r"(?s)/\*.*?\*/", r"(?md)//.*?$", r"(?md)#.*?$", r'"[^"]*"', r"'[^']*'"]
 IDENT = r"[a-zA-Z_][a-zA-Z0-9_]*"
 WHOLE = r"(?<![\p{L}\p{N}_])" + IDENT + r"(?![\p{L}\p{N}_])"

@@ -82,8 +82,8 @@ def repo_languages(repos: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def language_votes(files: DataFrame) -> DataFrame:
-    """repo_name, language, votes: 10 for each marker in the root, 1 for each file with a suffix; the most votes win, ties the first; none: unknown."""
-    root, ext = ~F.contains(F.col("file_path"), F.lit("/")), F.lower("file_path")
+    """repo_name, language, votes: 10 for each marker in the root, 1 for each file with a suffix (case counts, as it does for the globs of the rules); the most votes win, ties the first; none: unknown."""
+    root, ext = ~F.contains(F.col("file_path"), F.lit("/")), F.col("file_path")
     sums = []
     for lang, marks in dims.INDICATORS.items():
         names, ends = [m for m in marks if m[0] != "*"], [m[1:] for m in marks if m[0] == "*"]
@@ -102,7 +102,7 @@ def entry_points(files: DataFrame, chars: int = 0) -> DataFrame:
     more = [F.substring("content", 1, chars).alias("snippet")] if chars else []
     langs = language_votes(files).select("repo_name", "language")
     f = files.where((F.col("content_type") == "text") & F.col("content").isNotNull()).select(*KEYS, "content").distinct().join(langs, "repo_name")
-    p, c, lang = F.lower("file_path"), F.col("content"), F.col("language")
+    p, c, lang = F.col("file_path"), F.col("content"), F.col("language")
     has = lambda *xs: F.greatest(*[F.contains(c, F.lit(x)).cast("int") for x in xs]) == 1 if len(xs) > 1 else F.contains(c, F.lit(xs[0]))
     js = lang.isin("javascript", "typescript")
     kinds = [

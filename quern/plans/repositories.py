@@ -204,7 +204,7 @@ def _votes() -> str:
     for lang, marks in dims.INDICATORS.items():
         names, ends = [m for m in marks if m[0] != "*"], [m[1:] for m in marks if m[0] == "*"]
         p = [f"CASE WHEN NOT contains(file_path, '/') AND file_path IN {S.values(names)} THEN 10 ELSE 0 END"] if names else []
-        parts.append(f"sum({' + '.join(p + [f'(lower(file_path) LIKE {S.q(chr(37) + e)})::INT' for e in ends])}) AS {lang}")
+        parts.append(f"sum({' + '.join(p + [f'(file_path LIKE {S.q(chr(37) + e)})::INT' for e in ends])}) AS {lang}")
     most = f"greatest({', '.join(dims.INDICATORS)})"
     win = "CASE " + " ".join(f"WHEN {x} = {most} THEN '{x}'" for x in dims.INDICATORS) + " END"
     return f"v AS (SELECT repo_name, {', '.join(parts)} FROM {_PATHS} GROUP BY repo_name), votes AS (SELECT repo_name, CASE WHEN {most} > 0 THEN {win} ELSE 'unknown' END AS language, {most}::BIGINT AS votes FROM v)"
@@ -223,16 +223,16 @@ def _said(column: str, names) -> str:
 
 
 _ENTRY = f"""WITH {_votes()}, f AS (SELECT * FROM (SELECT DISTINCT repo_name, file_path, content FROM files WHERE content_type = 'text' AND content IS NOT NULL) JOIN (SELECT repo_name, language FROM votes) USING (repo_name))
-SELECT repo_name, file_path, 'main' AS kind FROM f WHERE language = 'go' AND lower(file_path) LIKE '%.go' AND {_has('func main()')}
-UNION ALL SELECT repo_name, file_path, CASE WHEN {_has('__main__', 'if __name__')} THEN 'main' ELSE 'function' END FROM f WHERE language = 'python' AND lower(file_path) LIKE '%.py' AND {_has('__main__', 'if __name__', 'def main(')}
+SELECT repo_name, file_path, 'main' AS kind FROM f WHERE language = 'go' AND file_path LIKE '%.go' AND {_has('func main()')}
+UNION ALL SELECT repo_name, file_path, CASE WHEN {_has('__main__', 'if __name__')} THEN 'main' ELSE 'function' END FROM f WHERE language = 'python' AND file_path LIKE '%.py' AND {_has('__main__', 'if __name__', 'def main(')}
 UNION ALL SELECT repo_name, file_path, 'setup' FROM f WHERE language = 'python' AND file_path = 'setup.py'
-UNION ALL SELECT repo_name, file_path, 'module' FROM f WHERE language IN ('javascript', 'typescript') AND lower(file_path) LIKE '%.js' AND {_has('exports.', 'module.exports', 'export default', 'export function')}
-UNION ALL SELECT repo_name, file_path, 'main' FROM f WHERE language = 'java' AND lower(file_path) LIKE '%.java' AND {_has('public static void main')}
-UNION ALL SELECT repo_name, file_path, 'main' FROM f WHERE language IN ('c', 'cpp') AND lower(file_path) LIKE '%.c' AND {_has('int main(', 'void main(')}
-UNION ALL SELECT repo_name, file_path, 'main' FROM f WHERE language = 'ruby' AND lower(file_path) LIKE '%.rb' AND {_has('__FILE__ == $0', 'if __FILE__ == $PROGRAM_NAME')}
-UNION ALL SELECT repo_name, file_path, 'main' FROM f WHERE language = 'rust' AND lower(file_path) LIKE '%.rs' AND {_has('fn main()')}
+UNION ALL SELECT repo_name, file_path, 'module' FROM f WHERE language IN ('javascript', 'typescript') AND file_path LIKE '%.js' AND {_has('exports.', 'module.exports', 'export default', 'export function')}
+UNION ALL SELECT repo_name, file_path, 'main' FROM f WHERE language = 'java' AND file_path LIKE '%.java' AND {_has('public static void main')}
+UNION ALL SELECT repo_name, file_path, 'main' FROM f WHERE language IN ('c', 'cpp') AND file_path LIKE '%.c' AND {_has('int main(', 'void main(')}
+UNION ALL SELECT repo_name, file_path, 'main' FROM f WHERE language = 'ruby' AND file_path LIKE '%.rb' AND {_has('__FILE__ == $0', 'if __FILE__ == $PROGRAM_NAME')}
+UNION ALL SELECT repo_name, file_path, 'main' FROM f WHERE language = 'rust' AND file_path LIKE '%.rs' AND {_has('fn main()')}
 UNION ALL SELECT repo_name, coalesce(json_extract_string(CASE WHEN json_valid(content) THEN content END, '$.main'), 'index.js'), 'main' FROM f WHERE language IN ('javascript', 'typescript') AND file_path = 'package.json'
-UNION ALL SELECT repo_name, file_path, 'script' FROM (SELECT *, row_number() OVER (PARTITION BY repo_name ORDER BY file_path) AS n FROM f WHERE language = 'php' AND lower(file_path) LIKE '%.php') WHERE n <= 5"""
+UNION ALL SELECT repo_name, file_path, 'script' FROM (SELECT *, row_number() OVER (PARTITION BY repo_name ORDER BY file_path) AS n FROM f WHERE language = 'php' AND file_path LIKE '%.php') WHERE n <= 5"""
 _PREVIEWS = _ENTRY.replace(" FROM f WHERE", ", content[1:500] AS snippet FROM f WHERE").replace("'script' FROM (", "'script', snippet FROM (")
 _COMMITS = """dumps AS (SELECT DISTINCT record_id, repo_name, CASE WHEN json_type(commits_data) = 'VARCHAR' THEN json_extract_string(commits_data, '$')::JSON ELSE commits_data::JSON END AS j FROM commit_dumps WHERE json_valid(commits_data)),
 lists AS (SELECT record_id, repo_name, CASE json_type(j) WHEN 'OBJECT' THEN json_extract(j, '$.commits') ELSE j END AS j FROM dumps),
